@@ -58,7 +58,7 @@ def main():
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     names = sys.argv[2:] or list(QUERIES)
     spark = session.build(f"local[{os.environ.get('BENCH_CPUS', '8')}]", 8,
-                          **{"spark.ui.enabled": "false", "spark.driver.memory": "8g"})
+                          **{"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g"})
     spark.sparkContext.setLogLevel("ERROR")
     con = duckdb.connect()
     for t in TABLES:

@@ -44,12 +44,9 @@ EARTH_RADIUS_KM = 6371.0
 
 def per_variable(attribute: str, configs=VARIABLES, variable: str = "variable") -> Column:
     """The configured attribute of each row's variable (NULL where none is set)."""
-    out = None
-    for c in configs:
-        value = F.lit(getattr(c, attribute))
-        test = F.col(variable) == c.name
-        out = F.when(test, value) if out is None else out.when(test, value)
-    return out
+    known = [(c.name, getattr(c, attribute)) for c in configs if getattr(c, attribute) is not None]
+    pairs = [F.lit(x) for name, value in known for x in (name, float(value))]
+    return F.try_element_at(F.create_map(*pairs), F.col(variable))
 
 
 def parse_time(value: str | datetime | None, now: datetime | None = None) -> datetime | None:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,7 +19,7 @@ from pyspark.sql.window import Window
 from ..config import SENTINELS, VARIABLES, VariableConfig, per_variable
 from ..functions.columns import time_bucket
 from .quantiles import exact_quantiles
-from .scale import WEEK, attach, carry_parts, keep, with_halo, with_index
+from .scale import WEEK, apply_grouped, attach, carry_parts, keep, with_halo, with_index
 
 SERIES = ("station_id", "variable")
 FLAG_COLUMNS = (
@@ -185,34 +187,33 @@ def lof(long: DataFrame, k: int = 20, contamination: float = 0.1, part_rows: int
     part = F.when(width > 0, F.floor((F.col("value") - F.col("_lo")) / width)).otherwise(0).cast("long")
     copies = values.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.least("copies", F.lit(k + 1)))))
     ranked = with_index(copies, keys, ["value", "_copy"], part)
-    parts = with_halo(ranked, "idx", part_rows, 3 * k, 3 * k)
-    near = Window.partitionBy(*keys, "part").orderBy("idx").rowsBetween(-k, k)
-
-    around = F.collect_list(F.struct("idx", "value")).over(near)
-    own, here = F.col("value"), F.col("idx")
-    distances = F.transform(
-        F.filter("_around", lambda r: r["idx"] != here),
-        lambda r: F.struct(F.abs(r["value"] - own).alias("d"), r["value"].alias("v"), r["idx"].alias("i")),
-    )
-    nearest = parts.withColumn("_around", around).withColumn(
-        "_near", F.slice(F.array_sort(distances), 1, k)
-    ).drop("_around").withColumn("_reach", F.element_at("_near", -1)["d"])
-    # Each neighbour's own reach, then its density, by position in the window.
-    lookup = F.map_from_entries(F.collect_list(F.struct("idx", "_reach")).over(near))
-    dense = nearest.withColumn("_reaches", lookup).withColumn(
-        "_density",
-        F.lit(1.0) / (F.aggregate(
-            "_near", F.lit(0.0),
-            lambda a, r: a + F.greatest(r["d"], F.element_at(F.col("_reaches"), r["i"])),
-        ) / F.size("_near") + F.lit(1e-10)),
-    ).drop("_reaches")
-    lookup = F.map_from_entries(F.collect_list(F.struct("idx", "_density")).over(near))
-    scored = dense.withColumn("_densities", lookup).withColumn(
-        "factor",
-        F.aggregate("_near", F.lit(0.0), lambda a, r: a + F.element_at(F.col("_densities"), r["i"]))
-        / F.size("_near") / F.col("_density"),
-    ).where(F.col("home") & (F.col("_copy") == 1)).select(*keys, "value", "copies", "factor")
-    return _lowest_share(long, scored.withColumn("_score", -F.col("factor")), contamination, "lof", keys)
+    parts = with_halo(ranked, "idx", part_rows, 3 * k, 3 * k).select(
+        *keys, "part", "idx", "value", "copies", (F.col("home") & (F.col("_copy") == 1)).alias("home"))
+    out = ", ".join(f"{c} {parts.schema[c].dataType.simpleString()}" for c in (*keys, "value", "copies"))
+
+    def factors(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("idx", ignore_index=True)
+        pdf["_score"] = -outlier_factors(pdf["value"].to_numpy(float), k)
+        return pdf.loc[pdf["home"], [*keys, "value", "copies", "_score"]]
+
+    scored = apply_grouped(parts, [*keys, "part"], factors, out + ", _score double")
+    return _lowest_share(long, keep(scored)[0], contamination, "lof", keys)
+
+
+def outlier_factors(x: np.ndarray, k: int) -> np.ndarray:
+    """Local outlier factor of sorted values; the k nearest lie within k places."""
+    n = len(x)
+    at = np.arange(n)[:, None] + np.delete(np.arange(-k, k + 1), k)[None, :]
+    inside = (at >= 0) & (at < n)
+    at = np.clip(at, 0, n - 1)
+    away = np.where(inside, np.abs(x[at] - x[:, None]), np.inf)
+    nearest = np.argsort(away, axis=1, kind="stable")[:, :k]
+    away, at = np.take_along_axis(away, nearest, 1), np.take_along_axis(at, nearest, 1)
+    used = np.isfinite(away)
+    reach = np.where(used, away, -np.inf).max(axis=1)
+    mean_reach = np.where(used, np.maximum(away, reach[at]), 0.0).sum(axis=1) / used.sum(axis=1)
+    density = 1.0 / (mean_reach + 1e-10)
+    return np.where(used, density[at], 0.0).sum(axis=1) / used.sum(axis=1) / density
 
 
 def _lowest_share(long, scored, share, method, keys, small_rows: int = 200_000):

@@ -53,6 +53,27 @@ def attach(big: DataFrame, small: DataFrame, keys: Sequence[str], weight: str, s
     return salted_big.join(salted_small, [*keys, "_salt"]).drop("_salt", "_parts")
 
 
+def _by_task(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Shuffle groups into as many tasks as the session has shuffle partitions.
+
+    Python work is heavy for its bytes: Spark would merge such groups into a few tasks by size, or reuse a
+    partitioning that was merged before. The hash column is there to rule both out.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.withColumn("_task", F.xxhash64(*keys)).repartition(n, *keys, "_task")
+
+
+def apply_grouped(df: DataFrame, keys: Sequence[str], fn, schema: str) -> DataFrame:
+    """``applyInPandas`` per key, spread over all tasks."""
+    return _by_task(df, keys).groupBy(*keys, "_task").applyInPandas(lambda pdf: fn(pdf.drop(columns="_task")), schema)
+
+
+def apply_cogrouped(left: DataFrame, right: DataFrame, keys: Sequence[str], fn, schema: str) -> DataFrame:
+    by = [*keys, "_task"]
+    return _by_task(left, keys).groupBy(*by).cogroup(_by_task(right, keys).groupBy(*by)).applyInPandas(
+        lambda a, b: fn(a.drop(columns="_task"), b.drop(columns="_task")), schema)
+
+
 def carry_parts(df: DataFrame, keys: Sequence[str], part: str, aggs: Sequence[Column],
                 carried: dict[str, Callable[[WindowSpec], Column]]) -> DataFrame:
     """Summarise every part of a series, run window functions over the summaries, join them back.

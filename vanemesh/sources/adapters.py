@@ -59,22 +59,22 @@ HOURLY = """hourly AS (
 
 
 def supplier_obs(spark: SparkSession, sf: str) -> DataFrame:
-    """Suppliers as stations with one row per week that has a shipment."""
+    """Suppliers as stations with one row per week that has a shipment: two totals and two means."""
     items = table(spark, sf, "lineitem").select(
         F.col("l_suppkey").cast("string").alias("station_id"), ntz(F.date_trunc("week", "l_shipdate")).alias("time"),
         F.col("l_quantity").cast("long").alias("q"), hundredths("l_extendedprice").alias("p"),
         hundredths("l_discount").alias("d"), hundredths("l_tax").alias("t"))
     n = F.count(F.lit(1))
     return items.groupBy("station_id", "time").agg(
-        (F.sum("p") / n / 100000.0).alias("temp_out"), (F.sum("d") / n).alias("out_hum"),
-        (F.sum("q") / n).alias("wind_speed"), (F.sum("t") / n).alias("bar"))
+        (F.sum("p") / 100000.0).alias("temp_out"), (F.sum("d") / n).alias("out_hum"),
+        F.sum("q").cast("double").alias("wind_speed"), (F.sum("t") / n).alias("bar"))
 
 
 SUPPLIER_OBS = """supplier_obs AS (
   SELECT CAST(l_suppkey AS VARCHAR) AS station_id, date_trunc('week', l_shipdate) AS time,
-    SUM(CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT)) / COUNT(*) / 100000.0::DOUBLE AS temp_out,
+    SUM(CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT)) / 100000.0::DOUBLE AS temp_out,
     SUM(CAST(floor(l_discount * 100 + 0.5) AS BIGINT)) / COUNT(*) AS out_hum,
-    SUM(CAST(l_quantity AS BIGINT)) / COUNT(*) AS wind_speed,
+    CAST(SUM(CAST(l_quantity AS BIGINT)) AS DOUBLE) AS wind_speed,
     SUM(CAST(floor(l_tax * 100 + 0.5) AS BIGINT)) / COUNT(*) AS bar
   FROM lineitem GROUP BY 1, 2)"""
 

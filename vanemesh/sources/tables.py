@@ -82,8 +82,9 @@ def retained(obs: DataFrame, as_of: Column, years: int = 1) -> DataFrame:
 def long_form(obs: DataFrame, variables: Sequence[str] = DETECTED) -> DataFrame:
     """One row per station, time and variable; NaN values become NULL."""
     present = [v for v in variables if v in obs.columns]
-    values = obs.select("station_id", "time", *[clean(v).alias(v) for v in present])
-    return values.unpivot(["station_id", "time"], present, "variable", "value")
+    # Not ``unpivot``: expressions shared over its output do not compile in Spark 4.1.
+    pairs = F.array(*[F.struct(F.lit(v).alias("variable"), clean(v).alias("value")) for v in present])
+    return obs.select("station_id", "time", F.inline(pairs))
 
 
 def station_overrides(stations: DataFrame, overrides: DataFrame) -> DataFrame:
