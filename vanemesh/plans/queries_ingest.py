@@ -1 +1,178 @@
-"""Queries."""
+"""Snapshot parsing, storing and streaming over the driver tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import ingest
+from ..session import run_folder
+from ..sources import adapters as a
+from ..sources import geojson
+from ..streaming import aggregates
+from ..streaming import ingest as stream_store
+from .registry import query, rounded
+
+BASE = a.with_sql(a.FEATURES)
+_FIRST = """rowsx AS (SELECT *, make_timestamp(ts * 1000000) AS time FROM features WHERE ts > 0),
+  firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY time, station_id ORDER BY event_id) AS r FROM rowsx) WHERE r = 1)"""
+
+
+def features(spark, sf):
+    return geojson.features(a.geojson(spark, sf))
+
+
+@query(BASE + "SELECT event_id, station_id, make_timestamp(ts * 1000000) AS time, temp_out, rain FROM features WHERE ts > 0")
+def geojson_observations(spark, sf):
+    return geojson.observations(features(spark, sf)).select("event_id", "station_id", "time", "temp_out", "rain")
+
+
+@query(BASE + """SELECT event_id, station_id, station_name_en, round(latitude, 6) AS latitude, round(longitude, 6) AS longitude, elevation FROM features""")
+def geojson_stations(spark, sf):
+    s = geojson.stations(features(spark, sf))
+    return rounded(s.select("event_id", "station_id", "station_name_en", "latitude", "longitude", "elevation"))
+
+
+def replayed(spark, sf):
+    """All observations of the snapshots, and a third of them a second time with another value."""
+    rows = geojson.observations(features(spark, sf)).drop("feature_no").withColumn("attempt", F.lit(0))
+    again = rows.where(F.col("event_id") % 3 == 0).withColumn("attempt", F.lit(1)).withColumn("temp_out", F.lit(-1.0))
+    return rows.unionByName(again)
+
+
+@query(BASE.rstrip() + f", {_FIRST} SELECT event_id, station_id, time, temp_out, rain FROM firsts")
+def ingest_dedupe(spark, sf):
+    rows = ingest.first_writes(replayed(spark, sf), ["attempt", "event_id"])
+    return rows.select("event_id", "station_id", "time", "temp_out", "rain")
+
+
+@query(BASE.rstrip() + f""", {_FIRST} SELECT event_id, station_id, time, temp_out FROM firsts
+  WHERE (time, station_id) NOT IN (SELECT (time, station_id) FROM rowsx WHERE event_id % 4 = 0)""")
+def ingest_new_rows(spark, sf):
+    """Every fourth event is stored already; what of all snapshots is new?"""
+    rows = replayed(spark, sf)
+    stored = rows.where(F.col("event_id") % 4 == 0)
+    return ingest.new_rows(rows, stored, ["attempt", "event_id"]).select("event_id", "station_id", "time", "temp_out")
+
+
+def sightings(spark, sf):
+    s = geojson.stations(features(spark, sf))
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("event_id"))
+    return s.withColumn("seen_at", at)
+
+
+_SEEN = """seen AS (SELECT *, make_timestamp((1700000000 + event_id) * 1000000) AS seen_at FROM features),
+  old AS (SELECT station_id, arg_max(station_name_en, event_id) AS name, arg_max(latitude, event_id) AS lat, arg_max_null(elevation, event_id) AS elev,
+    min(seen_at) AS f, max(seen_at) AS l FROM seen WHERE event_id % 4 = 0 GROUP BY 1),
+  fresh AS (SELECT station_id, arg_max(station_name_en, event_id) AS name, arg_max(latitude, event_id) AS lat, arg_max_null(elevation, event_id) AS elev,
+    arg_min_null(elevation, event_id) AS first_elev, min(seen_at) AS f, max(seen_at) AS l FROM seen WHERE event_id % 4 <> 0 GROUP BY 1)"""
+
+
+def _upsert(spark, sf, updated):
+    seen = sightings(spark, sf)
+    stored = ingest.station_updates(seen.where(F.col("event_id") % 4 == 0), "seen_at", ["event_id"]).select(
+        "station_id", "newest.*", "first_seen", "last_seen")
+    merged = ingest.upsert_stations(stored, seen.where(F.col("event_id") % 4 != 0), "seen_at", ["event_id"], updated)
+    return rounded(merged.select("station_id", "station_name_en", "latitude", "elevation", "first_seen", "last_seen"))
+
+
+@query(BASE.rstrip() + f""", {_SEEN} SELECT coalesce(n.station_id, o.station_id) AS station_id, coalesce(n.name, o.name) AS station_name_en,
+  round(coalesce(n.lat, o.lat), 6) AS latitude, CASE WHEN n.station_id IS NOT NULL THEN n.elev ELSE o.elev END AS elevation,
+  coalesce(o.f, n.f) AS first_seen, greatest(o.l, n.l) AS last_seen FROM old o FULL JOIN fresh n USING (station_id)""")
+def station_upsert(spark, sf):
+    return _upsert(spark, sf, ingest.STATION_VALUES)
+
+
+@query(BASE.rstrip() + f""", {_SEEN} SELECT coalesce(n.station_id, o.station_id) AS station_id, coalesce(n.name, o.name) AS station_name_en,
+  round(coalesce(n.lat, o.lat), 6) AS latitude, CASE WHEN o.station_id IS NOT NULL THEN o.elev ELSE n.first_elev END AS elevation,
+  coalesce(o.f, n.f) AS first_seen, greatest(o.l, n.l) AS last_seen FROM old o FULL JOIN fresh n USING (station_id)""")
+def station_upsert_reduced(spark, sf):
+    """The other store's update: name and place only."""
+    return _upsert(spark, sf, ingest.REDUCED_VALUES)
+
+
+@query(BASE.rstrip() + f""", {_FIRST}, s AS (SELECT event_id % 4 AS batch, count(*) AS stations_count FROM features GROUP BY 1),
+  o AS (SELECT event_id % 4 AS batch, count(*) AS observations_count FROM firsts GROUP BY 1)
+  SELECT batch, 'SUCCESS' AS status, stations_count, observations_count,
+    'Stored ' || observations_count || ' obs from ' || stations_count || ' stations' AS message FROM s JOIN o USING (batch)""")
+def collection_log_rows(spark, sf):
+    seen = features(spark, sf).withColumn("batch", F.col("event_id") % 4)
+    stored = ingest.first_writes(replayed(spark, sf), ["attempt", "event_id"]).withColumn("batch", F.col("event_id") % 4)
+    return ingest.log_rows(seen, stored, "batch")
+
+
+# --- streaming -------------------------------------------------------------------------------------------------
+
+def event_stream(spark, sf):
+    schema = a.table(spark, sf, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+
+
+def reading_stream(spark, sf):
+    return event_stream(spark, sf).select(
+        (F.col("user_id") % 14).cast("string").alias("station_id"), F.col("ts").alias("time"),
+        F.col("event_type").alias("variable"), "value")
+
+
+def run_to_end(stream):
+    stream.awaitTermination()
+
+
+@query(BASE.rstrip() + f", {_FIRST} SELECT station_id, time, temp_out, rain FROM firsts")
+def stream_ingest(spark, sf):
+    """Events as snapshots, each sent twice, through the ingest into the stored table."""
+    events = event_stream(spark, sf)
+    snapshots = events.withColumn("value", a.snapshot_text()).select(
+        "value", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("event_id")).alias("landed_at"),
+        F.lit("events").alias("source"))
+    store = stream_store.Store(run_folder(spark, "store"))
+    run_to_end(stream_store.start_ingest(snapshots.union(snapshots), store, run_folder(spark, "checkpoint")))
+    return store.observations(spark).select("station_id", "time", "temp_out", "rain")
+
+
+def _updates(spark, stream, keys):
+    folder = run_folder(spark, "updates")
+    run_to_end(aggregates.save_updates(stream, folder, run_folder(spark, "checkpoint")))
+    saved = spark.read.parquet(folder)
+    return aggregates.newest(saved.withColumn("bucket", F.col("w.start")).drop("w"), ["bucket", *keys])
+
+
+@query("""SELECT time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01') AS bucket, CAST(user_id % 14 AS VARCHAR) AS station_id, count(*) AS row_count,
+  round(avg(value), 6) AS avg_value, min(value) AS min_value, max(value) AS max_value, round(stddev_samp(value), 6) AS std_value FROM events GROUP BY 1, 2""")
+def stream_hourly(spark, sf):
+    return rounded(_updates(spark, aggregates.hourly(reading_stream(spark, sf)), ["station_id"]))
+
+
+@query("""SELECT b AS bucket, CAST(user_id % 14 AS VARCHAR) AS station_id, event_type AS variable, count(value) AS n, round(avg(value), 6) AS mean,
+  round(stddev_pop(value), 6) AS std
+  FROM (SELECT *, time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01') - to_hours(unnest(range(0, 6))) AS b FROM events) GROUP BY ALL""")
+def stream_sliding(spark, sf):
+    stream = aggregates.sliding(reading_stream(spark, sf), step="1 hour")
+    return rounded(_updates(spark, stream, ["station_id", "variable"]))
+
+
+@query("""SELECT b AS bucket, CAST(user_id % 14 AS VARCHAR) AS station_id, event_type AS variable, count(*) AS row_count, count(*) - count(value) AS missing_count,
+  round(avg(value), 6) AS mean, min(value) AS min, max(value) AS max
+  FROM (SELECT *, time_bucket(INTERVAL 12 HOURS, ts, TIMESTAMP '1970-01-01') - to_hours(12 * unnest(range(0, 2))) AS b FROM events) GROUP BY ALL""")
+def stream_profile(spark, sf):
+    stream = aggregates.profile(reading_stream(spark, sf), step="12 hours")
+    out = _updates(spark, stream, ["station_id", "variable"])
+    return rounded(out.select("bucket", "station_id", "variable", "row_count", "missing_count", "mean", "min", "max"))
+
+
+@query("""SELECT DISTINCT date_trunc('minute', ts) AS time, CAST(user_id % 14 AS VARCHAR) AS station_id FROM events""")
+def stream_dedupe(spark, sf):
+    rows = reading_stream(spark, sf).select(F.date_trunc("minute", "time").alias("time"), "station_id")
+    folder = run_folder(spark, "deduped")
+    out = aggregates.dedupe(rows).writeStream.format("parquet").option("path", folder).option(
+        "checkpointLocation", run_folder(spark, "checkpoint")).trigger(availableNow=True).start()
+    run_to_end(out)
+    return spark.read.parquet(folder).select("time", "station_id")
+
+
+@query("""SELECT time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01') AS bucket, event_type AS variable, count(value) AS n,
+  round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM events GROUP BY 1, 2""")
+def tumbling_stats(spark, sf):
+    e = a.events_long(spark, sf)
+    return rounded(e.groupBy(F.window("time", "6 hours").alias("w"), "variable").agg(
+        F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std")).select(
+        F.col("w.start").alias("bucket"), "variable", "n", "mean", "std"))

@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import ingest
@@ -97,7 +98,8 @@ def _save_batch(spark: SparkSession, batch: DataFrame, batch_id: int, store: Sto
 
 def stored_rows(spark: SparkSession, like: DataFrame, target: str) -> DataFrame:
     """The table with its schema given, so that batches without rows are no problem."""
-    return spark.read.schema(like.schema.add("batch_id", "int")).parquet(target)
+    schema = T.StructType([*like.schema.fields, T.StructField("batch_id", T.IntegerType())])
+    return spark.read.schema(schema).parquet(target)
 
 
 # Days listed in a partition filter; a batch that spans more is matched against all days.
