@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 from ..config import SENTINELS, VARIABLES, VariableConfig, per_variable
 from ..functions.columns import time_bucket
 from .quantiles import exact_quantiles
-from .scale import WEEK, apply_grouped, attach, carry_parts, keep, with_halo, with_index
+from .scale import WEEK, apply_grouped, attach, carry_parts, ddl_of, keep, with_halo, with_index
 
 SERIES = ("station_id", "variable")
 FLAG_COLUMNS = (
@@ -153,11 +153,11 @@ def seasonal_residual(long: DataFrame, period: int = 13, threshold: float = 3.0,
                                              F.avg("value").over(around)))
     detrended = parts.where(F.col("home") & F.col("_trend").isNotNull()).withColumn(
         "_phase", F.col("idx") % period
-    ).withColumn("_rest", F.col("value") - F.col("_trend"))
+    ).withColumn("_rest", F.col("value") - F.col("_trend")).persist(StorageLevel.MEMORY_AND_DISK)
     phases, n_phases = keep(detrended.groupBy(*keys, "_phase").agg(
         F.avg("_rest").alias("_season"), F.count(F.lit(1)).alias("_in_phase")))
     resid = attach(detrended, phases, [*keys, "_phase"], "_in_phase", ["time"], n_phases).withColumn(
-        "_resid", F.col("_rest") - F.col("_season"))
+        "_resid", F.col("_rest") - F.col("_season")).drop("_in_phase")
     stats, n_series = keep(resid.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("rows"), F.stddev_pop("_resid").alias("_sd")))
     usable = stats.where((F.col("rows") >= 2 * period) & (F.col("_sd") > 0))
@@ -189,14 +189,14 @@ def lof(long: DataFrame, k: int = 20, contamination: float = 0.1, part_rows: int
     ranked = with_index(copies, keys, ["value", "_copy"], part)
     parts = with_halo(ranked, "idx", part_rows, 3 * k, 3 * k).select(
         *keys, "part", "idx", "value", "copies", (F.col("home") & (F.col("_copy") == 1)).alias("home"))
-    out = ", ".join(f"{c} {parts.schema[c].dataType.simpleString()}" for c in (*keys, "value", "copies"))
+    out = ddl_of(parts, [*keys, "value", "copies"]) + ", _score double"
 
-    def factors(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx", ignore_index=True)
-        pdf["_score"] = -outlier_factors(pdf["value"].to_numpy(float), k)
-        return pdf.loc[pdf["home"], [*keys, "value", "copies", "_score"]]
+    def factors(c):
+        home = c["home"]
+        score = -outlier_factors(c["value"], k)
+        return {"value": c["value"][home], "copies": c["copies"][home], "_score": score[home]}
 
-    scored = apply_grouped(parts, [*keys, "part"], factors, out + ", _score double")
+    scored = apply_grouped(parts, [*keys, "part"], ["idx", "value", "copies", "home"], factors, out, "idx")
     return _lowest_share(long, keep(scored)[0], contamination, "lof", keys)
 
 

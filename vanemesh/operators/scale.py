@@ -9,9 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window, WindowSpec
 
 # Rows of narrow group statistics (about 100 bytes each) that may be broadcast: some 20 MB.
@@ -63,9 +67,43 @@ def _by_task(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.withColumn("_task", F.xxhash64(*keys)).repartition(n, *keys, "_task")
 
 
-def apply_grouped(df: DataFrame, keys: Sequence[str], fn, schema: str) -> DataFrame:
-    """``applyInPandas`` per key, spread over all tasks."""
-    return _by_task(df, keys).groupBy(*keys, "_task").applyInPandas(lambda pdf: fn(pdf.drop(columns="_task")), schema)
+def apply_grouped(df: DataFrame, keys: Sequence[str], columns: Sequence[str],
+                  fn: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]], schema: str,
+                  order: str | None = None) -> DataFrame:
+    """Run a numpy function per key, spread over all tasks.
+
+    ``fn`` gets the named columns as arrays, sorted by ``order``, and returns the columns of the schema; those
+    it leaves out are the group's keys, repeated.
+    """
+    keys, columns = list(keys), list(columns)
+    target = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(table: pa.Table) -> pa.Table:
+        cols = {c: _array(table.column(c)) for c in columns}
+        if order:
+            rank = np.argsort(cols[order], kind="stable")
+            cols = {c: v[rank] if isinstance(v, np.ndarray) else [v[i] for i in rank] for c, v in cols.items()}
+        out = fn(cols)
+        n = len(next(iter(out.values())))
+        return pa.table([
+            pa.array(out[f.name], type=f.type, from_pandas=True) if f.name in out
+            else pa.repeat(table.column(f.name)[0], n).cast(f.type) for f in target
+        ], schema=target)
+
+    selected = df.select(*keys, *[c for c in columns if c not in keys])
+    return _by_task(selected, keys).groupBy(*keys, "_task").applyInArrow(run, schema)
+
+
+def ddl_of(df: DataFrame, names: Sequence[str]) -> str:
+    return ", ".join(f"{n} {df.schema[n].dataType.simpleString()}" for n in names)
+
+
+def _array(column: pa.ChunkedArray) -> np.ndarray | list[np.ndarray]:
+    if pa.types.is_list(column.type):
+        flat = column.combine_chunks()
+        flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
+        return [flat[i].values.to_numpy(zero_copy_only=False) for i in range(len(flat))]
+    return column.to_numpy()
 
 
 def apply_cogrouped(left: DataFrame, right: DataFrame, keys: Sequence[str], fn, schema: str) -> DataFrame:

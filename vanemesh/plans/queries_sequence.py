@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..config import DETECTED
 from ..operators import gaps, point, report, subseq
+from ..operators.scale import keep
 from ..sources import adapters as a
 from ..sources import tables
 from .queries_detect import EVENT_FLAGS, SQL_HEAD, event_series, long
@@ -121,8 +122,8 @@ _SCORED = _PROFILE + f""", span AS (SELECT station_id, variable, min(profile) AS
 
 
 def profiled(spark, sf):
-    rows = indexed(spark, sf)
-    return rows, subseq.matrix_profile(rows, subseq.fixed_windows(rows, M), tile=128)
+    rows, _ = keep(indexed(spark, sf))
+    return rows, subseq.matrix_profile(rows, subseq.fixed_windows(rows, M))
 
 
 @query(_PROFILE + " SELECT station_id, variable, i AS idx, round(profile, 6) AS profile FROM prof")
