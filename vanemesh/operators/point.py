@@ -11,7 +11,6 @@ from collections.abc import Callable, Sequence
 from functools import reduce
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,7 +18,7 @@ from pyspark.sql.window import Window
 from ..config import SENTINELS, VARIABLES, VariableConfig, per_variable
 from ..functions.columns import time_bucket
 from .quantiles import exact_quantiles
-from .scale import WEEK, apply_grouped, attach, carry_parts, ddl_of, keep, with_halo, with_index
+from .scale import WEEK, apply_grouped, attach, carry_parts, ddl_of, keep, settle, with_halo, with_index
 
 SERIES = ("station_id", "variable")
 FLAG_COLUMNS = (
@@ -153,7 +152,8 @@ def seasonal_residual(long: DataFrame, period: int = 13, threshold: float = 3.0,
                                              F.avg("value").over(around)))
     detrended = parts.where(F.col("home") & F.col("_trend").isNotNull()).withColumn(
         "_phase", F.col("idx") % period
-    ).withColumn("_rest", F.col("value") - F.col("_trend")).persist(StorageLevel.MEMORY_AND_DISK)
+    ).withColumn("_rest", F.col("value") - F.col("_trend")).drop("part", "home")
+    detrended = settle(detrended, "detrended")
     phases, n_phases = keep(detrended.groupBy(*keys, "_phase").agg(
         F.avg("_rest").alias("_season"), F.count(F.lit(1)).alias("_in_phase")))
     resid = attach(detrended, phases, [*keys, "_phase"], "_in_phase", ["time"], n_phases).withColumn(
@@ -197,7 +197,7 @@ def lof(long: DataFrame, k: int = 20, contamination: float = 0.1, part_rows: int
         return {"value": c["value"][home], "copies": c["copies"][home], "_score": score[home]}
 
     scored = apply_grouped(parts, [*keys, "part"], ["idx", "value", "copies", "home"], factors, out, "idx")
-    return _lowest_share(long, keep(scored)[0], contamination, "lof", keys)
+    return _lowest_share(long, settle(scored, "lof"), contamination, "lof", keys)
 
 
 def outlier_factors(x: np.ndarray, k: int) -> np.ndarray:

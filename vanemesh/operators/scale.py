@@ -18,6 +18,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window, WindowSpec
 
+from ..session import run_folder
+
 # Rows of narrow group statistics (about 100 bytes each) that may be broadcast: some 20 MB.
 SMALL_ROWS = 200_000
 # A key is hot when it holds more than this share of all rows, so there are fewer than 1000 hot keys.
@@ -31,6 +33,16 @@ def keep(df: DataFrame) -> tuple[DataFrame, int]:
     return df, df.count()
 
 
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate table to the shared folder and go on from there.
+
+    It survives lost executors, and the plans of the steps that read it start here.
+    """
+    folder = run_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def attach(big: DataFrame, small: DataFrame, keys: Sequence[str], weight: str, spread: Sequence[str],
            rows: int | None = None, small_rows: int = SMALL_ROWS) -> DataFrame:
     """Inner join of ``big`` with the rows of ``small`` per key (one row, or a few of the same weight).

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..config import DETECTED
 from ..operators import gaps, point, report, subseq
-from ..operators.scale import keep
+from ..operators.scale import settle
 from ..sources import adapters as a
 from ..sources import tables
 from .queries_detect import EVENT_FLAGS, SQL_HEAD, event_series, long
@@ -122,7 +122,7 @@ _SCORED = _PROFILE + f""", span AS (SELECT station_id, variable, min(profile) AS
 
 
 def profiled(spark, sf):
-    rows, _ = keep(indexed(spark, sf))
+    rows = settle(indexed(spark, sf), "indexed")
     return rows, subseq.matrix_profile(rows, subseq.fixed_windows(rows, M))
 
 
@@ -152,7 +152,7 @@ _EVENTS = _SCORED + f""", hit AS (SELECT station_id, variable, i + {(M - 1) // 2
     JOIN cut c ON c.station_id = e.station_id AND c.variable = e.variable""")
 def profile_events(spark, sf):
     rows, profile = profiled(spark, sf)
-    events = subseq.profile_events(rows, subseq.scored_profile(profile))
+    events = subseq.profile_events(rows, settle(subseq.scored_profile(profile), "scored"))
     return events.select(*SERIES, "start_idx", "end_idx", "length", "start_time", "end_time", "duration_hours", "severity",
                          "window_length", F.round("threshold", 6).alias("threshold"))
 
@@ -163,7 +163,7 @@ def profile_events(spark, sf):
   GROUP BY station_id, variable, threshold""")
 def profile_summary(spark, sf):
     rows, profile = profiled(spark, sf)
-    scored = subseq.scored_profile(profile)
+    scored = settle(subseq.scored_profile(profile), "scored")
     return rounded(subseq.profile_summary(scored, subseq.profile_events(rows, scored)))
 
 

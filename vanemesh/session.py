@@ -40,5 +40,5 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def run_folder(spark: SparkSession, name: str) -> str:
-    """A new folder for the output of one run."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new folder for one output or intermediate table, under one folder per application."""
+    return f"{shared_folder(spark)}/vanemesh-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
