@@ -50,6 +50,11 @@ def fixed_text(value: Column, digits: int) -> Column:
     return F.call_function("format_number", value, F.lit("0." + "0" * digits))
 
 
+def round_binary(value: Column, digits: int) -> Column:
+    """Round the binary value, exact ties to the even digit (``round`` works on the decimal text)."""
+    return fixed_text(value, digits).cast("double")
+
+
 def percent_text(ratio: Column) -> Column:
     return F.concat(fixed_text(ratio * 100, 1), F.lit("%"))
 

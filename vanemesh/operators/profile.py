@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import round_binary
 from .quantiles import exact_quantiles
 from .scale import attach, keep
 
@@ -34,11 +35,11 @@ def column_profile(long: DataFrame, keys: Sequence[str] = ("station_id", "variab
     empty = F.array().cast("array<double>"), F.array().cast("array<bigint>")
     return out.select(
         *keys, "row_count",
-        *[F.round(c, digits).alias(c) for c in ("mean", "median")],
-        F.round(F.when(F.col("n") > 1, F.col("std")), digits).alias("std"),
-        *[F.round(c, digits).alias(c) for c in ("min", "max")],
+        *[round_binary(F.col(c), digits).alias(c) for c in ("mean", "median")],
+        round_binary(F.when(F.col("n") > 1, F.col("std")), digits).alias("std"),
+        *[round_binary(F.col(c), digits).alias(c) for c in ("min", "max")],
         (F.col("row_count") - F.col("n")).alias("missing_count"),
-        F.round((F.col("row_count") - F.col("n")) / F.col("row_count") * 100, 2).alias("missing_percentage"),
+        round_binary((F.col("row_count") - F.col("n")) / F.col("row_count") * 100, 2).alias("missing_percentage"),
         F.coalesce("unique_count", F.lit(0)).alias("unique_count"),
         F.coalesce("hist_bins", empty[0]).alias("hist_bins"), F.coalesce("hist_counts", empty[1]).alias("hist_counts"),
     )
@@ -66,7 +67,7 @@ def histogram(values: DataFrame, moments: DataFrame, keys: Sequence[str], bins:
         F.map_from_entries(F.collect_list(F.struct("_bin", "_c"))).alias("_by_bin")
     ).select(
         *keys,
-        F.transform(steps, lambda i: F.round(lo + (hi - lo) * i / bins, digits)).alias("hist_bins"),
+        F.transform(steps, lambda i: round_binary(lo + (hi - lo) * i / bins, digits)).alias("hist_bins"),
         F.transform(F.sequence(F.lit(0), F.lit(bins - 1)),
                     lambda i: F.coalesce(F.try_element_at(F.col("_by_bin"), i), F.lit(0))).alias("hist_counts"),
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..config import RAIN, VARIABLES, TimeRange
 from ..config import ntz as ntz_lit
-from ..functions.columns import seconds
+from ..functions.columns import round_binary
 from ..operators import health, profile, report, views
 from ..session import run_folder
 from ..sources import adapters as a
@@ -21,10 +21,12 @@ AS_OF_SQL = "TIMESTAMP '2024-01-31 00:00:00'"
 
 
 def hourly_long(spark, sf, variables=HOURLY_VARIABLES):
-    return tables.long_form(a.hourly(spark, sf), variables)
+    """Sevenths, since means of values with two decimals lie on rounding ties."""
+    return tables.long_form(a.hourly(spark, sf), variables).withColumn("value", F.col("value") / 7)
 
 
-HOURLY_LONG = a.long_sql("hourly", "long", HOURLY_VARIABLES)
+HOURLY_LONG = a.long_sql("hourly", "whole", HOURLY_VARIABLES) + """,
+  long AS (SELECT station_id, time, variable, value / 7 AS value FROM whole)"""
 HEAD = a.with_sql(a.HOURLY)
 SUPPLIER = a.with_sql(a.SUPPLIER_OBS)
 
@@ -191,12 +193,15 @@ def _profile_sql(keys: str, source: str) -> str:
 """
 
 
+def _fixed(x: str, digits: int = 4) -> str:
+    return f"CAST(printf('%.{digits}f', {x}) AS DOUBLE)"
+
+
 def _profile_select(keys: str) -> str:
-    return f"""SELECT {keys}, row_count, round(mean, 4) AS mean, round(median, 4) AS median,
-    round(CASE WHEN n > 1 THEN std END, 4) AS std, round(lo0, 4) AS min, round(hi0, 4) AS max,
-    row_count - n AS missing_count, round((row_count - n) / row_count * 100, 2) AS missing_percentage, unique_count,
-    array_to_string(hist_counts, ',') AS hist_counts,
-    round(hi - lo, 4) AS hist_range
+    return f"""SELECT {keys}, row_count, {_fixed('mean')} AS mean, {_fixed('median')} AS median,
+    {_fixed('CASE WHEN n > 1 THEN std END')} AS std, {_fixed('lo0')} AS min, {_fixed('hi0')} AS max,
+    row_count - n AS missing_count, {_fixed('(row_count - n) / row_count * 100', 2)} AS missing_percentage, unique_count,
+    array_to_string(hist_counts, ',') AS hist_counts, {_fixed(_fixed('hi') + ' - ' + _fixed('lo'))} AS hist_range
   FROM lim LEFT JOIN hist USING ({keys})"""
 
 
@@ -204,8 +209,8 @@ def _flat(df):
     """Histogram as text and the width of its range, so that both engines print the same."""
     n = F.size("hist_bins")
     return df.withColumn("hist_counts", F.when(n > 0, F.concat_ws(",", F.col("hist_counts").cast("array<string>")))
-                         ).withColumn("hist_range", F.when(n > 0, F.round(F.get("hist_bins", F.lit(10)) - F.get(
-                             "hist_bins", F.lit(0)), 4))).drop("hist_bins")
+                         ).withColumn("hist_range", F.when(n > 0, round_binary(
+                             F.get("hist_bins", F.lit(10)) - F.get("hist_bins", F.lit(0)), 4))).drop("hist_bins")
 
 
 @query(a.with_sql(a.HOURLY, HOURLY_LONG).rstrip() + _profile_sql("station_id, variable", "long")
@@ -232,7 +237,7 @@ def profile_window(spark, sf):
 
 @query(a.with_sql(a.HOURLY, HOURLY_LONG).rstrip() + _profile_sql("station_id, variable", "long") + """
   SELECT station_id, variable, CAST(d.bin AS INTEGER) AS bin, d.c AS bin_count,
-    round(l.lo + (l.hi - l.lo) * d.bin / 10, 4) AS low_edge
+    CAST(printf('%.4f', l.lo + (l.hi - l.lo) * d.bin / 10) AS DOUBLE) AS low_edge
   FROM dense d JOIN lim l USING (station_id, variable)""")
 def profile_histogram(spark, sf):
     p = profile.column_profile(hourly_long(spark, sf))
@@ -294,7 +299,7 @@ def _mapping(spark, sf):
 
 
 @query(a.with_sql(a.HOURLY, HOURLY_LONG, _MAPPING) + """SELECT node_id, station_id, variable, row_count, mean FROM (
-    SELECT station_id, variable, count(*) AS row_count, round(avg(value), 4) AS mean FROM long GROUP BY 1, 2)
+    SELECT station_id, variable, count(*) AS row_count, CAST(printf('%.4f', avg(value)) AS DOUBLE) AS mean FROM long GROUP BY 1, 2)
   JOIN mapping ON node_key = station_id || '/' || variable""")
 def payload_join(spark, sf):
     mapped, _ = profile.payload(profile.column_profile(hourly_long(spark, sf)), _mapping(spark, sf))

@@ -145,7 +145,7 @@ _EVENTS = _SCORED + f""", hit AS (SELECT station_id, variable, i + {(M - 1) // 2
 
 
 @query(_EVENTS + f""" SELECT e.station_id, e.variable, start_idx, end_idx, end_idx - start_idx + 1 AS length, s.time AS start_time, t.time AS end_time,
-    round((epoch(t.time) - epoch(s.time)) / 3600, 1) AS duration_hours, CASE WHEN end_idx - start_idx + 1 > 20 THEN 'high' ELSE 'medium' END AS severity,
+    CAST(printf('%.1f', (epoch(t.time) - epoch(s.time)) / 3600) AS DOUBLE) AS duration_hours, CASE WHEN end_idx - start_idx + 1 > 20 THEN 'high' ELSE 'medium' END AS severity,
     {M} AS window_length, round(threshold, 6) AS threshold
   FROM ev e JOIN ix s ON s.station_id = e.station_id AND s.variable = e.variable AND s.i = start_idx
     JOIN ix t ON t.station_id = e.station_id AND t.variable = e.variable AND t.i = end_idx
