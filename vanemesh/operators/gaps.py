@@ -8,30 +8,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.columns import micros, time_bucket
-from .scale import WEEK, carry_parts, with_index
+from ..functions.columns import micros
+from .scale import carry_parts, time_parts, with_index
 
 
-def fill_gaps(grid: DataFrame, keys: Sequence[str], limit: int = 2, part_seconds: float | None = WEEK,
-              both: bool = True, forward_rest: bool = False) -> DataFrame:
+def fill_gaps(grid: DataFrame, keys: Sequence[str], limit: int = 2, part_seconds: float | None = None,
+              both: bool = True, forward_rest: bool = False, whole: bool = False) -> DataFrame:
     """Linear interpolation in time of ``value``, at most ``limit`` rows away from a reading.
 
     With ``both`` a gap is filled from its two ends, and before the first and after the last reading the
     nearest one is repeated; otherwise only forward. ``forward_rest`` repeats the last reading in what is
-    left. ``part_seconds`` cuts series into parts of time; None is for series that are short by
-    construction, such as one anomaly's window. Adds ``filled``.
+    left. Series are cut into parts of time, except ``whole`` ones that are short by construction, such as one
+    anomaly's window. Adds ``filled``.
     """
     keys = list(keys)
-    part = F.lit(0).cast("long") if part_seconds is None else time_bucket("time", part_seconds)
-    if part_seconds is None:
-        whole = Window.partitionBy(*keys).orderBy("time")
-        rows = grid.withColumn("_part", part).withColumn("_i", F.row_number().over(whole))
+    if whole:
+        series = Window.partitionBy(*keys).orderBy("time")
+        rows = grid.withColumn("_part", F.lit(0)).withColumn("_i", F.row_number().over(series))
     else:
+        part = time_parts(grid, keys, part_seconds)
         rows = with_index(grid, keys, ["time"], part, "_i").withColumn("_part", part)
     point = F.when(F.col("value").isNotNull(), F.struct(
         F.col("_i").alias("i"), micros("time").alias("t"), F.col("value").alias("v")))
     rows = rows.withColumn("_point", point)
-    if part_seconds is not None:
+    if not whole:
         rows = carry_parts(
             rows, keys, "_part",
             [F.max(F.col("_point")).alias("_newest"), F.min(F.col("_point")).alias("_oldest")],

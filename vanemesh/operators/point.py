@@ -16,9 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import SENTINELS, VARIABLES, VariableConfig, per_variable
-from ..functions.columns import time_bucket
-from .quantiles import exact_quantiles
-from .scale import WEEK, apply_grouped, attach, carry_parts, ddl_of, keep, settle, with_halo, with_index
+from .quantiles import exact_quantiles, value_cuts
+from .scale import apply_grouped, attach, carry_parts, ddl_of, keep, settle, time_parts, with_halo, with_index
 
 SERIES = ("station_id", "variable")
 FLAG_COLUMNS = (
@@ -108,11 +107,12 @@ def iqr(long: DataFrame, factor: float = 1.5, keys: Sequence[str] = SERIES) -> D
     return flags(hit, "iqr", F.col("median"), score, low, high)
 
 
-def sudden_change(long: DataFrame, limit: Column | None = None, part_seconds: float = WEEK,
+def sudden_change(long: DataFrame, limit: Column | None = None, part_seconds: float | None = None,
                   keys: Sequence[str] = SERIES) -> DataFrame:
     """Steps from one non-NULL reading to the next that exceed the variable's limit."""
     limit = per_variable("sudden_change") if limit is None else limit
-    rows = long.where(F.col("value").isNotNull()).withColumn("_part", time_bucket("time", part_seconds))
+    rows = long.where(F.col("value").isNotNull())
+    rows = rows.withColumn("_part", time_parts(rows, keys, part_seconds))
     rows = carry_parts(
         rows, keys, "_part", [F.max_by("value", "time").alias("_last")],
         {"_carried": lambda w: F.lag("_last").over(w)},
@@ -137,7 +137,7 @@ def physical_range(long: DataFrame, configs: Sequence[VariableConfig] = VARIABLE
 
 
 def seasonal_residual(long: DataFrame, period: int = 13, threshold: float = 3.0,
-                      part_seconds: float = WEEK, part_rows: int = 50_000,
+                      part_seconds: float | None = None, part_rows: int = 50_000,
                       keys: Sequence[str] = SERIES) -> DataFrame:
     """Residual after a centred moving average and the mean of each phase, beyond k · sigma.
 
@@ -145,7 +145,8 @@ def seasonal_residual(long: DataFrame, period: int = 13, threshold: float = 3.0,
     """
     keys = list(keys)
     half = period // 2
-    rows = with_index(long.where(F.col("value").isNotNull()), keys, ["time"], time_bucket("time", part_seconds))
+    rows = long.where(F.col("value").isNotNull())
+    rows = with_index(rows, keys, ["time"], time_parts(rows, keys, part_seconds))
     parts = with_halo(rows, "idx", part_rows, half, half)
     around = Window.partitionBy(*keys, "part").orderBy("idx").rowsBetween(-half, half)
     parts = parts.withColumn("_trend", F.when(F.count("value").over(around) == 2 * half + 1,
@@ -179,14 +180,11 @@ def lof(long: DataFrame, k: int = 20, contamination: float = 0.1, part_rows: int
     keys = list(keys)
     values = long.where(F.col("value").isNotNull()).groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("copies"))
     counts, n_series = keep(values.groupBy(*keys).agg(
-        F.sum("copies").alias("rows"), F.count(F.lit(1)).alias("n"),
-        F.min("value").alias("_lo"), F.max("value").alias("_hi")))
+        F.sum("copies").alias("rows"), F.count(F.lit(1)).alias("n")))
     values = attach(values, counts.where(F.col("rows") > k), keys, "n", ["value"], n_series)
-    # Value ranges of equal width keep the order; enough of them that an even series fills each with part_rows.
-    width = (F.col("_hi") - F.col("_lo")) / F.ceil(F.col("n") / F.lit(part_rows))
-    part = F.when(width > 0, F.floor((F.col("value") - F.col("_lo")) / width)).otherwise(0).cast("long")
+    values = value_cuts(values, keys, "value", counts, part_rows)
     copies = values.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.least("copies", F.lit(k + 1)))))
-    ranked = with_index(copies, keys, ["value", "_copy"], part)
+    ranked = with_index(copies, keys, ["value", "_copy"], F.col("_cut").cast("long"))
     parts = with_halo(ranked, "idx", part_rows, 3 * k, 3 * k).select(
         *keys, "part", "idx", "value", "copies", (F.col("home") & (F.col("_copy") == 1)).alias("home"))
     out = ddl_of(parts, [*keys, "value", "copies"]) + ", _score double"

@@ -45,17 +45,34 @@ def _direct(df, keys, value, probs, weight):
     )
 
 
+def value_cuts(values: DataFrame, keys: Sequence[str], value: str, counts: DataFrame, part_rows: int) -> DataFrame:
+    """Adds ``_cut``, a part number that grows with the value: 0 throughout a series of up to ``part_rows``
+    distinct values (``n`` in ``counts``), approximate quantiles of its values in a longer one."""
+    keys = list(keys)
+    total, top = counts.agg(F.sum("n"), F.max("n")).first()
+    limit = max(part_rows, (total or 0) // 100_000)
+    if (top or 0) <= limit:
+        return values.withColumn("_cut", F.lit(0))
+    large = values.join(F.broadcast(counts.where(F.col("n") > limit).select(*keys)), keys, "left_semi")
+    edges = F.broadcast(_edges(large, keys, value))
+    return values.join(edges, keys, "left").withColumn("_cut", F.coalesce(_cut(value), F.lit(0))).drop("_edges")
+
+
+def _edges(values: DataFrame, keys: list[str], value: str, *more) -> DataFrame:
+    marks = F.array(*[F.lit(i / CUTS) for i in range(1, CUTS)])
+    return values.groupBy(*keys).agg(F.percentile_approx(value, marks, CUTS * 10).alias("_edges"), *more)
+
+
+def _cut(value: str):
+    return F.when(F.col("_edges").isNotNull(), F.size(F.filter("_edges", lambda e: e <= F.col(value))))
+
+
 def _by_rank(df, keys, value, probs, weight):
     """Value counts are cut at approximate quantiles; only the cuts that hold a wanted rank are sorted."""
     counts = df.groupBy(*keys, value).agg(F.sum(weight).alias("_c"))
-    marks = F.array(*[F.lit(i / CUTS) for i in range(1, CUTS)])
-    edges = counts.groupBy(*keys).agg(
-        F.percentile_approx(value, marks, CUTS * 10).alias("_edges"), F.sum("_c").alias("_total")
-    )
     # The caller proves that there are at most 100,000 such keys; 2 KB each.
-    cut = counts.join(F.broadcast(edges), keys).withColumn(
-        "_cut", F.size(F.filter("_edges", lambda e: e <= F.col(value)))
-    )
+    edges = _edges(counts, keys, value, F.sum("_c").alias("_total"))
+    cut = counts.join(F.broadcast(edges), keys).withColumn("_cut", _cut(value))
     by_cut = cut.groupBy(*keys, "_cut").agg(F.sum("_c").alias("_c"), F.max("_total").alias("_total"))
     along = Window.partitionBy(*keys).orderBy("_cut")
     by_cut = by_cut.withColumn("_end", F.sum("_c").over(along)).withColumn("_start", F.col("_end") - F.col("_c"))

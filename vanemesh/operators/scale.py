@@ -18,13 +18,15 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window, WindowSpec
 
+from ..functions.columns import time_bucket
 from ..session import run_folder
 
 # Rows of narrow group statistics (about 100 bytes each) that may be broadcast: some 20 MB.
 SMALL_ROWS = 200_000
 # A key is hot when it holds more than this share of all rows, so there are fewer than 1000 hot keys.
 HOT_SHARE = 1 / 1000
-WEEK = 7 * 24 * 3600
+# Rows of one series that a part in time order should hold.
+PART_ROWS = 1_000_000
 
 
 def keep(df: DataFrame) -> tuple[DataFrame, int]:
@@ -137,6 +139,19 @@ def carry_parts(df: DataFrame, keys: Sequence[str], part: str, aggs: Sequence[Co
     return df.join(summary, [*keys, part])
 
 
+def time_parts(df: DataFrame, keys: Sequence[str], part_seconds: float | None = None) -> Column:
+    """The part of its series a row falls in: time buckets of ``part_seconds``.
+
+    By default the busiest day of any series sets the width, so that no part holds much more than
+    ``PART_ROWS``. The day counts are partial aggregates; only their maximum comes to the driver.
+    """
+    if part_seconds is None:
+        days = df.groupBy(*keys, F.to_date("time").alias("_day")).agg(F.count(F.lit(1)).alias("_n"))
+        busiest = days.agg(F.max("_n")).first()[0] or 1
+        part_seconds = max(24 * 3600 * PART_ROWS / busiest, 0.001)
+    return time_bucket("time", part_seconds)
+
+
 def with_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], part: Column | None = None,
                name: str = "idx") -> DataFrame:
     """0-based position of each row in its series.

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
-
 from pyspark.sql import functions as F
 
 from ..config import DETECTED
@@ -14,7 +12,6 @@ from ..sources import tables
 from .queries_detect import EVENT_FLAGS, SQL_HEAD, event_series, long
 from .registry import query, rounded
 
-YEAR = timedelta(days=365).total_seconds()
 M = 13
 SERIES = ["station_id", "variable"]
 
@@ -68,7 +65,7 @@ _INDEXED = """ix AS (SELECT station_id, variable, time, value, row_number() OVER
 
 
 def indexed(spark, sf):
-    return subseq.index_series(long(spark, sf), part_seconds=YEAR)
+    return subseq.index_series(long(spark, sf))
 
 
 @query(SQL_HEAD.rstrip() + f""", {_INDEXED}, head AS (SELECT *, value - avg(value) OVER (PARTITION BY station_id, variable) AS z FROM ix WHERE i < 20000),
@@ -191,7 +188,7 @@ def discords(spark, sf):
 @query()
 def subsequence_events(spark, sf):
     """The whole chain with the window chosen by autocorrelation."""
-    return rounded(subseq.subsequence_events(long(spark, sf), part_seconds=YEAR))
+    return rounded(subseq.subsequence_events(long(spark, sf)))
 
 
 @query()
@@ -199,7 +196,7 @@ def comprehensive_report(spark, sf):
     obs = a.supplier_obs(spark, sf)
     rows = tables.long_form(obs)
     points = point.three_sigma(rows)
-    events = subseq.subsequence_events(rows, part_seconds=YEAR)
+    events = subseq.subsequence_events(rows)
     full = report.comprehensive(a.stations(spark, sf), obs, points, events)
     return full.withColumn("point_anomalies", F.to_json("point_anomalies")).withColumn(
         "subsequence_anomalies", F.to_json("subsequence_anomalies")).withColumn(
