@@ -13,7 +13,8 @@ def spark():
     s = session.build("local[4]", 4, **{"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
                                         "spark.driver.memory": "4g"})
     s.sparkContext.setLogLevel("ERROR")
-    return s
+    yield s
+    s.stop()
 
 
 @pytest.fixture

@@ -11,7 +11,6 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -29,12 +28,6 @@ HOT_SHARE = 1 / 1000
 PART_ROWS = 1_000_000
 
 
-def keep(df: DataFrame) -> tuple[DataFrame, int]:
-    """Persist group statistics that several later steps read, and count them."""
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    return df, df.count()
-
-
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate table to the shared folder and go on from there.
 
@@ -45,6 +38,12 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def keep(df: DataFrame) -> tuple[DataFrame, int]:
+    """Settle group statistics that several later steps read, and count them (from the file footers)."""
+    df = settle(df, "kept")
+    return df, df.count()
+
+
 def attach(big: DataFrame, small: DataFrame, keys: Sequence[str], weight: str, spread: Sequence[str],
            rows: int | None = None, small_rows: int = SMALL_ROWS) -> DataFrame:
     """Inner join of ``big`` with the rows of ``small`` per key (one row, or a few of the same weight).
