@@ -1,8 +1,13 @@
-from datetime import datetime, timedelta
+import os
 
-import pytest
+# Threads of the linear algebra library can hang in a driver process that has started a JVM.
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")
 
-from vanemesh import session
+from datetime import datetime, timedelta  # noqa: E402
+
+import pytest  # noqa: E402
+
+from vanemesh import session  # noqa: E402
 
 START = datetime(2025, 1, 1)
 LONG = "station_id string, variable string, time timestamp_ntz, value double"
