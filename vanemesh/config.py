@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -54,7 +54,7 @@ def parse_time(value: str | datetime | None, now: datetime | None = None) -> dat
     if value is None or isinstance(value, datetime):
         return value
     if value.upper() == "NOW":
-        return now or datetime.utcnow()
+        return now or datetime.now(timezone.utc).replace(tzinfo=None)
     return datetime.fromisoformat(value)
 
 

@@ -52,7 +52,7 @@ def snapshot_stream(spark: SparkSession, folder: str, files_per_trigger: int | N
 
 def start_ingest(snapshots: DataFrame, store: Store, checkpoint: str, order=("landed_at", "source", "feature_no"),
                  every: str | None = None) -> StreamingQuery:
-    """``every`` is the trigger interval (the reference cadence is 10 minutes); None ingests what has landed."""
+    """``every`` is the trigger interval (``10 minutes`` is the usual cadence); None ingests what has landed."""
 
     def save(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
