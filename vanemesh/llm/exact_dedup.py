@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.scale import settle
-from .text import fold_case, whole, without_ids
+from ..operators.scale import keep, settle
+from .text import fold_case, joined, numbered, whole
 
 # Counters of a summary. Winners are at most as many: some 100 bytes each, 0.4 MB to broadcast.
 CAPACITY = 4096
@@ -67,33 +67,23 @@ def groups(rows: DataFrame, key: str, capacity: int = CAPACITY) -> DataFrame:
     return heavy.unionByName(light)
 
 
+def digested(docs: DataFrame, *columns: str) -> DataFrame:
+    """The digest of every normalised text, next to ``columns``."""
+    return docs.select(*columns, F.unhex(F.sha2(fold_case(whole("text")).cast("binary"), 256)).alias("digest"))
+
+
 def resolve(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of ``docs`` (doc_id, text)."""
-    rows = settle(docs.select(
-        "doc_id", F.unhex(F.sha2(fold_case(whole("text")).cast("binary"), 256)).alias("digest"),
-        F.monotonically_increasing_id().alias("seq")), "digests")
+    rows = settle(digested(docs, "doc_id").withColumn("seq", F.monotonically_increasing_id()), "digests")
     return groups(rows, "digest", capacity).select(
         "doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size",
         (F.col("seq") == F.col("keep.seq")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def dedupe(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """The rows of ``docs`` that stay, with all columns.
-
-    A doc_id that holds several rows is rare: only such rows are shuffled whole, to keep one of those with equal text.
-    """
-    seen = settle(resolve(docs, capacity), "decisions")
-    by_id = seen.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.count_if("kept").alias("stay"))
-    unclear = settle(by_id.where((F.col("rows") > 1) & (F.col("stay") > 0)).select("doc_id"), "unclear")
-    gone = settle(by_id.where(F.col("stay") == 0).select("doc_id")
-                  .unionByName(unclear), "gone")
-    once = without_ids(docs, gone, gone.count())
-    if unclear.isEmpty():
-        return once
-    # (doc_id, digest) pairs that stay, matched to whole rows.
-    pairs = seen.where("kept").join(unclear, seen["doc_id"].eqNullSafe(unclear["doc_id"]), "left_semi").select(
-        F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest"))
-    marked = docs.withColumn("_sha", F.sha2(fold_case(whole("text")).cast("binary"), 256))
-    same = marked["doc_id"].eqNullSafe(pairs["_id"]) & (marked["_sha"] == pairs["_digest"])
-    rest = marked.join(pairs, same, "left_semi").dropDuplicates(["doc_id", "_sha"]).drop("_sha")
-    return once.unionByName(rest)
+    """The rows of ``docs`` that stay, with all their columns."""
+    whole_rows, row = numbered(docs)
+    rows = settle(digested(whole_rows, "doc_id", row).withColumnRenamed(row, "seq"), "digests")
+    found = groups(rows, "digest", capacity)
+    gone, n = keep(found.where(F.col("seq") != F.col("keep.seq")).select(F.col("seq").alias(row)))
+    return joined(whole_rows, gone, row, n, "left_anti").drop(row)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.scale import settle
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -23,17 +25,22 @@ def fold_case(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 
 
-def without_ids(docs: DataFrame, ids: DataFrame, n_ids: int) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is not among the ``n_ids`` of ``ids`` (null matches null)."""
-    return _by_ids(docs, ids, n_ids, "left_anti")
+def joined(big: DataFrame, small: DataFrame, key: str, rows: int, how: str = "inner") -> DataFrame:
+    """Join on ``key``, null matching null; ``small`` is broadcast while its counted ``rows`` are few."""
+    other = fresh(big, "_key")
+    small = small.withColumnRenamed(key, other)
+    return big.join(F.broadcast(small) if rows <= BROADCAST_IDS else small,
+                    big[key].eqNullSafe(small[other]), how).drop(other)
 
 
-def with_ids(docs: DataFrame, ids: DataFrame, n_ids: int) -> DataFrame:
-    return _by_ids(docs, ids, n_ids, "left_semi")
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have yet."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
 
 
-def _by_ids(docs: DataFrame, ids: DataFrame, n_ids: int, how: str) -> DataFrame:
-    keys = ids.select(F.col("doc_id").alias("_id"))
-    if n_ids <= BROADCAST_IDS:
-        keys = F.broadcast(keys)
-    return docs.join(keys, docs["doc_id"].eqNullSafe(keys["_id"]), how)
+def numbered(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` as a written table with a number for each row, so that repeated rows can be told apart; the column's name."""
+    row = fresh(df, "_row")
+    return settle(df.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
