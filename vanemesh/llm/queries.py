@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, fingerprints, line_dedup, mixing
+from . import chat, exact_dedup, fingerprints, langid, line_dedup, mixing, quality
 from .registry import QUERIES, SQL, query, table  # noqa: F401
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -70,3 +70,27 @@ FROM f GROUP BY doc_id
 def op8_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return line_dedup.drop_repeated(table(spark, sf, "documents")).select(
         "doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def remainder(n: int) -> Column:
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
+
+
+@query()
+def op6_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "text", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"))
+    prototypes = langid.learn(docs.where(remainder(5) != 0))
+    return langid.predict(docs.select("doc_id", "held_out", "text"), prototypes)
+
+
+def quality_trees(spark: SparkSession, docs: DataFrame, sf: str) -> quality.Trees:
+    """Trees fitted to the labels outside the held-out fold, on texts of ``docs``."""
+    labels = table(spark, sf, "labels").where(remainder(4) != 2).select("doc_id", F.col("quality").alias("label"))
+    return quality.teach(docs, labels)
+
+
+@query()
+def op7_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"))
+    scored = quality.score(docs, quality_trees(spark, docs, sf))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
