@@ -1,11 +1,12 @@
 """Byte-level BPE: encoding by folded merges over distinct words, decoding by concatenation.
 
 1. Every task splits its texts by the pattern and counts its distinct words; the counts are added up.
-2. Spark's higher-order functions encode each distinct word once: a fold over its bytes merges, step by step, the leftmost
+2. Spark's higher-order functions encode distinct words: a fold over a word's bytes merges, step by step, the leftmost
    adjacent pair of the lowest rank. The ranks are a literal: an array of small maps, found by the checksum of the pair.
    Bytes are written as the characters of the same number, so that binary pieces can be keys of that map.
-3. The texts are mapped to ids with the dictionary of encoded words. Its HEAD most frequent words go to every task. The
-   others are joined: a document's own rare words travel to it as a small map of its own.
+   That is done once for each of the at most HEAD most frequent words, which are broadcast as a dictionary. Words that stand in
+   few texts are no fewer than the texts they stand in, so the fold encodes them where they stand, once for each text.
+3. A task looks up the words of its texts in the dictionary, and puts in what the fold gave for the rare ones.
 4. Decoding concatenates the binary pieces of the ids.
 
 Null text counts as empty and has no ids. Texts that look like special tokens are ordinary text. A word is folded in a
@@ -15,22 +16,24 @@ number of steps that grows with its bytes, each of which copies what is left of
 from __future__ import annotations
 
 import base64
-import hashlib
 import json
 import zlib
+from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.scale import settle
-from .text import fresh, numbered, whole
+from .text import whole
 
-# Most frequent words that every task holds: some 50 bytes each as they are sent, 25 MB at most.
-HEAD = 400_000
+# Words that every task holds, and their bytes at most: with four bytes an id, less than 160 bytes each even if no two bytes
+# merge, some 30 as a rule.
+HEAD = 1_000_000
+LONGEST = 32
 # Distinct words that a task gathers before it passes on their counts.
 GATHER = 500_000
 BUCKETS = 1 << 14
@@ -97,3 +100,123 @@ def encode_word(word: Column, ranks: dict[bytes, int], buckets: int = BUCKETS) -
 
     letters = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
     return F.when(F.length(word) > 0, let(letters, fold)).otherwise(F.array().cast("array<int>"))
+
+
+def count_words(docs: DataFrame, pattern: str) -> DataFrame:
+    """word and n over all texts of ``docs``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, counts = regex.compile(pattern).findall, Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                counts.update(split(text))
+                if len(counts) >= GATHER:
+                    yield given(counts)
+        yield given(counts)
+
+    def given(counts: Counter) -> pa.RecordBatch:
+        batch = pa.record_batch([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+        counts.clear()
+        return batch
+
+    return docs.select(whole("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def frequent_words(words: DataFrame, head: int = HEAD, longest: int = LONGEST) -> DataFrame:
+    """At most ``head`` words of at most ``longest`` bytes: all from some frequency on that occur more than once.
+
+    ``words`` is a written table. Frequencies are told apart to an eighth of a power of two, so the driver sees a few hundred rows.
+    """
+    level = F.floor(F.log2("n") * 8)
+    usable = words.where((F.col("n") > 1) & (F.octet_length("word") <= longest))
+    total, least = 0, None
+    for row in usable.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
+        total += row["count"]
+        if total > head:
+            break
+        least = row["level"]
+    return usable.where(level >= least) if least is not None else usable.limit(0)
+
+
+def dictionary(docs: DataFrame, ranks: dict[bytes, int], pattern: str, head: int = HEAD, longest: int = LONGEST) -> pa.Table:
+    """word and ids of the frequent words of ``docs``, each encoded once by Spark."""
+    words = frequent_words(settle(count_words(docs, pattern), "words"), head, longest).select("word")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return settle(words.repartition(n, "word").select("word", encode_word(F.col("word"), ranks).alias("ids")), "dictionary").toArrow()
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, head: int = HEAD, longest: int = LONGEST) -> DataFrame:
+    """``docs`` (text and more; none named ids or rare) with ``ids``, array<int>, in the place of the text."""
+    table = dictionary(docs, ranks, pattern, head, longest)
+    known = docs.sparkSession.sparkContext.broadcast({
+        w: np.array(ids, np.int32).tobytes() for w, ids in zip(table.column("word").to_pylist(), table.column("ids").to_pylist(), strict=True)})
+    del table
+    at = docs.columns.index("text")
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Ids of known words; -1, -2 ... stand for the first, second ... of the text's rare words."""
+        split, get = regex.compile(pattern).findall, known.value.get
+        for batch in batches:
+            found, rare = [], []
+            for text in batch.column(at).to_pylist():
+                words = split(text or "")
+                parts = [get(w) for w in words]
+                own: dict[str, bytes] = {}
+                if None in parts:
+                    for i, part in enumerate(parts):
+                        if part is None:
+                            w = words[i]
+                            if w not in own:
+                                own[w] = np.int32(-1 - len(own)).tobytes()
+                            parts[i] = own[w]
+                found.append(np.frombuffer(b"".join(parts), np.int32))
+                rare.append(list(own))
+            yield pa.record_batch(
+                [*(c for i, c in enumerate(batch.columns) if i != at), _lists(found), pa.array(rare, pa.list_(pa.string()))],
+                [*(n for i, n in enumerate(batch.schema.names) if i != at), "ids", "rare"])
+
+    def put_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, rare = batch.column(len(batch.columns) - 2), batch.column(len(batch.columns) - 1)
+            flat, ends = ids.flatten().to_numpy(), ids.offsets.to_numpy() - ids.offsets[0].as_py()
+            whole_ids = [_spliced(flat[a:b], own) for a, b, own in zip(ends, ends[1:], rare.to_pylist())]
+            yield pa.record_batch([*batch.columns[:-2], _lists(whole_ids)], batch.schema.names[:-1])
+
+    none = F.array().cast("array<int>")
+    with_rare = docs.drop("text").withColumns({"ids": none, "rare": F.array().cast("array<string>")})
+    looked_up = docs.mapInArrow(look_up, with_rare.schema)
+    folded = looked_up.withColumn("rare", F.transform("rare", lambda w: encode_word(w, ranks)))
+    return folded.mapInArrow(put_in, with_rare.drop("rare").schema)
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *arrays])))
+
+
+def _spliced(ids: np.ndarray, rare: list[list[int]]) -> np.ndarray:
+    if not rare:
+        return ids
+    pieces, at = [], 0
+    for i in np.flatnonzero(ids < 0):
+        pieces += [ids[at:i], np.array(rare[-1 - ids[i]], np.int32)]
+        at = i + 1
+    return np.concatenate([*pieces, ids[at:]])
+
+
+def pieces_of(ranks: dict[bytes, int]) -> list[bytes]:
+    pieces = [b""] * (max(ranks.values(), default=-1) + 1)
+    for token, rank in ranks.items():
+        pieces[rank] = token
+    return pieces
+
+
+def decode(ids: Column, ranks: dict[bytes, int]) -> Column:
+    """The bytes of an array of ids."""
+    pieces = F.from_json(F.lit(json.dumps([p.decode("latin-1") for p in pieces_of(ranks)])), "array<string>")
+    return F.encode(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), ""), "ISO-8859-1")
+
+
+def id_digest(ids: Column) -> Column:
+    """SHA-256 (hexadecimal) of the ids in decimal, joined by commas."""
+    return F.sha2(F.array_join(F.transform(ids, lambda i: i.cast("string")), ",").cast("binary"), 256)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, fingerprints, langid, line_dedup, mixing, quality
+from . import bpe, chat, exact_dedup, fingerprints, langid, line_dedup, mixing, quality
 from .registry import QUERIES, SQL, query, table  # noqa: F401
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -94,3 +95,15 @@ def op7_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"))
     scored = quality.score(docs, quality_trees(spark, docs, sf))
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+@query()
+def op9_byte_bpe(spark: SparkSession, sf: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    ranks = bpe.load_ranks(vocabulary)
+    docs = bpe.encode(table(spark, sf, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
+    return docs.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe.id_digest(F.col("ids")).alias("ids_sha256"),
+        F.sha2(bpe.decode(F.col("ids"), ranks), 256).alias("decoded_sha256"))
