@@ -36,7 +36,7 @@ HEAD = 1_000_000
 LONGEST = 32
 # Distinct words that a task gathers before it passes on their counts.
 GATHER = 500_000
-BUCKETS = 1 << 14
+BUCKETS = 1 << 16
 NONE = 2**31 - 1
 
 
@@ -61,45 +61,42 @@ def let(value: Column, body) -> Column:
 
 def encode_word(word: Column, ranks: dict[bytes, int], buckets: int = BUCKETS) -> Column:
     """Token ids of one word, array<int>."""
-    maps = rank_literal(ranks, buckets)
+    none = F.array().cast("array<int>")
 
-    def rank(piece: Column) -> Column:
-        place = F.pmod(F.crc32(piece.cast("binary")), F.lit(buckets)).cast("int")
-        return F.coalesce(F.element_at(F.get(maps, place), piece), F.lit(NONE))
+    def encoded(letters: Column, maps: Column) -> Column:
+        def rank(piece: Column) -> Column:
+            place = F.pmod(F.crc32(piece.cast("binary")), F.lit(buckets)).cast("int")
+            return F.coalesce(F.element_at(F.get(maps, place), piece), F.lit(NONE))
 
-    def start(letters: Column) -> Column:
         n = F.length(letters)
-        parts = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(letters, i, F.lit(1)))
-        pairs = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: rank(F.substring(letters, i, F.lit(2)))))
-        return F.struct(parts.alias("parts"), F.coalesce(pairs, F.array().cast("array<int>")).alias("pairs"))
-
-    def merge(state: Column, at: Column) -> Column:
-        """Join the parts ``at`` and ``at`` + 1 (1-based); only the pairs beside them change."""
-        parts, pairs = state["parts"], state["pairs"]
-        left, right = F.slice(parts, F.lit(1), at - 1), F.slice(parts, at + 2, F.size(parts))
-        joined = F.concat(F.get(parts, at - 1), F.get(parts, at))
-
-        def rebuild(piece: Column) -> Column:
-            before = F.when(at > 1, F.array(rank(F.concat(F.get(parts, at - 2), piece))))
-            after = F.when(at + 1 < F.size(parts), F.array(rank(F.concat(piece, F.get(parts, at + 1)))))
-            none = F.array().cast("array<int>")
-            return F.struct(
-                F.concat(left, F.array(piece), right).alias("parts"),
-                F.concat(F.slice(pairs, F.lit(1), F.greatest(at - 2, F.lit(0))), F.coalesce(before, none),
-                         F.coalesce(after, none), F.slice(pairs, at + 2, F.size(pairs))).alias("pairs"))
-
-        return let(joined, rebuild)
-
-    def step(state: Column, _: Column) -> Column:
-        return let(F.array_min(state["pairs"]), lambda best: F.when(best.isNull() | (best == NONE), state).otherwise(
-            let(F.array_position(state["pairs"], best).cast("int"), lambda at: merge(state, at))))
-
-    def fold(letters: Column) -> Column:
-        steps = F.when(F.length(letters) > 1, F.sequence(F.lit(2), F.length(letters))).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(steps, start(letters), step, lambda state: F.transform(state["parts"], rank))
+        places = F.sequence(F.lit(1), n)
+        start = F.struct(
+            F.transform(places, lambda i: F.substring(letters, i, F.lit(1))).alias("parts"),
+            F.transform(F.transform(F.slice(places, F.lit(1), n - 1), lambda i: F.substring(letters, i, F.lit(2))), rank).alias("pairs"))
+
+        def merge(state: Column, at: Column) -> Column:
+            """Join the parts ``at`` and ``at`` + 1 (1-based); only the pairs beside them change."""
+            parts, pairs = state["parts"], state["pairs"]
+
+            def rebuild(piece: Column) -> Column:
+                beside = F.array_compact(F.array(F.concat(F.get(parts, at - 2), piece), F.concat(piece, F.get(parts, at + 1))))
+                return F.struct(
+                    F.concat(F.slice(parts, F.lit(1), at - 1), F.array(piece), F.slice(parts, at + 2, n)).alias("parts"),
+                    F.concat(F.slice(pairs, F.lit(1), F.greatest(at - 2, F.lit(0))), F.transform(beside, rank),
+                             F.slice(pairs, at + 2, n)).alias("pairs"))
+
+            return let(F.concat(F.get(parts, at - 1), F.get(parts, at)), rebuild)
+
+        def step(state: Column, _: Column) -> Column:
+            return let(F.array_min(state["pairs"]), lambda best: F.when(F.coalesce(best, F.lit(NONE)) == NONE, state).otherwise(
+                let(F.array_position(state["pairs"], best).cast("int"), lambda at: merge(state, at))))
+
+        folded = F.aggregate(F.slice(places, F.lit(1), n - 1), start, step, lambda state: F.transform(state["parts"], rank))
+        # A word that is a token as a whole needs no merges.
+        return let(rank(letters), lambda whole_word: F.when(whole_word != NONE, F.array(whole_word)).otherwise(folded))
 
     letters = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
-    return F.when(F.length(word) > 0, let(letters, fold)).otherwise(F.array().cast("array<int>"))
+    return F.when(F.length(word) > 0, let(rank_literal(ranks, buckets), lambda m: let(letters, lambda w: encoded(w, m)))).otherwise(none)
 
 
 def count_words(docs: DataFrame, pattern: str) -> DataFrame:

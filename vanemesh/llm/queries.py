@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, fingerprints, langid, line_dedup, mixing, quality
+from . import bpe, chat, exact_dedup, fingerprints, html_extract, langid, line_dedup, mixing, quality
 from .registry import QUERIES, SQL, query, table  # noqa: F401
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -107,3 +107,8 @@ def op9_byte_bpe(spark: SparkSession, sf: str, vocabulary: str = VOCABULARY) ->
     return docs.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe.id_digest(F.col("ids")).alias("ids_sha256"),
         F.sha2(bpe.decode(F.col("ids"), ranks), 256).alias("decoded_sha256"))
+
+
+@query()
+def op10_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf, "pages"))
