@@ -203,3 +203,16 @@ def score(docs: DataFrame, trees: Trees) -> DataFrame:
             yield pa.record_batch([*columns, pa.array(model.value.score(x), pa.float64())], [*names, "score"])
 
     return docs.mapInArrow(run, docs.drop("text").withColumn("score", F.lit(0.0)).schema)
+
+
+def select_good(docs: DataFrame, trees: Trees, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` (text and more) that score at least ``threshold``, with all their columns, in one pass."""
+    model = docs.sparkSession.sparkContext.broadcast(trees)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array([statistics(t) for t in batch.column(at).to_pylist()], float).reshape(-1, len(STATISTICS))
+            yield batch.filter(pa.array(model.value.score(x) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

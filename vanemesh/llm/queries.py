@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, fingerprints, html_extract, langid, line_dedup, mixing, quality
+from . import bpe, chat, exact_dedup, fingerprints, html_extract, langid, line_dedup, mixing, ngram_join, quality
 from .registry import QUERIES, SQL, query, table  # noqa: F401
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -112,3 +112,8 @@ def op9_byte_bpe(spark: SparkSession, sf: str, vocabulary: str = VOCABULARY) ->
 @query()
 def op10_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
     return html_extract.extract(table(spark, sf, "pages"))
+
+
+@query()
+def op3_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    return ngram_join.resolve(table(spark, sf, "documents"))
