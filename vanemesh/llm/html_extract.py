@@ -7,8 +7,8 @@ like makes a repeated one. The result is the host's wrapper, a union-free regula
 
 The slots of the wrapper are judged by where they stand: never inside boilerplate (menus, headers, footers, sidebars, notices,
 adverts, forms, reader comments: by element, role, class or id), and inside the best region that the host's wrapper has: article, main, an element
-named like content, or else the body. Inside a header only headings count, and only within the article. For hosts without a region the
-texts of a place that are the same on three pages or more, or that are mostly links, are template and go, unless
+named like content, or else the body. Inside a header only headings count, and only within the article. For hosts without a region,
+texts that stand at the same place on most pages (three at least) and blocks that are mostly links are template and go, unless
 nothing else is left on the page.
 
 A page's text: its main slots, in page order, a block per line; character references are decoded, white space inside a block is
@@ -280,6 +280,7 @@ def main_slots(wrapper: str) -> list[frozenset[Place]]:
     return [s for s in (frozenset(p for p in places if in_region(p, r)) for r in range(len(REGIONS))) if s]
 
 
+@lru_cache(maxsize=4096)
 def regionless(wrapper: str) -> bool:
     return not any(in_region(p, r) for p in slots(json.loads(wrapper)) for r in range(len(REGIONS) - 1))
 
@@ -336,37 +337,35 @@ def _digest(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def template_places(pages: DataFrame) -> DataFrame:
-    """host and the JSON list of places whose texts are template, for ``pages`` (host, html) of hosts without a region."""
+def template_texts(pages: DataFrame) -> DataFrame:
+    """host and ``template``: JSON of the [place, digest of text] that stand on most pages, for ``pages`` (host, html) of hosts
+    without a region. Each page has few such texts, so a host's list is about as long as a page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(h, json.dumps(place), _digest(text), len(text), links)
-                    for h, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-                    for place, text, links in blocks(html or "", lambda p: in_region(p, len(REGIONS) - 1))]
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)],
-                                  ["host", "place", "text", "chars", "links"])
+            rows = [(h, key) for h, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+                    for key in {json.dumps([place, _digest(text)]) for place, text, _ in blocks(html or "", lambda p: in_region(p, len(REGIONS) - 1))}]
+            yield pa.record_batch([pa.array([h for h, _ in rows], pa.string()), pa.array([k for _, k in rows], pa.string())], ["host", "text"])
 
-    places = pages.mapInArrow(run, "host string, place string, text long, chars long, links long").groupBy("host", "place").agg(
-        F.count(F.lit(1)).alias("n"), F.min("text").alias("low"), F.max("text").alias("high"),
-        (F.sum("links") * 2 > F.sum("chars")).alias("linked"))
-    same = (F.col("n") >= SAME_PAGES) & (F.col("low") == F.col("high"))
-    return places.where(same | F.col("linked")).groupBy("host").agg(F.to_json(F.collect_set("place")).alias("template"))
+    texts = pages.mapInArrow(run, "host string, text string").groupBy("host", "text").agg(F.count(F.lit(1)).alias("n"))
+    of = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    often_there = (F.col("n") >= SAME_PAGES) & (F.col("n") * 2 > F.col("pages"))
+    return texts.where(F.col("n") >= SAME_PAGES).join(of, "host").where(often_there).groupBy("host").agg(
+        F.to_json(F.sort_array(F.collect_list("text"))).alias("template"))
 
 
 @lru_cache(maxsize=4096)
-def _places(template: str | None) -> frozenset[Place]:
-    return frozenset(tuple(json.loads(p)) for p in json.loads(template or "[]"))
+def _template(template: str | None) -> frozenset[str]:
+    return frozenset(json.loads(template or "[]"))
 
 
 def main_text(html: str, wrapper: str, template: str | None) -> str:
-    dropped = _places(template)
+    gone, odd = _template(template), bool(_template(template)) or regionless(wrapper)
     for places in main_slots(wrapper):
-        texts = list(blocks(html, places.__contains__))
-        kept = [text for place, text, _ in texts if place not in dropped] or [text for _, text, _ in texts]
-        if kept:
-            return "\n".join(kept)
+        found = list(blocks(html, places.__contains__))
+        kept = [text for place, text, links in found if not (odd and (2 * links > len(text) or json.dumps([place, _digest(text)]) in gone))]
+        if found:
+            return "\n".join(kept or [text for _, text, _ in found])
     return ""
 
 
@@ -381,7 +380,7 @@ def extract(pages: DataFrame) -> DataFrame:
     odd = settle(wrappers.mapInArrow(without_region, "host string"), "regionless")
     with_host = pages.select("page_id", "url", "html", host().alias("host"))
     if not odd.isEmpty():
-        templates = template_places(with_host.join(odd, "host", "left_semi").select("host", "html"))
+        templates = template_texts(with_host.join(odd, "host", "left_semi").select("host", "html"))
         wrappers = wrappers.join(templates, "host", "left")
     else:
         wrappers = wrappers.withColumn("template", F.lit(None).cast("string"))
