@@ -8,11 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .scale import keep
+from .scale import attach, keep, settle
 
-# Groups up to this many rows are handled by one ``percentile`` aggregate.
+# Groups up to this many rows are handled by one ``percentile`` aggregate; larger ones are cut into parts of about as many.
 DIRECT_ROWS = 1_000_000
-CUTS = 256
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float],
@@ -20,22 +19,20 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
                     direct_rows: int = DIRECT_ROWS) -> DataFrame:
     """Linearly interpolated quantiles of the non-NULL values: one row per key, one column per entry.
 
-    ``counts`` may bring the (kept) rows per key as ``n``. The limit between the two ways grows with the
-    data, so that at most 100,000 keys are above it and their list can be broadcast.
+    ``counts`` may bring the (kept) rows per key as ``n``.
     """
     keys = list(keys)
     df = df.where(F.col(value).isNotNull())
     weight = F.lit(1) if frequency is None else F.col(frequency)
     if counts is None:
         counts, _ = keep(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))
-    total, top = counts.agg(F.sum("n"), F.max("n")).first()
-    limit = max(direct_rows, (total or 0) // 100_000)
-    if (top or 0) <= limit:
+    top = counts.agg(F.max("n")).first()[0] or 0
+    if top <= direct_rows:
         return _direct(df, keys, value, probs, weight)
-    large = F.broadcast(counts.where(F.col("n") > limit).select(*keys))
-    return _direct(df.join(large, keys, "left_anti"), keys, value, probs, weight).unionByName(
-        _by_rank(df.join(large, keys, "left_semi"), keys, value, probs, weight)
-    )
+    sized = attach(df, counts.select(*keys, F.col("n").alias("_n")), keys, "_n", [value])
+    small, large = sized.where(F.col("_n") <= direct_rows), sized.where(F.col("_n") > direct_rows)
+    return _direct(small, keys, value, probs, weight).unionByName(
+        _by_rank(large.drop("_n"), keys, value, probs, weight, -(-top // direct_rows)))
 
 
 def _direct(df, keys, value, probs, weight):
@@ -49,30 +46,36 @@ def value_cuts(values: DataFrame, keys: Sequence[str], value: str, counts: DataF
     """Adds ``_cut``, a part number that grows with the value: 0 throughout a series of up to ``part_rows``
     distinct values (``n`` in ``counts``), approximate quantiles of its values in a longer one."""
     keys = list(keys)
-    total, top = counts.agg(F.sum("n"), F.max("n")).first()
-    limit = max(part_rows, (total or 0) // 100_000)
-    if (top or 0) <= limit:
+    top = counts.agg(F.max("n")).first()[0] or 0
+    if top <= part_rows:
         return values.withColumn("_cut", F.lit(0))
-    large = values.join(F.broadcast(counts.where(F.col("n") > limit).select(*keys)), keys, "left_semi")
-    edges = F.broadcast(_edges(large, keys, value))
-    return values.join(edges, keys, "left").withColumn("_cut", F.coalesce(_cut(value), F.lit(0))).drop("_edges")
+    sized = attach(values, counts.select(*keys, F.col("n").alias("_n")), keys, "_n", [value])
+    small, large = sized.where(F.col("_n") <= part_rows), sized.where(F.col("_n") > part_rows).drop("_n")
+    cuts = -(-top // part_rows)
+    edges, n = keep(_edges(large, keys, value, cuts, F.count(F.lit(1)).alias("_n")))
+    large = attach(large, edges, keys, "_n", [value], n, _few(cuts))
+    return small.withColumn("_cut", F.lit(0)).drop("_n").unionByName(large.withColumn("_cut", _cut(value)).drop("_edges", "_n"))
+
+
+def _few(cuts: int) -> int:
+    """Lists of so many edges that may be broadcast: 20 MB."""
+    return 20_000_000 // (100 + 8 * cuts)
 
 
-def _edges(values: DataFrame, keys: list[str], value: str, *more) -> DataFrame:
-    marks = F.array(*[F.lit(i / CUTS) for i in range(1, CUTS)])
-    return values.groupBy(*keys).agg(F.percentile_approx(value, marks, CUTS * 10).alias("_edges"), *more)
+def _edges(values: DataFrame, keys: list[str], value: str, cuts: int, *more) -> DataFrame:
+    marks = F.array(*[F.lit(i / cuts) for i in range(1, cuts)])
+    return values.groupBy(*keys).agg(F.percentile_approx(value, marks, cuts * 10).alias("_edges"), *more)
 
 
 def _cut(value: str):
     return F.when(F.col("_edges").isNotNull(), F.size(F.filter("_edges", lambda e: e <= F.col(value))))
 
 
-def _by_rank(df, keys, value, probs, weight):
+def _by_rank(df, keys, value, probs, weight, cuts):
     """Value counts are cut at approximate quantiles; only the cuts that hold a wanted rank are sorted."""
-    counts = df.groupBy(*keys, value).agg(F.sum(weight).alias("_c"))
-    # The caller proves that there are at most 100,000 such keys; 2 KB each.
-    edges = _edges(counts, keys, value, F.sum("_c").alias("_total"))
-    cut = counts.join(F.broadcast(edges), keys).withColumn("_cut", _cut(value))
+    counts = settle(df.groupBy(*keys, value).agg(F.sum(weight).alias("_c")), "value_counts")
+    edges, n = keep(_edges(counts, keys, value, cuts, F.sum("_c").alias("_total")))
+    cut = attach(counts, edges, keys, "_total", [value], n, _few(cuts)).withColumn("_cut", _cut(value))
     by_cut = cut.groupBy(*keys, "_cut").agg(F.sum("_c").alias("_c"), F.max("_total").alias("_total"))
     along = Window.partitionBy(*keys).orderBy("_cut")
     by_cut = by_cut.withColumn("_end", F.sum("_c").over(along)).withColumn("_start", F.col("_end") - F.col("_c"))
@@ -90,11 +93,11 @@ def _by_rank(df, keys, value, probs, weight):
                 (F.col("_rank") - F.col("_start")).alias("_offset"))
     )
     few = cut.select(*keys, "_cut", value, "_c").join(
-        F.broadcast(targets.select(*keys, "_cut").distinct()), [*keys, "_cut"], "left_semi"
+        targets.select(*keys, "_cut").distinct(), [*keys, "_cut"], "left_semi"
     )
     inside = Window.partitionBy(*keys, "_cut").orderBy(value)
     few = few.withColumn("_to", F.sum("_c").over(inside)).withColumn("_from", F.col("_to") - F.col("_c"))
-    found = few.join(F.broadcast(targets), [*keys, "_cut"]).where(
+    found = few.join(targets, [*keys, "_cut"]).where(
         (F.col("_from") <= F.col("_offset")) & (F.col("_offset") < F.col("_to"))
     )
     pairs = found.groupBy(*keys, F.col("_w.name").alias("_name")).agg(

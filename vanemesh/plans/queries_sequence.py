@@ -68,9 +68,9 @@ def indexed(spark, sf):
     return subseq.index_series(long(spark, sf))
 
 
-@query(SQL_HEAD.rstrip() + f""", {_INDEXED}, head AS (SELECT *, value - avg(value) OVER (PARTITION BY station_id, variable) AS z FROM ix WHERE i < 20000),
-  ac AS (SELECT x.station_id, x.variable, y.i - x.i AS lag, sum(x.z * y.z) AS c, any_value(least(x.n, 20000) // 2) AS half FROM head x JOIN head y
-    ON x.station_id = y.station_id AND x.variable = y.variable AND y.i - x.i BETWEEN 3 AND least(400, least(x.n, 20000) // 2) GROUP BY ALL),
+@query(SQL_HEAD.rstrip() + f""", {_INDEXED}, head AS (SELECT *, value - avg(value) OVER (PARTITION BY station_id, variable) AS z FROM ix),
+  ac AS (SELECT x.station_id, x.variable, y.i - x.i AS lag, sum(x.z * y.z) AS c, any_value(x.n // 2) AS half FROM head x JOIN head y
+    ON x.station_id = y.station_id AND x.variable = y.variable AND y.i - x.i BETWEEN 3 AND least(400, x.n // 2) GROUP BY ALL),
   near AS (SELECT *, lag(c) OVER w AS before, lead(c) OVER w AS after FROM ac WINDOW w AS (PARTITION BY station_id, variable ORDER BY lag)),
   peak AS (SELECT station_id, variable, arg_max(lag, c) AS lag FROM near WHERE c > before AND c > after GROUP BY ALL),
   sz AS (SELECT station_id, variable, count(*) AS n FROM ix GROUP BY ALL),
