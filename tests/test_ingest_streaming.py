@@ -3,7 +3,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from vanemesh.operators import ingest
+from vanemesh.operators import health, ingest
 from vanemesh.sources import geojson
 from vanemesh.streaming import aggregates
 from vanemesh.streaming import ingest as stream_store
@@ -96,9 +96,33 @@ def test_stream_equals_batch_over_files_and_replays(spark, tmp_path):
     assert obs == {("a", 1.0), ("a", 2.0), ("late", 4.0)}
     stations = {r.station_id: r for r in store.stations(spark).collect()}
     assert set(stations) == {"a", "late"} and stations["a"].first_seen <= stations["a"].last_seen
-    log = store.log(spark).orderBy("batch_id", F.desc("status")).collect()
+    log = store.log(spark).orderBy("batch_id").collect()
     assert [(r.batch_id, r.status, r.stations_count, r.observations_count) for r in log] == [
-        (0, "SUCCESS", 2, 1), (1, "SUCCESS", 2, 1), (2, "SUCCESS", 0, 0), (2, "ERROR", 0, 0), (3, "SUCCESS", 1, 1)]
+        (0, "SUCCESS", 2, 1), (1, "SUCCESS", 2, 1), (2, "ERROR", 0, 0), (3, "SUCCESS", 1, 1)]
+
+
+def test_a_new_checkpoint_keeps_what_is_stored(spark, tmp_path):
+    store = stream_store.Store(str(tmp_path / "store"))
+    for k, text in enumerate((document(feature(station_file="a", temp_out=1.0)),
+                              document(feature(station_file="a", temp_out=7.0), feature(T0 + 600, station_file="a", temp_out=2.0)))):
+        inbox = tmp_path / f"in{k}"
+        inbox.mkdir()
+        land(inbox, "1.json", text)
+        stream = stream_store.snapshot_stream(spark, str(inbox), 1)
+        stream_store.start_ingest(stream, store, str(tmp_path / f"cp{k}")).awaitTermination()
+    assert sorted(r.temp_out for r in store.observations(spark).collect()) == [1.0, 2.0]
+    assert [r.observations_count for r in store.log(spark).orderBy("timestamp").collect()] == [1, 1]
+
+
+def test_failures_are_counted_as_such(spark, tmp_path):
+    store = stream_store.Store(str(tmp_path / "store"))
+    schema = "value string, landed_at timestamp, source string"
+    good, bad, empty = document(feature(station_file="a")), "not json", document()
+    for k, value in enumerate((good, bad, bad, empty)):
+        batch = spark.createDataFrame([(value, datetime(2025, 1, 1, k), str(k))], schema)
+        stream_store._save_batch(spark, batch, "r", k, store, ["landed_at", "source", "feature_no"])
+    got = health.collector_health(store.log(spark), F.lit("2025-01-01 04:00:00").cast("timestamp")).first()
+    assert (got.run_count, got.error_count, got.consecutive_failures, got.last_success) == (3, 2, 2, datetime(2025, 1, 1, 0))
 
 
 def test_a_batch_can_be_repeated(spark, tmp_path):
@@ -106,9 +130,9 @@ def test_a_batch_can_be_repeated(spark, tmp_path):
     batch = spark.createDataFrame([(document(feature(station_file="a", temp_out=1.0)), datetime(2025, 1, 1), "f")],
                                   "value string, landed_at timestamp, source string")
     order = ["landed_at", "source", "feature_no"]
-    for batch_id in (0, 0, 1, 1):
-        stream_store._save_batch(spark, batch, batch_id, store, order)
-    assert store.observations(spark).count() == 1 and store.log(spark).count() == 2
+    for run, batch_id in (("r", 0), ("r", 0), ("r", 1), ("r", 1), ("s", 0)):
+        stream_store._save_batch(spark, batch, run, batch_id, store, order)
+    assert store.observations(spark).count() == 1 and store.log(spark).count() == 3
 
 
 def test_streamed_windows_equal_batch(spark, tmp_path):

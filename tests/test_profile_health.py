@@ -57,6 +57,8 @@ def test_time_ranges():
     closed = TimeRange.resolve(end="2025-01-01 06:00:00", hours=6)
     assert closed.start == START and closed.hours == 6
     assert TimeRange.resolve(start="2025-01-01", end="now", now=datetime(2025, 1, 2)).hours == 24
+    shifted = TimeRange.resolve(start="2025-01-01T00:00:00+02:00", end="2025-01-01")
+    assert shifted.start == datetime(2024, 12, 31, 22) and shifted.hours == 2
     with pytest.raises(ValueError):
         TimeRange.resolve(start="2025-01-01")
 

@@ -50,12 +50,12 @@ def per_variable(attribute: str, configs=VARIABLES, variable: str = "variable")
 
 
 def parse_time(value: str | datetime | None, now: datetime | None = None) -> datetime | None:
-    """``NOW`` in any case, a datetime, or an ISO string."""
-    if value is None or isinstance(value, datetime):
-        return value
-    if value.upper() == "NOW":
-        return now or datetime.now(timezone.utc).replace(tzinfo=None)
-    return datetime.fromisoformat(value)
+    """``NOW`` in any case, a datetime, or an ISO string; times with an offset become UTC without one."""
+    if isinstance(value, str):
+        value = (now or datetime.now(timezone.utc)) if value.upper() == "NOW" else datetime.fromisoformat(value)
+    if value is not None and value.tzinfo is not None:
+        value = value.astimezone(timezone.utc).replace(tzinfo=None)
+    return value
 
 
 @dataclass(frozen=True)

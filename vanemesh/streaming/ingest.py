@@ -1,7 +1,8 @@
 """Continuous ingest of landed snapshots into deduplicated tables.
 
-Every micro-batch writes its own ``batch_id`` folder, replacing what a failed attempt may have left, so a
-batch can be run again. Exactness does not depend on a horizon: a batch drops what earlier batches hold.
+Observations are stored by day, and in a day by run (the id that Spark keeps in the checkpoint) and batch. A batch
+replaces its own folders only, so it can be run again, and an ingest with a new checkpoint adds to what is stored.
+Exactness does not depend on a horizon: a batch drops what all other batches hold of its days.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import ingest
+from ..operators.scale import settle
 from ..sources import geojson
 
 
@@ -27,13 +29,13 @@ class Store:
         return f"{self.folder}/{name}"
 
     def observations(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(self.table("observations")).drop("batch_id")
+        return spark.read.parquet(self.table("observations")).drop("run", "batch_id")
 
     def stations(self, spark: SparkSession) -> DataFrame:
         """The current station table, merged from the batches' updates."""
         rows = spark.read.parquet(self.table("stations"))
         return rows.groupBy("station_id").agg(
-            F.max_by("newest", "batch_id").alias("v"), F.min("first_seen").alias("first_seen"),
+            F.max_by("newest", F.struct("last_seen", "batch_id")).alias("v"), F.min("first_seen").alias("first_seen"),
             F.max("last_seen").alias("last_seen")).select("station_id", "v.*", "first_seen", "last_seen")
 
     def log(self, spark: SparkSession) -> DataFrame:
@@ -54,11 +56,15 @@ def start_ingest(snapshots: DataFrame, store: Store, checkpoint: str, order=("la
                  every: str | None = None) -> StreamingQuery:
     """``every`` is the trigger interval (``10 minutes`` is the usual cadence); None ingests what has landed."""
 
+    spark = snapshots.sparkSession
+    run: list[str] = []
+
     def save(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
+        if not run:
+            run.append(spark.read.json(f"{checkpoint}/metadata").first()["id"])
         batch = batch.persist()
         try:
-            _save_batch(spark, batch, batch_id, store, list(order))
+            _save_batch(spark, batch, run[0], batch_id, store, list(order))
         finally:
             batch.unpersist()
 
@@ -67,40 +73,46 @@ def start_ingest(snapshots: DataFrame, store: Store, checkpoint: str, order=("la
     return writer.start()
 
 
-def _save_batch(spark: SparkSession, batch: DataFrame, batch_id: int, store: Store, order: list[str]) -> None:
+def _save_batch(spark: SparkSession, batch: DataFrame, run: str, batch_id: int, store: Store, order: list[str]) -> None:
     rows = geojson.features(batch)
-    found = geojson.observations(rows)
     target = store.table("observations")
-    fresh = ingest.first_writes(found, order).drop("feature_no", "source").withColumn("obs_date", F.to_date("time"))
-    if batch_id > 0:
-        # Only the days of this batch are read from the table; the list of days prunes its partitions.
-        days = [r[0] for r in fresh.select("obs_date").distinct().limit(DAY_LIMIT + 1).collect()]
-        held = stored_rows(spark, fresh, target).where(F.col("batch_id") < batch_id)
-        if len(days) <= DAY_LIMIT:
-            held = held.where(F.col("obs_date").isin(days))
-        fresh = fresh.join(held.select("time", "station_id", "obs_date"), ["time", "station_id", "obs_date"], "left_anti")
-    fresh.write.mode("overwrite").partitionBy("obs_date").parquet(f"{target}/batch_id={batch_id}")
+    fresh = ingest.first_writes(geojson.observations(rows), order).drop("feature_no").withColumn("obs_date", F.to_date("time"))
+    here = [F.lit(run).alias("run"), F.lit(batch_id).alias("batch_id")]
+    kept = fresh.drop("source")
+    # The table exists from here on, also if the batch has no rows.
+    by_day = {"partitionBy": ["obs_date", "run", "batch_id"]}
+    kept.select("*", *here).limit(0).write.mode("append").parquet(target, **by_day)
+    days = F.broadcast(fresh.select("obs_date").distinct())  # one row a day; it prunes the folders that are read
+    others = stored_rows(spark, kept, target).where((F.col("run") != run) | (F.col("batch_id") != batch_id))
+    held = others.join(days, "obs_date", "left_semi").select("time", "station_id", "obs_date")
+    fresh = settle(fresh.join(held, ["time", "station_id", "obs_date"], "left_anti"), "fresh")
+    fresh.drop("source").select("*", *here).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").parquet(target, **by_day)
+    folder = f"run={run}/batch_id={batch_id}"
     ingest.station_updates(geojson.stations(rows), "landed_at", order).write.mode("overwrite").parquet(
-        f"{store.table('stations')}/batch_id={batch_id}")
-
-    stored = stored_rows(spark, fresh, target).where(F.col("batch_id") == batch_id)
-    counts = rows.agg(F.count(F.lit(1)).cast("int").alias("stations_count")).crossJoin(
-        stored.agg(F.count(F.lit(1)).cast("int").alias("observations_count"))).crossJoin(
-        batch.agg(F.count_if(geojson.unreadable()).cast("int").alias("bad")))
-    good = counts.select(F.lit("SUCCESS").alias("status"), "stations_count", "observations_count", F.format_string(
-        "Stored %d obs from %d stations", "observations_count", "stations_count").alias("message"))
-    bad = counts.where(F.col("bad") > 0).select(
+        f"{store.table('stations')}/{folder}")
+    snapshot_log(batch, rows, fresh).write.mode("overwrite").parquet(f"{store.table('log')}/{folder}")
+
+
+def snapshot_log(batch: DataFrame, rows: DataFrame, fresh: DataFrame) -> DataFrame:
+    """A row for each snapshot: SUCCESS with what was stored of it, or ERROR. An empty feature list gives none."""
+    key = ["landed_at", "source"]
+    seen = rows.groupBy(*key).agg(F.count(F.lit(1)).cast("int").alias("stations_count"))
+    stored = fresh.groupBy(*key).agg(F.count(F.lit(1)).cast("int").alias("observations_count"))
+    good = seen.join(stored, key, "left").fillna(0, ["observations_count"]).select(
+        F.lit("SUCCESS").alias("status"), "stations_count", "observations_count", F.format_string(
+            STORED, "observations_count", "stations_count").alias("message"), F.col("landed_at").alias("timestamp"))
+    bad = batch.where(geojson.unreadable()).select(
         F.lit("ERROR").alias("status"), F.lit(0).alias("stations_count"), F.lit(0).alias("observations_count"),
-        F.format_string("Error: %d unreadable snapshots", "bad").alias("message"))
-    good.unionByName(bad).withColumn("timestamp", F.current_timestamp()).coalesce(1).write.mode("overwrite").parquet(
-        f"{store.table('log')}/batch_id={batch_id}")
+        F.lit("Error: unreadable snapshot").alias("message"), F.col("landed_at").alias("timestamp"))
+    return good.unionByName(bad)
 
 
 def stored_rows(spark: SparkSession, like: DataFrame, target: str) -> DataFrame:
     """The table with its schema given, so that batches without rows are no problem."""
-    schema = T.StructType([*like.schema.fields, T.StructField("batch_id", T.IntegerType())])
+    schema = T.StructType([*like.schema.fields, T.StructField("run", T.StringType()), T.StructField("batch_id", T.IntegerType())])
     return spark.read.schema(schema).parquet(target)
 
 
-# Days listed in a partition filter; a batch that spans more is matched against all days.
-DAY_LIMIT = 1_000
+# Fixed value: the message of the collection log.
+STORED = "Stored %d obs from %d stations"
