@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..config import OBSERVATIONS_PER_DAY, VARIABLES, VariableConfig, per_variable
 from ..functions.columns import fixed_text, percent_text, seconds
+from .scale import carry_parts
 
 ZERO_LIMIT, NULL_LIMIT, VARIANCE_LIMIT = 0.3, 0.5, 0.1
 
@@ -43,13 +44,19 @@ def ratios(long: DataFrame, keys: Sequence[str] = ("station_id", "variable")) ->
 
 
 def station_health(long: DataFrame, stations: DataFrame, days: float = 30,
-                   per_day: int = OBSERVATIONS_PER_DAY) -> DataFrame:
-    """One row per station: completeness, status (critical when a variable is), issues; or ``no_data``."""
+                   per_day: int = OBSERVATIONS_PER_DAY, rows: DataFrame | None = None) -> DataFrame:
+    """One row per station: completeness, status (critical when a variable is), issues; or ``no_data``.
+
+    ``rows`` brings the rows to count where ``long`` has only some variables of a station.
+    """
     health = variable_health(long)
     per_station = health.groupBy("station_id").agg(
         F.max("data_points").alias("data_points"),
         F.max((F.col("severity") == "critical").cast("int")).alias("_critical"),
         F.sum(F.size("issues")).alias("issue_count"))
+    if rows is not None:
+        counted = rows.groupBy("station_id").agg(F.count(F.lit(1)).alias("data_points"))
+        per_station = counted.join(per_station.drop("data_points"), "station_id", "left").fillna(0, ["_critical", "issue_count"])
     completeness = F.col("data_points") / F.lit(float(days * per_day))
     status = F.when(F.col("_critical").isNull(), "no_data").when(F.col("_critical") == 1, "critical").otherwise("healthy")
     return stations.select("station_id").join(per_station, "station_id", "left").select(
@@ -135,10 +142,15 @@ def collector_health(log: DataFrame, as_of: Column) -> DataFrame:
 
 
 def longest_failures(log: DataFrame) -> DataFrame:
-    """Runs of failures per day: a run breaks at a success and at midnight."""
-    rows = log.withColumn("day", F.to_date("timestamp"))
-    by_day = Window.partitionBy("day").orderBy("timestamp")
-    run = F.sum(F.when(F.col("status") == "SUCCESS", 1).otherwise(0)).over(by_day)
-    runs = rows.withColumn("_run", run).where(F.col("status") != "SUCCESS").groupBy("day", "_run").agg(
-        F.count(F.lit(1)).alias("length"))
+    """The longest run of failures that begins on each day; only a success ends a run.
+
+    The successes of the days before are carried into each day, so that a run is known across midnight.
+    """
+    good = F.when(F.col("status") == "SUCCESS", 1).otherwise(0)
+    rows = log.select("id", "timestamp", "status", F.to_date("timestamp").alias("day"))
+    rows = carry_parts(rows, [], "day", [F.sum(good).alias("_good")], {
+        "_before": lambda w: F.coalesce(F.sum("_good").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+    inside = Window.partitionBy("day").orderBy("timestamp", "id")
+    runs = rows.withColumn("_run", F.sum(good).over(inside) + F.col("_before")).where(F.col("status") != "SUCCESS").groupBy("_run").agg(
+        F.min("day").alias("day"), F.count(F.lit(1)).alias("length"))
     return runs.groupBy("day").agg(F.max("length").alias("longest_failure_run"))

@@ -61,14 +61,22 @@ def three_sigma(long: DataFrame, threshold: float | Column = 3.0, on_null: str =
     return flags(hit, "3sigma", F.col("mean"), score, low, high)
 
 
+def _value_counts(long: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame, int]:
+    """``copies`` of each value per series (NULL too), ``rows`` and ``n`` per series, and the number of series: one scan."""
+    values = settle(long.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("copies")), "values")
+    known = F.when(F.col("value").isNotNull(), F.col("copies")).otherwise(0)
+    counts, rows = keep(values.groupBy(*keys).agg(F.sum("copies").alias("rows"), F.sum(known).alias("n")))
+    return values, counts, rows
+
+
 def _median_and_mad(long: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, int]:
     """``rows, n, median, mad`` per series; both medians are taken over value counts."""
-    counts, rows = keep(long.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.count("value").alias("n")))
-    median, _ = keep(exact_quantiles(long, keys, "value", {"median": 0.5}, counts=counts))
-    away = attach(long, median.join(counts, [*keys]), keys, "rows", ["time"], rows).select(
-        *keys, F.abs(F.col("value") - F.col("median")).alias("away")
+    values, counts, rows = _value_counts(long, keys)
+    median, _ = keep(exact_quantiles(values, keys, "value", {"median": 0.5}, "copies", counts))
+    away = attach(values, median.join(counts, [*keys]), keys, "rows", ["value"], rows).select(
+        *keys, F.abs(F.col("value") - F.col("median")).alias("away"), "copies"
     )
-    mad = exact_quantiles(away, keys, "away", {"mad": 0.5}, counts=counts)
+    mad = exact_quantiles(away, keys, "away", {"mad": 0.5}, "copies", counts)
     return counts.join(median, [*keys]).join(mad, [*keys]), rows
 
 
@@ -96,8 +104,8 @@ def raw_mad(long: DataFrame, threshold: float = 3.5, on_null: str = "skip",
 
 def iqr(long: DataFrame, factor: float = 1.5, keys: Sequence[str] = SERIES) -> DataFrame:
     """Values outside the quartiles widened by ``factor`` interquartile ranges."""
-    counts, rows = keep(long.groupBy(*keys).agg(F.count("value").alias("n")))
-    quart = exact_quantiles(long, keys, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, counts=counts)
+    values, counts, rows = _value_counts(long, keys)
+    quart = exact_quantiles(values, keys, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, "copies", counts)
     stats = quart.join(counts, [*keys]).where(F.col("n") >= 3)
     joined = attach(long, stats, keys, "n", ["time"], rows)
     spread = F.col("q3") - F.col("q1")

@@ -20,9 +20,9 @@ HOURLY_VARIABLES = tuple(a.EVENT_VARIABLES.values())
 AS_OF_SQL = "TIMESTAMP '2024-01-31 00:00:00'"
 
 
-def hourly_long(spark, sf, variables=HOURLY_VARIABLES):
+def hourly_long(spark, sf, variables=HOURLY_VARIABLES, span=None):
     """Sevenths, since means of values with two decimals lie on rounding ties."""
-    return tables.long_form(a.hourly(spark, sf), variables).withColumn("value", F.col("value") / 7)
+    return tables.long_form(a.hourly(spark, sf, span), variables).withColumn("value", F.col("value") / 7)
 
 
 HOURLY_LONG = a.long_sql("hourly", "whole", HOURLY_VARIABLES) + """,
@@ -92,14 +92,14 @@ def network_centre(spark, sf):
 @query(HEAD + """SELECT station_id, time, temp_out, out_hum, wind_speed, bar, rain FROM hourly
   WHERE time BETWEEN TIMESTAMP '2024-01-08 00:00:00' AND TIMESTAMP '2024-01-22 06:00:00'""")
 def window_scan(spark, sf):
-    return tables.scan(a.hourly(spark, sf), WINDOW)
+    return tables.scan(a.hourly(spark, sf, WINDOW), WINDOW)
 
 
 @query(HEAD + """SELECT station_id, time, temp_out, out_hum, wind_speed, bar, rain FROM hourly
   WHERE time >= TIMESTAMP '2024-01-28 12:00:00' AND time < TIMESTAMP '2024-01-30 12:00:00'""")
 def window_scan_half_open(spark, sf):
     span = TimeRange.resolve(end="2024-01-30 12:00:00", hours=48, closed="left")
-    return tables.scan(a.hourly(spark, sf), span)
+    return tables.scan(a.hourly(spark, sf, span), span)
 
 
 @query(HEAD + """SELECT station_id, time, bar FROM hourly WHERE station_id IN ('1', '3', '5')""")
@@ -232,7 +232,7 @@ _PROFILE_WINDOW = """, w AS (SELECT * FROM long
        + _profile_select("station_id, variable"))
 def profile_window(spark, sf):
     span = TimeRange.resolve(end=a.AS_OF, hours=48, closed="left")
-    return _flat(profile.column_profile(hourly_long(spark, sf).where(span.contains())))
+    return _flat(profile.column_profile(hourly_long(spark, sf, span=span).where(span.contains())))
 
 
 @query(a.with_sql(a.HOURLY, HOURLY_LONG).rstrip() + _profile_sql("station_id, variable", "long") + """
@@ -360,14 +360,15 @@ def health_variables(spark, sf):
 
 
 @query(a.with_sql(STALLED, RATIOS, ISSUES) + """SELECT CAST(u.k AS VARCHAR) AS station_id, 30 AS days,
-  coalesce(max(data_points), 0) AS data_points, round(max(data_points) / (30 * 144.0::DOUBLE), 6) AS data_completeness,
-  CASE WHEN max(data_points) IS NULL THEN 'no_data' WHEN bool_or(i1 OR i2 OR i3) THEN 'critical' ELSE 'healthy' END AS overall_status,
-  CAST(coalesce(sum(CAST(i1 AS INTEGER) + CAST(i2 AS INTEGER) + CAST(i3 AS INTEGER)), 0) AS BIGINT) AS issue_count
-  FROM (SELECT s_suppkey AS k FROM supplier) u LEFT JOIN judged j ON j.station_id = CAST(u.k AS VARCHAR) AND j.variable = 'wind_speed'
+  CAST(coalesce(sum(data_points), 0) AS BIGINT) AS data_points, round(sum(data_points) / (30 * 144.0::DOUBLE), 6) AS data_completeness,
+  CASE WHEN sum(data_points) IS NULL THEN 'no_data' WHEN bool_or((i1 OR i2 OR i3) AND j.variable = 'wind_speed') THEN 'critical' ELSE 'healthy' END AS overall_status,
+  CAST(coalesce(sum(CASE WHEN j.variable = 'wind_speed' THEN CAST(i1 AS INTEGER) + CAST(i2 AS INTEGER) + CAST(i3 AS INTEGER) END), 0) AS BIGINT) AS issue_count
+  FROM (SELECT s_suppkey AS k FROM supplier) u LEFT JOIN judged j ON j.station_id = CAST(u.k AS VARCHAR)
   GROUP BY u.k""")
 def health_station(spark, sf):
-    wind = stalled_long(spark, sf).where(F.col("variable") == "wind_speed")
-    return rounded(health.station_health(wind, a.stations(spark, sf), 30))
+    rows = stalled_long(spark, sf)
+    wind = rows.where(F.col("variable") == "wind_speed")
+    return rounded(health.station_health(wind, a.stations(spark, sf), 30, rows=rows))
 
 
 @query(a.with_sql(STALLED, RATIOS) + """SELECT station_id, variable, data_points, round(zero_ratio, 6) AS zero_ratio,
@@ -450,8 +451,8 @@ def collector_health(spark, sf):
 
 
 @query(a.with_sql(LOG) + """SELECT day, max(n) AS longest_failure_run FROM (
-  SELECT day, run, count(*) AS n FROM (SELECT CAST(timestamp AS DATE) AS day, status, sum(CASE WHEN status = 'SUCCESS' THEN 1 ELSE 0 END)
-    OVER (PARTITION BY CAST(timestamp AS DATE) ORDER BY timestamp, id) AS run FROM log)
-  WHERE status <> 'SUCCESS' GROUP BY 1, 2) GROUP BY 1""")
+  SELECT min(day) AS day, run, count(*) AS n FROM (SELECT CAST(timestamp AS DATE) AS day, status, sum(CASE WHEN status = 'SUCCESS' THEN 1 ELSE 0 END)
+    OVER (ORDER BY timestamp, id) AS run FROM log)
+  WHERE status <> 'SUCCESS' GROUP BY run) GROUP BY 1""")
 def failure_runs(spark, sf):
     return health.longest_failures(collection_log(spark, sf))

@@ -249,16 +249,18 @@ def normal_stations(spark, sf):
 
 
 @query(a.with_sql(a.EVENTS_LONG, """w AS (
-    SELECT time_bucket(INTERVAL 6 HOURS, time, TIMESTAMP '1970-01-01') AS window_start, station_id, variable, time, value
-    FROM events_long)""", """st AS (SELECT window_start, variable, count(value) AS n, avg(value) AS mean,
-    stddev_pop(value) AS sd FROM w GROUP BY ALL)""") + """SELECT window_start, variable, count(*) AS flag_count
-  FROM w JOIN st USING (window_start, variable) WHERE n >= 3 AND sd > 1e-12 AND abs(value - mean) > 3 * sd GROUP BY 1, 2""")
+    SELECT time_bucket(INTERVAL 6 HOURS, time, TIMESTAMP '1970-01-01') AS window_start, CAST(CAST(station_id AS BIGINT) % 2 AS VARCHAR) AS station_id,
+    variable, time, value FROM events_long)""", """st AS (SELECT window_start, station_id, variable, count(value) AS n, avg(value) AS mean,
+    stddev_pop(value) AS sd FROM w GROUP BY ALL)""") + """SELECT window_start, station_id, variable, count(*) AS flag_count,
+    count(CASE WHEN value > mean THEN 1 END) AS high_count, count(CASE WHEN value < mean THEN 1 END) AS low_count
+  FROM w JOIN st USING (window_start, station_id, variable) WHERE n >= 3 AND sd > 1e-12 AND abs(value - mean) > 2 * sd GROUP BY 1, 2, 3""")
 def sweep_6h(spark, sf):
     """The detector over every 6-hour window at once: the window is one more key."""
-    swept = report.sweep(a.events_long(spark, sf))
-    joined = point.three_sigma(swept.withColumn("variable", F.struct("window_start", "variable")), keys=["variable"])
-    return joined.groupBy(F.col("variable.window_start").alias("window_start"), F.col("variable.variable").alias("variable")
-                          ).agg(F.count(F.lit(1)).alias("flag_count"))
+    halves = a.events_long(spark, sf).withColumn("station_id", (F.col("station_id").cast("long") % 2).cast("string"))
+    found = point.three_sigma(report.sweep(halves).withColumn("variable", F.struct("window_start", "variable")), 2.0)
+    return found.groupBy(F.col("variable.window_start").alias("window_start"), "station_id", F.col("variable.variable").alias("variable")).agg(
+        F.count(F.lit(1)).alias("flag_count"), F.count_if(F.col("value") > F.col("expected")).alias("high_count"),
+        F.count_if(F.col("value") < F.col("expected")).alias("low_count"))
 
 
 @query()

@@ -144,19 +144,19 @@ def stream_hourly(spark, sf):
 
 @query("""SELECT b AS bucket, CAST(user_id % 14 AS VARCHAR) AS station_id, event_type AS variable, count(value) AS n, round(avg(value), 6) AS mean,
   round(stddev_pop(value), 6) AS std
-  FROM (SELECT *, time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01') - to_hours(unnest(range(0, 6))) AS b FROM events) GROUP BY ALL""")
+  FROM (SELECT *, time_bucket(INTERVAL 10 MINUTES, ts, TIMESTAMP '1970-01-01') - to_minutes(10 * unnest(range(0, 36))) AS b FROM events) GROUP BY ALL""")
 def stream_sliding(spark, sf):
-    stream = aggregates.sliding(reading_stream(spark, sf), step="1 hour")
+    stream = aggregates.sliding(reading_stream(spark, sf))
     return rounded(_updates(spark, stream, ["station_id", "variable"]))
 
 
 @query("""SELECT b AS bucket, CAST(user_id % 14 AS VARCHAR) AS station_id, event_type AS variable, count(*) AS row_count, count(*) - count(value) AS missing_count,
-  round(avg(value), 6) AS mean, min(value) AS min, max(value) AS max
-  FROM (SELECT *, time_bucket(INTERVAL 12 HOURS, ts, TIMESTAMP '1970-01-01') - to_hours(12 * unnest(range(0, 2))) AS b FROM events) GROUP BY ALL""")
+  round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, min(value) AS min, max(value) AS max
+  FROM (SELECT *, time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01') - to_hours(unnest(range(0, 24))) AS b FROM events) GROUP BY ALL""")
 def stream_profile(spark, sf):
-    stream = aggregates.profile(reading_stream(spark, sf), step="12 hours")
+    stream = aggregates.profile(reading_stream(spark, sf))
     out = _updates(spark, stream, ["station_id", "variable"])
-    return rounded(out.select("bucket", "station_id", "variable", "row_count", "missing_count", "mean", "min", "max"))
+    return rounded(out.select("bucket", "station_id", "variable", "row_count", "missing_count", "mean", "std", "min", "max"))
 
 
 @query("""SELECT DISTINCT date_trunc('minute', ts) AS time, CAST(user_id % 14 AS VARCHAR) AS station_id FROM events""")

@@ -157,18 +157,12 @@ def _aligned_sql(min_points: int = 5, pairwise: bool = False) -> str:
 
 
 # A third of the stations has no neighbours: their edges are taken away.
-_FEWER = FULL.replace(a.edges_sql(), a.edges_sql(name="all_edges") + """,
-  edges AS (SELECT * FROM all_edges WHERE CAST(src AS BIGINT) % 3 <> 0 AND CAST(dst AS BIGINT) % 3 <> 0)""")
-VERDICTS = _FEWER.rstrip() + f", {_FLAGGED}, " + _aligned_sql()
-
-
-def fewer_edges(spark, sf):
-    return edges(spark, sf).where((F.col("src").cast("long") % 3 != 0) & (F.col("dst").cast("long") % 3 != 0))
+VERDICTS = FULL.rstrip() + f", {_FLAGGED}, " + _aligned_sql()
 
 
 def verdicts(spark, sf, **options):
     rows = long(spark, sf)
-    return trend.verify(point.three_sigma(rows), rows, fewer_edges(spark, sf), a.stations(spark, sf), RADIUS, **options)
+    return trend.verify(point.three_sigma(rows), rows, edges(spark, sf), a.stations(spark, sf), RADIUS, **options)
 
 
 _VERDICT_COLUMNS = """station_id, variable, time, status, type, points, n_neighbors, round(median_corr, 6) AS median_corr, round(max_corr, 6) AS max_corr"""
@@ -181,7 +175,7 @@ def trend_verify(spark, sf):
     return rounded(verdicts(spark, sf).select(*_SHOWN, "label"))
 
 
-@query(_FEWER.rstrip() + f", {_FLAGGED}, " + _aligned_sql(8, True) + f" SELECT {_VERDICT_COLUMNS} FROM verdicts")
+@query(FULL.rstrip() + f", {_FLAGGED}, " + _aligned_sql(8, True) + f" SELECT {_VERDICT_COLUMNS} FROM verdicts")
 def trend_verify_pairwise(spark, sf):
     """Each neighbour over the times it shares with the station, other limits."""
     return rounded(verdicts(spark, sf, alignment="pairwise", min_points=8).select(*_SHOWN))
@@ -190,7 +184,7 @@ def trend_verify_pairwise(spark, sf):
 @query(VERDICTS + """ SELECT p.a_station, p.variable, p.a_time, p.member, p.points, round(p.corr, 6) AS corr FROM pc p WHERE p.member <> p.a_station""")
 def trend_pairs(spark, sf):
     rows = long(spark, sf)
-    windows = trend.anomaly_windows(point.three_sigma(rows), rows, fewer_edges(spark, sf), RADIUS)
+    windows = trend.anomaly_windows(point.three_sigma(rows), rows, edges(spark, sf), RADIUS)
     pairs = trend.pair_correlations(windows).where(F.col("member") != F.col("a_station"))
     return rounded(pairs.select("a_station", "variable", "a_time", "member", "points", "corr"))
 
@@ -204,7 +198,7 @@ def trend_pairs(spark, sf):
 def neighbor_table(spark, sf):
     """Readings around device failures, next to the first five neighbours."""
     failed = verdicts(spark, sf).where(F.col("type") == "critical_failure").select("station_id", "variable", "time")
-    return rounded(trend.comparison_table(failed, long(spark, sf), fewer_edges(spark, sf), RADIUS), 8)
+    return rounded(trend.comparison_table(failed, long(spark, sf), edges(spark, sf), RADIUS), 8)
 
 
 @query(FULL.rstrip() + """, joint AS (SELECT e.src, e.dst, x.variable, e.dist_km, x.value AS x, y.value AS y FROM edges e

@@ -5,11 +5,13 @@ Averages are taken over integer hundredths, so both engines get the very same do
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import TimeRange
+
 EVENT_VARIABLES = {"click": "temp_out", "view": "out_hum", "purchase": "wind_speed", "signup": "bar", "error": "rain"}
 AS_OF = datetime(2024, 1, 31)
 
@@ -37,9 +39,15 @@ EVENTS_LONG = """events_long AS (
   SELECT CAST(user_id AS VARCHAR) AS station_id, ts AS time, event_type AS variable, value FROM events)"""
 
 
-def hourly(spark: SparkSession, sf: str) -> DataFrame:
-    """14 stations with one row per hour; variables without an event in the hour are NULL."""
-    e = table(spark, sf, "events").withColumn("v", hundredths("value"))
+def hourly(spark: SparkSession, sf: str, span: TimeRange | None = None) -> DataFrame:
+    """14 stations with one row per hour; variables without an event in the hour are NULL.
+
+    With ``span`` only the events that its hours can hold are read: the scan skips the others.
+    """
+    e = table(spark, sf, "events")
+    if span is not None:
+        e = e.where((F.col("ts") >= F.lit(span.start)) & (F.col("ts") < F.lit(span.end + timedelta(hours=1))))
+    e = e.withColumn("v", hundredths("value"))
 
     def mean(kind):
         v = F.when(F.col("event_type") == kind, F.col("v"))
