@@ -46,6 +46,7 @@ def main() -> None:
         "metric": "total time of the headline queries", "value": round(sum(seconds.values()), 3), "unit": "sec",
         "queries": seconds, "sf": float(scale.group(1)) if scale else None,
     }))
+    session.drop_run_folders(spark)
     spark.stop()
 
 

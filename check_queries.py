@@ -35,7 +35,7 @@ def compare(spark, con, name, sf):
     got = rows_of(df.columns, df.collect())
     took = time.time() - started
     if name not in SQL:
-        return f"rows-only {len(got)} rows", took, True
+        return f"rows-only {len(got)} rows", took, bool(got)
     started = time.time()
     cur = con.execute(SQL[name])
     columns = [d[0] for d in cur.description]

@@ -116,8 +116,20 @@ def scan_excluding(spark, sf):
   WHERE time >= (SELECT max(time) FROM supplier_obs) - INTERVAL 1 YEAR""")
 def retained_last_year(spark, sf):
     obs = a.supplier_obs(spark, sf)
-    newest = obs.agg(F.max("time").alias("newest"))
-    return tables.retained(obs.crossJoin(F.broadcast(newest)), F.col("newest")).drop("newest")
+    newest = a.table(spark, sf, "lineitem").agg(F.date_trunc("week", F.max("l_shipdate"))).first()[0]
+    return tables.retained(obs, F.lit(newest).cast("timestamp_ntz"))
+
+
+@query(HEAD.rstrip() + """, named(variable, label, unit) AS (VALUES ('temp_out', 'Temp', '°C'), ('out_hum', 'Humidity', '%'),
+    ('wind_speed', 'Wind', 'km/h'), ('bar', 'Pressure', 'hPa'), ('rain', 'Rain', 'mm')),
+  r AS (SELECT * FROM hourly UNPIVOT INCLUDE NULLS (value FOR variable IN (temp_out, out_hum, wind_speed, bar, rain)))
+  SELECT variable, label, unit, count(*) AS row_count, count(value) AS n, min(value) AS min, max(value) AS max
+  FROM r JOIN named USING (variable) GROUP BY ALL""")
+def labelled_variables(spark, sf):
+    """What each variable is called and measured in, next to its range."""
+    rows = tables.long_form(a.hourly(spark, sf), HOURLY_VARIABLES)
+    return tables.labelled(rows.groupBy("variable").agg(
+        F.count(F.lit(1)).alias("row_count"), F.count("value").alias("n"), F.min("value").alias("min"), F.max("value").alias("max")))
 
 
 @query(a.with_sql(a.SUPPLIER_OBS, a.long_sql("supplier_obs")) + "SELECT * FROM long")

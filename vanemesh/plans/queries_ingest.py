@@ -117,16 +117,34 @@ def run_to_end(stream):
     stream.awaitTermination()
 
 
-@query(BASE.rstrip() + f", {_FIRST} SELECT station_id, time, temp_out, rain FROM firsts")
-def stream_ingest(spark, sf):
-    """Events as snapshots, each sent twice, through the ingest into the stored table."""
-    events = event_stream(spark, sf)
+def ingested(spark, sf, files: int = 3):
+    """Events as snapshots, each sent twice, through the ingest in a micro-batch for each of a few files."""
+    events, folder = a.table(spark, sf, "events"), run_folder(spark, "landed")
+    low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
+    place = F.floor((F.col("event_id") - low) * files / F.lit(high - low + 1))
+    for k in range(files):  # one after the other, as snapshots land
+        events.where(place == k).coalesce(1).write.mode("append").parquet(folder)
+    events = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
     snapshots = events.withColumn("value", a.snapshot_text()).select(
         "value", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("event_id")).alias("landed_at"),
         F.lit("events").alias("source"))
     store = stream_store.Store(run_folder(spark, "store"))
     run_to_end(stream_store.start_ingest(snapshots.union(snapshots), store, run_folder(spark, "checkpoint")))
-    return store.observations(spark).select("station_id", "time", "temp_out", "rain")
+    return store
+
+
+@query(BASE.rstrip() + f", {_FIRST} SELECT station_id, time, temp_out, rain FROM firsts")
+def stream_ingest(spark, sf):
+    return ingested(spark, sf).observations(spark).select("station_id", "time", "temp_out", "rain")
+
+
+@query(BASE.rstrip() + f""", {_FIRST}, o AS (SELECT event_id, count(*) AS n FROM firsts GROUP BY 1)
+  SELECT make_timestamp((1700000000 + event_id) * 1000000) AS timestamp, 'SUCCESS' AS status, 2 AS stations_count,
+    CAST(coalesce(n, 0) AS INTEGER) AS observations_count, 'Stored ' || coalesce(n, 0) || ' obs from 2 stations' AS message
+  FROM features LEFT JOIN o USING (event_id)""")
+def stream_log(spark, sf):
+    """The collection log of the ingest: a row for each snapshot."""
+    return ingested(spark, sf).log(spark).select("timestamp", "status", "stations_count", "observations_count", "message")
 
 
 def _updates(spark, stream, keys):

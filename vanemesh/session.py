@@ -39,6 +39,12 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+def drop_run_folders(spark: SparkSession) -> None:
+    """Delete what this application has written between its steps. Nothing that reads it may be used afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/vanemesh-{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run_folder(spark: SparkSession, name: str) -> str:
     """A new folder for one output or intermediate table, under one folder per application."""
     return f"{shared_folder(spark)}/vanemesh-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"

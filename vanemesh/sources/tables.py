@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..config import DETECTED, TimeRange
+from ..config import DETECTED, RAIN, VARIABLES, WIND_DIR, TimeRange, VariableConfig
 from ..functions.columns import clean
 
 # The columns of the three tables.
@@ -74,6 +74,15 @@ def scan(obs: DataFrame, span: TimeRange | None = None, stations: Sequence[str]
     return obs.select("station_id", "time", *present)
 
 
+def labelled(rows: DataFrame, configs: Sequence[VariableConfig] = (*VARIABLES, RAIN, WIND_DIR)) -> DataFrame:
+    """Adds the label and the unit of each row's ``variable``."""
+
+    def named(attribute: str) -> Column:
+        return F.try_element_at(F.create_map(*[F.lit(x) for c in configs for x in (c.name, getattr(c, attribute))]), F.col("variable"))
+
+    return rows.withColumns({"label": named("label"), "unit": named("unit")})
+
+
 def retained(obs: DataFrame, as_of: Column, years: int = 1) -> DataFrame:
     """Rows of the last years, as a filter."""
     return obs.where(F.col("time") >= as_of - F.make_ym_interval(F.lit(years), F.lit(0)))
