@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.scale import keep, settle
-from .text import fold_case, joined, numbered, whole
+from .text import fold_case, joined, keyed, whole
 
 # Counters of a summary. Winners are at most as many: some 100 bytes each, 0.4 MB to broadcast.
 CAPACITY = 4096
@@ -82,7 +82,7 @@ def resolve(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def dedupe(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    whole_rows, row = numbered(docs)
+    whole_rows, row = keyed(docs)
     rows = settle(digested(whole_rows, "doc_id", row).withColumnRenamed(row, "seq"), "digests")
     found = groups(rows, "digest", capacity)
     gone, n = keep(found.where(F.col("seq") != F.col("keep.seq")).select(F.col("seq").alias(row)))

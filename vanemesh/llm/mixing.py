@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.scale import keep, settle
-from .text import WORD, fresh, joined, numbered, whole
+from .text import WORD, fresh, joined, keyed, whole
 
 # Documents that meet in one bucket of the tree, and children of a node.
 BUCKET = 128
@@ -161,7 +161,7 @@ def mixture(docs: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as it is taken, with all its columns."""
-    rows, row = numbered(docs)
+    rows, row = keyed(docs)
     copies = fresh(rows, "_copies")
     sizes = settle(rows.select(F.col(row).alias("id"), F.xxhash64("doc_id", whole("text")).alias("key"), "source",
                                words("text").alias("size")), "sizes")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ..operators.scale import settle
 
@@ -40,6 +41,19 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def keyed(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` with a whole number that tells its rows apart, and that column's name.
+
+    It is the doc_id itself where none is null or repeated; else rows are numbered in a written copy.
+    """
+    if isinstance(df.schema["doc_id"].dataType, IntegralType):
+        odd = df.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where((F.col("rows") > 1) | F.col("doc_id").isNull())
+        if odd.isEmpty():
+            row = fresh(df, "_row")
+            return df.withColumn(row, F.col("doc_id").cast("long")), row
+    return numbered(df)
+
+
 def numbered(df: DataFrame) -> tuple[DataFrame, str]:
     """``df`` as a written table with a number for each row, so that repeated rows can be told apart; the column's name."""
     row = fresh(df, "_row")
