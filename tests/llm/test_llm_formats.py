@@ -98,7 +98,7 @@ def test_bpe_as_the_tokenizer_library(spark, ranks, tokenizer, head):
     docs = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(TEXTS * 2)], "doc_id long, text string, word string, n int")
     encoded = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN, head), ranks)
     rows = encoded.collect()
-    shas = {r.doc_id: r for r in bpe.digests(encoded).collect()}
+    shas = {r.doc_id: r for r in bpe.digests(encoded, ranks).collect()}
     assert len(rows) == 2 * len(TEXTS)
     for r in rows:
         text = TEXTS[r.doc_id % len(TEXTS)] or ""
