@@ -111,6 +111,16 @@ def test_bpe_as_the_tokenizer_library(spark, ranks, tokenizer, head):
         assert (r.word, r.n) == ("x", 1)
 
 
+def test_splitting_spelled_out_is_the_pattern():
+    import regex
+
+    split, fast = regex.compile(public_tokenizers.PATTERN).findall, bpe.splitter(public_tokenizers.PATTERN)
+    for cp in [*range(0, 0xD800, 3), *range(0xE000, 0x11000), *range(0x1F000, 0x1F800)]:
+        c = chr(cp)
+        text = f"a{c}b 1{c}2 !{c}! {c} {c}{c}x'll"
+        assert fast(text) == split(text), hex(cp)
+
+
 def test_bpe_of_an_empty_table(spark, ranks):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.encode(docs, ranks, public_tokenizers.PATTERN).count() == 0

@@ -16,10 +16,14 @@ number of steps that grows with its bytes, each of which copies what is left of
 from __future__ import annotations
 
 import base64
+import hashlib
 import json
+import re
+import sys
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +36,15 @@ from .text import whole
 
 # Words that every task holds, and their bytes at most: with four bytes an id, less than 160 bytes each even if no two bytes
 # merge, some 30 as a rule.
-HEAD = 1_000_000
+HEAD = 800_000
 LONGEST = 32
+# Bytes of a batch of rows for Python: texts, their words and ids stand next to the dictionary in a worker's memory.
+BATCH_BYTES = 4 << 20
 # Distinct words that a task gathers before it passes on their counts.
 GATHER = 500_000
 BUCKETS = 1 << 16
 NONE = 2**31 - 1
+PLACES = 2**31
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -60,7 +67,10 @@ def let(value: Column, body) -> Column:
 
 
 def encode_word(word: Column, ranks: dict[bytes, int], buckets: int = BUCKETS) -> Column:
-    """Token ids of one word, array<int>."""
+    """Token ids of one word, array<int>.
+
+    The state of the fold is where the parts start (and the word's end), and the ranks of the pairs of neighbours.
+    """
     none = F.array().cast("array<int>")
 
     def encoded(letters: Column, maps: Column) -> Column:
@@ -69,29 +79,36 @@ def encode_word(word: Column, ranks: dict[bytes, int], buckets: int = BUCKETS) -
             return F.coalesce(F.element_at(F.get(maps, place), piece), F.lit(NONE))
 
         n = F.length(letters)
-        places = F.sequence(F.lit(1), n)
-        start = F.struct(
-            F.transform(places, lambda i: F.substring(letters, i, F.lit(1))).alias("parts"),
-            F.transform(F.transform(F.slice(places, F.lit(1), n - 1), lambda i: F.substring(letters, i, F.lit(2))), rank).alias("pairs"))
+        places = F.sequence(F.lit(1), n + 1)
+        two = F.transform(F.slice(places, F.lit(1), n - 1), lambda i: F.substring(letters, i, F.lit(2)))
+        start = F.struct(places.alias("starts"), F.transform(two, rank).alias("pairs"))
 
         def merge(state: Column, at: Column) -> Column:
-            """Join the parts ``at`` and ``at`` + 1 (1-based); only the pairs beside them change."""
-            parts, pairs = state["parts"], state["pairs"]
+            """Join the parts ``at`` and ``at`` + 1 (0-based); only the pairs beside them change."""
+            starts, pairs = state["starts"], state["pairs"]
 
-            def rebuild(piece: Column) -> Column:
-                beside = F.array_compact(F.array(F.concat(F.get(parts, at - 2), piece), F.concat(piece, F.get(parts, at + 1))))
-                return F.struct(
-                    F.concat(F.slice(parts, F.lit(1), at - 1), F.array(piece), F.slice(parts, at + 2, n)).alias("parts"),
-                    F.concat(F.slice(pairs, F.lit(1), F.greatest(at - 2, F.lit(0))), F.transform(beside, rank),
-                             F.slice(pairs, at + 2, n)).alias("pairs"))
+            def between(i: Column, j: Column) -> Column:
+                return F.substring(letters, F.get(starts, i), F.get(starts, j) - F.get(starts, i))
 
-            return let(F.concat(F.get(parts, at - 1), F.get(parts, at)), rebuild)
+            beside = F.array_compact(F.array(F.when(at > 0, between(at - 1, at + 2)), between(at, at + 3)))
+            return F.struct(
+                F.flatten(F.array(F.slice(starts, F.lit(1), at + 1), F.slice(starts, at + 3, n))).alias("starts"),
+                F.flatten(F.array(F.slice(pairs, F.lit(1), F.greatest(at - 1, F.lit(0))), F.transform(beside, rank),
+                                  F.slice(pairs, at + 3, n))).alias("pairs"))
 
         def step(state: Column, _: Column) -> Column:
-            return let(F.array_min(state["pairs"]), lambda best: F.when(F.coalesce(best, F.lit(NONE)) == NONE, state).otherwise(
-                let(F.array_position(state["pairs"], best).cast("int"), lambda at: merge(state, at))))
-
-        folded = F.aggregate(F.slice(places, F.lit(1), n - 1), start, step, lambda state: F.transform(state["parts"], rank))
+            # Rank and place in one number, so that the least tells the leftmost of the lowest pairs.
+            found = F.array_min(F.transform(state["pairs"], lambda r, i: r.cast("long") * F.lit(PLACES) + i))
+            return let(F.coalesce(found, F.lit(NONE * PLACES)), lambda best: F.when(best >= NONE * PLACES, state).otherwise(
+                let(best.bitwiseAND(F.lit(PLACES - 1)).cast("int"), lambda at: merge(state, at))))
+
+        def finish(state: Column) -> Column:
+            starts = state["starts"]
+            parts = F.transform(F.slice(starts, F.lit(1), F.size(starts) - 1),
+                                lambda s, i: F.substring(letters, s, F.get(starts, i + 1) - s))
+            return F.transform(parts, rank)
+
+        folded = F.aggregate(F.slice(places, F.lit(1), n - 1), start, step, finish)
         # A word that is a token as a whole needs no merges.
         return let(rank(letters), lambda whole_word: F.when(whole_word != NONE, F.array(whole_word)).otherwise(folded))
 
@@ -99,11 +116,33 @@ def encode_word(word: Column, ranks: dict[bytes, int], buckets: int = BUCKETS) -
     return F.when(F.length(word) > 0, let(rank_literal(ranks, buckets), lambda m: let(letters, lambda w: encoded(w, m)))).otherwise(none)
 
 
+def members(kind: str) -> str:
+    """The 16-bit code points of a Unicode class as ranges inside a bracket expression."""
+    low, high = "".join(map(chr, range(0xD800))), "".join(map(chr, range(0xE000, 0x10000)))
+    runs = [m[0] for part in (low, high) for m in regex.finditer(f"{kind}+", part)]
+    return "".join(re.escape(r[0]) if len(r) == 1 else f"{re.escape(r[0])}-{re.escape(r[-1])}" for r in runs)
+
+
+@cache
+def splitter(pattern: str) -> Callable[[str], list[str]]:
+    """All matches of the pattern. Texts of 16-bit code points take the standard library's engine, with the Unicode classes
+    spelled out, which is faster."""
+    split = regex.compile(pattern).findall
+    letters, numbers, blanks = (members(kind) for kind in (r"\p{L}", r"\p{N}", r"\s"))
+    plain = pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{blanks}{letters}{numbers}]")
+    for kind, inside in ((r"\p{L}", f"[{letters}]"), (r"\p{N}", f"[{numbers}]"), (r"\S", f"[^{blanks}]"), (r"\s", f"[{blanks}]")):
+        plain = plain.replace(kind, inside)
+    if r"\p" in plain:
+        return split
+    short = re.compile(plain).findall
+    return lambda text: short(text) if len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text) else split(text)
+
+
 def count_words(docs: DataFrame, pattern: str) -> DataFrame:
     """word and n over all texts of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, counts = regex.compile(pattern).findall, Counter()
+        split, counts = splitter(pattern), Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 counts.update(split(text))
@@ -136,48 +175,74 @@ def frequent_words(words: DataFrame, head: int = HEAD, longest: int = LONGEST) -
 
 
 def dictionary(docs: DataFrame, ranks: dict[bytes, int], pattern: str, head: int = HEAD, longest: int = LONGEST) -> pa.Table:
-    """word and ids of the frequent words of ``docs``, each encoded once by Spark."""
+    """word and ids (32-bit numbers, packed) of the frequent words of ``docs``, each encoded once by Spark."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [np.array(x, np.int32).tobytes() for x in batch.column(1).to_pylist()]
+            yield pa.record_batch([batch.column(0), pa.array(ids, pa.binary())], ["word", "ids"])
+
     words = frequent_words(settle(count_words(docs, pattern), "words"), head, longest).select("word")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return settle(words.repartition(n, "word").select("word", encode_word(F.col("word"), ranks).alias("ids")), "dictionary").toArrow()
+    encoded = words.repartition(n, "word").select("word", encode_word(F.col("word"), ranks).alias("ids"))
+    return settle(encoded.mapInArrow(pack, "word string, ids binary"), "dictionary").toArrow()
+
+
+class Words(dict):
+    """Word to packed ids. Words that are missing are numbered from -1 down in ``rare``, which belongs to the text at hand."""
+
+    rare: dict[str, bytes]
+
+    def __missing__(self, word: str) -> bytes:
+        place = self.rare.get(word)
+        if place is None:
+            place = self.rare[word] = (-1 - len(self.rare)).to_bytes(4, sys.byteorder, signed=True)
+        return place
+
+
+class Dictionary:
+    """The frequent words: they travel as two Arrow columns and become a dict in the worker that uses them."""
+
+    def __init__(self, table: pa.Table):
+        self.table = table.combine_chunks()
+
+    def __getstate__(self) -> bytes:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, self.table.schema) as writer:
+            writer.write_table(self.table, max_chunksize=20_000)
+        return sink.getvalue().to_pybytes()
+
+    def __setstate__(self, state: bytes) -> None:
+        self.words = Words()
+        for batch in pa.ipc.open_stream(state):
+            self.words.update(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, head: int = HEAD, longest: int = LONGEST) -> DataFrame:
     """``docs`` (text and more; none named ids or rare) with ``ids``, array<int>, in the place of the text."""
-    table = dictionary(docs, ranks, pattern, head, longest)
-    known = docs.sparkSession.sparkContext.broadcast({
-        w: np.array(ids, np.int32).tobytes() for w, ids in zip(table.column("word").to_pylist(), table.column("ids").to_pylist(), strict=True)})
-    del table
+    known = docs.sparkSession.sparkContext.broadcast(Dictionary(dictionary(docs, ranks, pattern, head, longest)))
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     at = docs.columns.index("text")
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Ids of known words; -1, -2 ... stand for the first, second ... of the text's rare words."""
-        split, get = regex.compile(pattern).findall, known.value.get
+        split, known_words = splitter(pattern), known.value.words
+        own: dict[str, bytes] = {}
+        known_words.rare = own
+        get = known_words.__getitem__
         for batch in batches:
             found, rare = [], []
             for text in batch.column(at).to_pylist():
-                words = split(text or "")
-                parts = [get(w) for w in words]
-                own: dict[str, bytes] = {}
-                if None in parts:
-                    for i, part in enumerate(parts):
-                        if part is None:
-                            w = words[i]
-                            if w not in own:
-                                own[w] = np.int32(-1 - len(own)).tobytes()
-                            parts[i] = own[w]
-                found.append(np.frombuffer(b"".join(parts), np.int32))
+                found.append(np.frombuffer(b"".join(map(get, split(text or ""))), np.int32))
                 rare.append(list(own))
+                own.clear()
             yield pa.record_batch(
                 [*(c for i, c in enumerate(batch.columns) if i != at), _lists(found), pa.array(rare, pa.list_(pa.string()))],
                 [*(n for i, n in enumerate(batch.schema.names) if i != at), "ids", "rare"])
 
     def put_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, rare = batch.column(len(batch.columns) - 2), batch.column(len(batch.columns) - 1)
-            flat, ends = ids.flatten().to_numpy(), ids.offsets.to_numpy() - ids.offsets[0].as_py()
-            whole_ids = [_spliced(flat[a:b], own) for a, b, own in zip(ends, ends[1:], rare.to_pylist())]
-            yield pa.record_batch([*batch.columns[:-2], _lists(whole_ids)], batch.schema.names[:-1])
+            yield pa.record_batch([*batch.columns[:-2], spliced(*batch.columns[-2:])], batch.schema.names[:-1])
 
     none = F.array().cast("array<int>")
     with_rare = docs.drop("text").withColumns({"ids": none, "rare": F.array().cast("array<string>")})
@@ -191,14 +256,27 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *arrays])))
 
 
-def _spliced(ids: np.ndarray, rare: list[list[int]]) -> np.ndarray:
-    if not rare:
+def spliced(ids: pa.ListArray, rare: pa.ListArray) -> pa.ListArray:
+    """``ids`` with -1, -2 ... replaced by the ids of the first, second ... of the row's ``rare`` words, all rows at once."""
+    flat, ends = ids.flatten().to_numpy(), ids.offsets.to_numpy() - ids.offsets[0].as_py()
+    words = rare.flatten()
+    if not len(words):
         return ids
-    pieces, at = [], 0
-    for i in np.flatnonzero(ids < 0):
-        pieces += [ids[at:i], np.array(rare[-1 - ids[i]], np.int32)]
-        at = i + 1
-    return np.concatenate([*pieces, ids[at:]])
+    pieces, starts = words.flatten().to_numpy(), words.offsets.to_numpy() - words.offsets[0].as_py()
+    first = rare.offsets.to_numpy() - rare.offsets[0].as_py()
+    row = np.repeat(np.arange(len(ids)), np.diff(ends))
+    gaps = np.flatnonzero(flat < 0)
+    word = first[row[gaps]] - 1 - flat[gaps]
+    size = np.ones(len(flat), np.int64)
+    size[gaps] = starts[word + 1] - starts[word]
+    to = np.concatenate([[0], np.cumsum(size)])
+    out = np.empty(to[-1], np.int32)
+    plain = flat >= 0
+    out[to[:-1][plain]] = flat[plain]
+    n = size[gaps]
+    inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    out[np.repeat(to[gaps], n) + inside] = pieces[np.repeat(starts[word], n) + inside]
+    return pa.ListArray.from_arrays(pa.array(to[ends].astype(np.int32)), pa.array(out))
 
 
 def pieces_of(ranks: dict[bytes, int]) -> list[bytes]:
@@ -208,12 +286,40 @@ def pieces_of(ranks: dict[bytes, int]) -> list[bytes]:
     return pieces
 
 
-def decode(ids: Column, ranks: dict[bytes, int]) -> Column:
-    """The bytes of an array of ids."""
-    pieces = F.from_json(F.lit(json.dumps([p.decode("latin-1") for p in pieces_of(ranks)])), "array<string>")
-    return F.encode(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), ""), "ISO-8859-1")
+def decode(rows: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """``rows`` (ids and more; none named bytes) with ``bytes``: the pieces of the ids, concatenated."""
+    pieces = rows.sparkSession.sparkContext.broadcast(pieces_of(ranks))
+    at = rows.columns.index("ids")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = pieces.value.__getitem__
+        for batch in batches:
+            decoded = [b"".join(map(get, ids.tolist())) for ids in _arrays(batch.column(at))]
+            yield pa.record_batch([*batch.columns, pa.array(decoded, pa.binary())], [*batch.schema.names, "bytes"])
+
+    return rows.mapInArrow(run, rows.withColumn("bytes", F.lit(b"")).schema)
+
+
+def digests(rows: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """doc_id, n_tokens, and SHA-256 of the ids (in decimal, joined by commas) and of the bytes that they decode to, for ``rows``
+    (doc_id, ids)."""
+    pieces = rows.sparkSession.sparkContext.broadcast(pieces_of(ranks))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = pieces.value.__getitem__
+        name = [str(i) for i in range(len(pieces.value))].__getitem__
+        for batch in batches:
+            lists = [ids.tolist() for ids in _arrays(batch.column(1))]
+            yield pa.record_batch([
+                batch.column(0), pa.array(map(len, lists), pa.int64()),
+                pa.array([hashlib.sha256(",".join(map(name, ids)).encode()).hexdigest() for ids in lists], pa.string()),
+                pa.array([hashlib.sha256(b"".join(map(get, ids))).hexdigest() for ids in lists], pa.string())], names)
+
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def id_digest(ids: Column) -> Column:
-    """SHA-256 (hexadecimal) of the ids in decimal, joined by commas."""
-    return F.sha2(F.array_join(F.transform(ids, lambda i: i.cast("string")), ",").cast("binary"), 256)
+def _arrays(lists: pa.ListArray) -> list[np.ndarray]:
+    flat, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    return [flat[a:b] for a, b in zip(ends, ends[1:])]

@@ -103,10 +103,8 @@ VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 @query()
 def op9_byte_bpe(spark: SparkSession, sf: str, vocabulary: str = VOCABULARY) -> DataFrame:
     ranks = bpe.load_ranks(vocabulary)
-    docs = bpe.encode(table(spark, sf, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
-    return docs.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe.id_digest(F.col("ids")).alias("ids_sha256"),
-        F.sha2(bpe.decode(F.col("ids"), ranks), 256).alias("decoded_sha256"))
+    encoded = bpe.encode(table(spark, sf, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
+    return bpe.digests(encoded, ranks)
 
 
 @query()
