@@ -20,12 +20,13 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.scale import keep, settle
+from ..operators.scale import settle
 from .text import whole
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -54,27 +55,30 @@ def branches(messages: DataFrame) -> DataFrame:
     ``messages``: conv_id, node (unique over the whole table), parent (node or null), score; a written table.
     """
     nodes = messages.select("conv_id", "node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
-    known = nodes.select(F.col("node").alias("anc"))
+    known = nodes.select(F.col("node").alias("_far"))
     # far: the ancestor ``hops`` up (null past the root); score: of the messages from the node up to before it.
-    far = settle(nodes.join(known.withColumnRenamed("anc", "_anc"), F.col("parent") == F.col("_anc"), "left").select(
-        "conv_id", "node", F.col("_anc").alias("far"), F.lit(1).alias("hops"), "score"), "paths")
-    jumps, open_ = [far], far.where(F.col("far").isNotNull()).count()
-    limit = max(open_, 1)
-    while open_ and 2 ** (len(jumps) - 1) <= limit:
-        up = far.select(F.col("node").alias("_node"), F.col("far").alias("_far"), F.col("hops").alias("_hops"), F.col("score").alias("_score"))
-        far = settle(far.join(up, F.col("far") == F.col("_node"), "left").select(
-            "conv_id", "node", F.col("_far").alias("far"), (F.col("hops") + F.coalesce("_hops", F.lit(0))).alias("hops"),
-            (F.col("score") + F.coalesce("_score", F.lit(0.0))).alias("score")), "paths")
-        jumps.append(far)
-        open_ = far.where(F.col("far").isNotNull()).count()
-    rooted = far.where(F.col("far").isNull())  # the others are on cycles or below one
+    first = settle(nodes.join(known, F.col("parent") == F.col("_far"), "left").select(
+        "conv_id", "node", F.col("_far").alias("far"), F.lit(1).alias("hops"), "score"), "paths")
+    done, open_ = [first.where(F.col("far").isNull())], first.where(F.col("far").isNotNull())
+    jumps, left = [], open_.count()
+    limit = left
+    while left and 2 ** len(jumps) <= 2 * limit:  # who is not done then is on a cycle or below one
+        jumps.append(open_)
+        up = reduce(DataFrame.unionByName, [*done, open_]).select(
+            F.col("node").alias("_node"), F.col("far").alias("_far"), F.col("hops").alias("_hops"), F.col("score").alias("_score"))
+        after = settle(open_.join(up, F.col("far") == F.col("_node")).select(
+            "conv_id", "node", F.col("_far").alias("far"), (F.col("hops") + F.col("_hops")).alias("hops"),
+            (F.col("score") + F.col("_score")).alias("score")), "paths")
+        done.append(after.where(F.col("far").isNull()))
+        open_ = after.where(F.col("far").isNotNull())
+        left = open_.count()
+    rooted = reduce(DataFrame.unionByName, done)
     parents = nodes.select(F.col("parent").alias("node")).distinct()
     leaves = rooted.join(parents, "node", "left_anti")
     best = leaves.groupBy("conv_id").agg(F.max(F.struct("score", "hops", "node")).alias("best"))
     marked = settle(best.select(F.col("best.node").alias("node"), F.col("best.hops").cast("long").alias("depth")), "marked")
-    for i, jump in reversed(list(enumerate(jumps[:-1]))):
-        step = jump.where(F.col("far").isNotNull()).select("node", "far")
-        above = marked.join(step, "node").select(F.col("far").alias("node"), (F.col("depth") - 2**i).alias("depth"))
+    for i, jump in reversed(list(enumerate(jumps))):
+        above = marked.join(jump.select("node", "far"), "node").select(F.col("far").alias("node"), (F.col("depth") - 2**i).alias("depth"))
         marked = settle(marked.unionByName(above), "marked")
     return marked
 
