@@ -66,22 +66,24 @@ def add_up(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return found, np.bincount(place, counts, len(found)).astype(np.int64)
 
 
-@lru_cache(maxsize=1 << 14)
-def letter(cp: int) -> np.ndarray:
-    return np.random.default_rng([SEED, cp]).integers(0, 2, DIM, np.int8) * 2 - 1
+@lru_cache(maxsize=1 << 15)
+def letter(cp: int, place: int) -> np.ndarray:
+    """The vector of a letter, rotated by its place in the trigram."""
+    return np.roll(np.random.default_rng([SEED, cp]).integers(0, 2, DIM, np.int8) * 2 - 1, place)
 
 
 def bundle(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The sum of the vectors of trigrams, each as often as it counts (exact: whole numbers in doubles)."""
+    """The sum of the vectors of trigrams, each as often as it counts (exact: whole numbers in floating point)."""
     total = np.zeros(DIM)
-    for at in range(0, len(keys), 4096):
-        k = keys[at:at + 4096].astype(np.int64)
+    for at in range(0, len(keys), 2048):
+        k, n = keys[at:at + 2048].astype(np.int64), counts[at:at + 2048]
         bound = None
-        for shift, turn in ((42, 2), (21, 1), (0, 0)):
-            points, place = np.unique(k >> shift & MASK, return_inverse=True)
-            vectors = np.stack([np.roll(letter(int(p)), turn) for p in points])[place]
-            bound = vectors if bound is None else bound * vectors
-        total += counts[at:at + 4096].astype(np.float64) @ bound
+        for shift, place in ((42, 2), (21, 1), (0, 0)):
+            points, which = np.unique(k >> shift & MASK, return_inverse=True)
+            vectors = np.stack([letter(p, place) for p in points.tolist()])[which]
+            bound = vectors if bound is None else np.multiply(bound, vectors, out=bound)
+        kind = np.float32 if n.sum() < 1 << 24 else np.float64
+        total += n.astype(kind) @ bound.astype(kind)
     return total
 
 
