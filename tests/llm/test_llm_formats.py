@@ -155,6 +155,13 @@ def test_main_text_of_a_page(html, text):
     assert page(html) == text
 
 
+@pytest.mark.parametrize("code", ["for(i=0;i<n;i++){f()}", "var s='<!--'", "var s=\"<a href='\";"])
+@pytest.mark.parametrize("name", ["script", "STYLE", "textarea", "title", "iframe", "noscript"])
+def test_raw_text_ends_at_its_end_tag(name, code):
+    assert page(f"<{name} id=x>{code}</{name.lower()} ><article><p>A<{name}>{code}</{name}>B</p></article>") == "AB"
+    assert page(f"<svg><title/><style/></svg><article>A<object><{name}></object>{code}</{name}>no</object>B</article>") == "AB"
+
+
 def test_shapes_fold_repeats_and_wrappers_hold_options():
     a = html_extract.shape("<article><h1>t</h1><p>1</p><p>2</p></article><dl><dt>a<dd>b<dt>c<dd>d</dl>")
     assert a == [["1", "article", [["1", "h1", [["1", "#", []]]], ["+", "p", [["1", "#", []]]]]], ["1", "dl", [["+", "", [["1", "dt", [["1", "#", []]]], ["1", "dd", [["1", "#", []]]]]]]]]

@@ -41,6 +41,10 @@ SAME_PAGES = 3
 
 # Names of elements, and words that mark elements by class, id or role.
 SKIPPED = {"script", "style", "noscript", "template", "iframe", "svg", "canvas", "object", "textarea", "select", "title", "math", "audio", "video"}
+# Of these the first hold plain characters up to their end tag, except within the second.
+RAW = ("script", "style", "noscript", "iframe", "textarea", "title")
+FOREIGN = {"svg", "math"}
+RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+>?", re.IGNORECASE) for name in RAW}
 BOILERPLATE = {"nav", "footer", "aside", "form", "button", "menu", "dialog", "fieldset", "head"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {
@@ -109,7 +113,8 @@ def read(html: str) -> Iterator[tuple[str, str, Place, bool]]:
             if marked.pop():
                 place.pop()
 
-    for m in TOKEN.finditer(html):
+    found = TOKEN.finditer(html)
+    while m := next(found, None):
         text = m[7]
         if text is not None:
             if not skip:
@@ -117,6 +122,10 @@ def read(html: str) -> Iterator[tuple[str, str, Place, bool]]:
             continue
         name = (m[2] or m[5] or "").lower()
         closing = (m[1] or m[4]) == "/"
+        if name in RAW_END and not closing and skip not in FOREIGN:
+            end = RAW_END[name].search(html, m.end())
+            found = TOKEN.finditer(html, end.end() if end else len(html))
+            continue
         if not name or skip:
             skip = "" if closing and name == skip else skip
             continue
@@ -133,7 +142,7 @@ def read(html: str) -> Iterator[tuple[str, str, Place, bool]]:
             continue
         attributes = m[3] or m[6] or ""
         if name in SKIPPED:
-            skip = "" if attributes.endswith("/") and name in ("svg", "math") else name
+            skip = "" if attributes.endswith("/") and name in FOREIGN else name
             continue
         if name == "br":
             yield TEXT, " ", tuple(place[:DEEPEST]), False
