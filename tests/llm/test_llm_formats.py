@@ -162,6 +162,30 @@ def test_raw_text_ends_at_its_end_tag(name, code):
     assert page(f"<svg><title/><style/></svg><article>A<object><{name}></object>{code}</{name}>no</object>B</article>") == "AB"
 
 
+@pytest.mark.parametrize(("html", "text"), [
+    ("<article><h2 id='related-work'>Related</h2><h2 id=search-algorithms>S</h2><p>x <a id=social>y</a></p></article>", "Related\nS\nx y"),
+    ("<article><section id='social-impact'><p>x</p></section><section id=comments><p>c</p></section></article>", "x"),
+    ("<div class='page with-sidebar'><article><p>x</p></article></div>", "x"), ("<div class='page with-sidebar'><p>x</p></div>", "x"),
+    ("<div class='container right-sidebar'><div class=sidebar-wrapper>s</div><article>x</article></div>", "x"),
+    ("<div class='container right-sidebar'><p>x</p><div class=right-sidebar>s</div></div>", "x"),
+    ("<form><nav>m</nav><main><h1>T</h1><p>x</p><form>f</form><aside><article>t</article></aside></main></form>", "T\nx"),
+    ("<div id=search><div class=banner>b</div><article><p>x</p><div class=ad>a</div></article></div>", "x"),
+    ("<p>A long text of the page</p><div class=related><article>teaser</article></div><form><p>f", "A long text of the page"),
+    ("<main>x</main><div class=related><article>a longer teaser</article></div>", "x"),
+    ("<div class=comments><article class=comment>c</article></div><nav><article>n</article></nav>", ""),
+])
+def test_words_do_not_hide_articles(html, text):
+    assert page(html) == text
+
+
+def test_the_host_confirms_words(spark):
+    body = "<article><p>Text {0}</p><section id=social-{1}>{0} likes</section></article>"
+    rows = [(i, f"http://{h}.org/{i}", body.format(i, w or ["impact", "theory", "order"][i])) for h, w in (("same", "counts"), ("other", None)) for i in range(3)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {(r.url[7:11], r.page_id): r.text for r in html_extract.extract(pages).collect()}
+    assert got == {(h, i): f"Text {i}" + f"\n{i} likes" * (h == "othe") for h in ("same", "othe") for i in range(3)}
+
+
 def test_shapes_fold_repeats_and_wrappers_hold_options():
     a = html_extract.shape("<article><h1>t</h1><p>1</p><p>2</p></article><dl><dt>a<dd>b<dt>c<dd>d</dl>")
     assert a == [["1", "article", [["1", "h1", [["1", "#", []]]], ["+", "p", [["1", "#", []]]]]], ["1", "dl", [["+", "", [["1", "dt", [["1", "#", []]]], ["1", "dd", [["1", "#", []]]]]]]]]

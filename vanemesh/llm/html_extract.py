@@ -6,8 +6,10 @@ a reduction tree of small buckets: items that match are merged, items that do no
 like makes a repeated one. The result is the host's wrapper, a union-free regular expression with a text slot wherever texts stand.
 
 The slots of the wrapper are judged by where they stand: never inside boilerplate (menus, headers, footers, sidebars, notices,
-adverts, forms, reader comments: by element, role, class or id), and inside the best region that the host's wrapper has: article, main, an element
-named like content, or else the body. Inside a header only headings count, and only within the article. For hosts without a region,
+adverts, forms, reader comments: by element, role, class or id; a word among others that may be a subject counts if most pages of the
+host, and two at least, have that name), and inside the best region that the host's wrapper has: article, main, an element
+named like content, or else the body. Forms and words that stand around a region do not count if the page
+has no other region and more text in this one than outside. Inside a header only headings count, and only within the article. For hosts without a region,
 texts that stand at the same place on most pages (three at least) and blocks that are mostly links are template and go, unless
 nothing else is left on the page.
 
@@ -21,7 +23,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Set
 from functools import lru_cache
 from html import unescape
 from itertools import chain
@@ -62,7 +64,14 @@ BOILERPLATE_WORDS = {
 }
 HEADER_WORDS = {"header", "masthead"}
 CONTENT_WORDS = {"article", "content", "entry", "post", "story", "main"}
-LAYOUT_WORDS = {"has", "with", "no", "layout", "wrapper", "container"}  # beside both others: what the element holds, not what it is
+# What the element holds, not what it is: in the same name as a word, or (the last two) as a name of its own beside it.
+LAYOUT_WORDS = {"has", "with", "no", "layout", "wrapper", "container"}
+FRAMES = {"wrapper", "container"}
+# Beside a word in one name these say no more than where or how; any other word may be a subject ("social-impact").
+PLAIN_WORDS = {"site", "page", "post", "posts", "entry", "content", "main", "primary", "secondary", "top", "bottom", "left", "right", "inner", "outer", "list", "item",
+               "items", "link", "links", "box", "bar", "area", "block", "section", "button", "buttons", "form", "title", "text", "message", "wrapper", "container"}
+# Marks of these elements hold over whatever stands inside; a form or a word may be around a whole page.
+HARD = BOILERPLATE - {"form", "fieldset"}
 # Opening one of the first inside an open one of the second ends that one.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
         "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
@@ -77,16 +86,28 @@ WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 @lru_cache(maxsize=1 << 14)
 def label(name: str, attributes: str) -> str:
-    """The element in the wrapper: its name, and - for boilerplate, ^ for a header, + for content."""
+    """The element in the wrapper: its name, and - for boilerplate, ^ for a header, + for content.
+
+    A name that holds a word of boilerplate beside other words (class="social-impact") is put in between, with ? at the end: it
+    is boilerplate if the host has it on several pages. Ids of headings and inline elements are anchors and tell nothing.
+    """
     if name in ("html", "body"):
         return name
-    words = {w.lower() for m in ATTRIBUTE.finditer(attributes) for w in WORDS.findall(m[2] or m[3] or m[4] or "")} if "=" in attributes else set()
+    given = [(m[1].lower(), m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)] if "=" in attributes else []
+    anchor = name in HEADINGS or name in INLINE
+    tokens = [(t, {w.lower() for w in WORDS.findall(t)}) for kind, value in given if not (anchor and kind == "id") for t in value.split()]
+    words = set().union(*(w for _, w in tokens))
     content = bool(words & CONTENT_WORDS)
-    odd = words & BOILERPLATE_WORDS if not (content and words & LAYOUT_WORDS) else set()
-    if name in BOILERPLATE or odd or re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attributes):
+    odd = [(t, w) for t, w in tokens if w & BOILERPLATE_WORDS and not w & (LAYOUT_WORDS - FRAMES)]
+    if content and words & LAYOUT_WORDS or any(len(w) == 1 and w <= FRAMES for _, w in tokens):
+        odd = []
+    sure = any(all(x in BOILERPLATE_WORDS or x in PLAIN_WORDS or x.isdigit() for x in w) for _, w in odd)
+    if name in BOILERPLATE or sure or re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attributes):
         return name + "-"
     if name == "header" or words & HEADER_WORDS:
         return name + "^"
+    if odd:
+        return f"{name}{'+' if content else ''} {min(t for t, _ in odd)}?"
     return name + "+" if content else name
 
 
@@ -164,7 +185,7 @@ def read(html: str) -> Iterator[tuple[str, str, Place, bool]]:
         mark = label(name, attributes)
         names.append(name)
         is_block.append(block)
-        marked.append(block or mark[-1] == "-")
+        marked.append(block or mark[-1] in "-?")
         if marked[-1]:
             place.append(mark)
         if block:
@@ -265,33 +286,47 @@ def slots(items: list, place: Place = ()) -> Iterator[Place]:
             yield from slots(inner, (*place, mark) if mark else place)
 
 
+def kind(mark: str) -> str:
+    """A mark without what is still to be confirmed."""
+    return mark.split(" ")[0] if mark[-1] == "?" else mark
+
+
 REGIONS: tuple[Callable[[Place], int | None], ...] = (
-    lambda place: next((i for i, x in enumerate(place) if x.rstrip("+") == "article"), None),
-    lambda place: next((i for i, x in enumerate(place) if x.rstrip("+") == "main"), None),
-    lambda place: next((i for i, x in enumerate(place) if x[-1] == "+"), None),
+    lambda place: next((i for i, x in enumerate(place) if kind(x).rstrip("+") == "article"), None),
+    lambda place: next((i for i, x in enumerate(place) if kind(x).rstrip("+") == "main"), None),
+    lambda place: next((i for i, x in enumerate(place) if kind(x)[-1] == "+"), None),
     lambda place: 0 if place else -1,
 )
 
 
-def in_region(place: Place, region: int) -> bool:
-    """Whether a text at ``place`` is main text, if that region holds the host's articles."""
-    start = REGIONS[region](place)
-    if start is None or any(x[-1] == "-" for x in place):
+def boilerplate(mark: str, confirmed: Set[int]) -> bool:
+    return mark[-1] == "-" or mark[-1] == "?" and _digest(mark) in confirmed
+
+
+def in_region(place: Place, region: int, confirmed: Set[int] = frozenset(), around: bool = False) -> bool:
+    """Whether a text at ``place`` is main text, if that region holds the host's articles and those marks are ``confirmed``.
+
+    With ``around`` words and forms around the region do not count.
+    """
+    start = REGIONS[region](tuple("-" if boilerplate(x, confirmed) else x for x in place) if region < 3 else place)
+    if start is None or any(boilerplate(x, confirmed) and not (around and i < start and x[:-1] not in HARD) for i, x in enumerate(place)):
         return False
     headers = [i for i, x in enumerate(place) if x[-1] == "^"]
-    return not headers or region < 3 and headers[0] > start and place[-1].rstrip("+") in HEADINGS
+    return not headers or region < 3 and headers[0] > start and kind(place[-1]).rstrip("+") in HEADINGS
 
 
 @lru_cache(maxsize=4096)
-def main_slots(wrapper: str) -> list[frozenset[Place]]:
-    """The main slots of a wrapper for each region that it has, best first."""
+def main_slots(wrapper: str, template: str | None = None) -> list[tuple[bool, frozenset[Place]]]:
+    """The main slots of a wrapper for each region that it has, best first, and whether words and forms around it were passed over."""
     places = set(slots(json.loads(wrapper)))
-    return [s for s in (frozenset(p for p in places if in_region(p, r)) for r in range(len(REGIONS))) if s]
+    order = [(r, False) for r in range(3)] + [(r, True) for r in range(3)] + [(3, False)]
+    found = [(around, frozenset(p for p in places if in_region(p, r, _template(template), around))) for r, around in order]
+    return [(around, s) for around, s in found if s]
 
 
 @lru_cache(maxsize=4096)
-def regionless(wrapper: str) -> bool:
-    return not any(in_region(p, r) for p in slots(json.loads(wrapper)) for r in range(len(REGIONS) - 1))
+def regionless(wrapper: str, template: str | None = None) -> bool:
+    return not any(in_region(p, r, _template(template), True) for p in slots(json.loads(wrapper)) for r in range(len(REGIONS) - 1))
 
 
 def blocks(html: str, chosen: Callable[[Place], bool]) -> Iterator[tuple[Place, str, int]]:
@@ -346,53 +381,58 @@ def _digest(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def template_texts(pages: DataFrame) -> DataFrame:
-    """host and ``template``: JSON of the [place, digest of text] that stand on most pages, for ``pages`` (host, html) of hosts
-    without a region. Each page has few such texts, so a host's list is about as long as a page."""
+def _text_digest(place: Place, text: str) -> int:
+    return _digest("\0".join([*place, "", text]))
+
+
+def repeated(pages: DataFrame) -> DataFrame:
+    """host and ``template``: JSON of the digests of texts, at their places, and of marks to be confirmed that stand on most of
+    the host's ``pages`` (host, html), texts on three at least and marks on two. Each page has few such, so a host's list is no longer
+    than a page."""
+
+    def counted(place: Place) -> bool:
+        return not any(x[-1] == "-" and (x[:-1] in HARD or x[:-1] in INLINE) for x in place)
+
+    def digests(html: str) -> dict[int, bool]:
+        found = {_text_digest(place, text): False for place, text, _ in blocks(html, counted)}
+        return found | {_digest(x): True for x in {x for kind, _, place, _ in read(html) if kind == OPEN or kind == TEXT for x in place if x[-1] == "?"}}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(h, key) for h, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-                    for key in {json.dumps([place, _digest(text)]) for place, text, _ in blocks(html or "", lambda p: in_region(p, len(REGIONS) - 1))}]
-            yield pa.record_batch([pa.array([h for h, _ in rows], pa.string()), pa.array([k for _, k in rows], pa.string())], ["host", "text"])
+            rows = [(h, *key) for h, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for key in digests(html or "").items()]
+            yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.bool_()))], ["host", "digest", "mark"])
 
-    texts = pages.mapInArrow(run, "host string, text string").groupBy("host", "text").agg(F.count(F.lit(1)).alias("n"))
+    found = pages.mapInArrow(run, "host string, digest long, mark boolean").groupBy("host", "digest", "mark").agg(F.count(F.lit(1)).alias("n"))
     of = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    often_there = (F.col("n") >= SAME_PAGES) & (F.col("n") * 2 > F.col("pages"))
-    return texts.where(F.col("n") >= SAME_PAGES).join(of, "host").where(often_there).groupBy("host").agg(
-        F.to_json(F.sort_array(F.collect_list("text"))).alias("template"))
+    least = F.when(F.col("mark"), 2).otherwise(SAME_PAGES)
+    return found.where(F.col("n") >= least).join(of, "host").where(F.col("n") * 2 > F.col("pages")).groupBy("host").agg(
+        F.to_json(F.sort_array(F.collect_list("digest"))).alias("template"))
 
 
 @lru_cache(maxsize=4096)
-def _template(template: str | None) -> frozenset[str]:
+def _template(template: str | None) -> frozenset[int]:
     return frozenset(json.loads(template or "[]"))
 
 
 def main_text(html: str, wrapper: str, template: str | None) -> str:
-    gone, odd = _template(template), bool(_template(template)) or regionless(wrapper)
-    for places in main_slots(wrapper):
-        found = list(blocks(html, places.__contains__))
-        kept = [text for place, text, links in found if not (odd and (2 * links > len(text) or json.dumps([place, _digest(text)]) in gone))]
-        if found:
-            return "\n".join(kept or [text for _, text, _ in found])
-    return ""
-
-
-def without_region(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.record_batch([batch.column(0).filter(pa.array([regionless(w) for w in batch.column(1).to_pylist()], pa.bool_()))], ["host"])
+    found: list[tuple[Place, str, int]] = []
+    for around, places in main_slots(wrapper, template):
+        here = list(blocks(html, places.__contains__))
+        # A region inside boilerplate counts if it is the longer part of the page.
+        if here and (not found or not around and sum(len(t) for _, t, _ in here) > sum(len(t) for _, t, _ in found)):
+            found = here
+        if here and not around:
+            break
+    gone, odd = _template(template), regionless(wrapper, template)
+    kept = [text for place, text, links in found if not (odd and (2 * links > len(text) or _text_digest(place, text) in gone))]
+    return "\n".join(kept or [text for _, text, _ in found])
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row of ``pages`` (page_id, url, html)."""
     wrappers = infer_wrappers(pages)
-    odd = settle(wrappers.mapInArrow(without_region, "host string"), "regionless")
     with_host = pages.select("page_id", "url", "html", host().alias("host"))
-    if not odd.isEmpty():
-        templates = template_texts(with_host.join(odd, "host", "left_semi").select("host", "html"))
-        wrappers = wrappers.join(templates, "host", "left")
-    else:
-        wrappers = wrappers.withColumn("template", F.lit(None).cast("string"))
+    wrappers = wrappers.join(repeated(with_host.select("host", "html")), "host", "left")
     wrappers, _ = keep(wrappers)
     size = wrappers.agg(F.sum(F.length("wrapper") + F.coalesce(F.length("template"), F.lit(0)))).first()[0] or 0
     rows = with_host.join(F.broadcast(wrappers) if size <= BROADCAST_BYTES else wrappers, "host").select(
