@@ -186,6 +186,16 @@ def test_the_host_confirms_words(spark):
     assert got == {(h, i): f"Text {i}" + f"\n{i} likes" * (h == "othe") for h in ("same", "othe") for i in range(3)}
 
 
+def test_texts_of_most_pages_go_also_within_an_article(spark):
+    box = "<div><h3>Stay informed</h3><p>Get our letter every week</p></div>"
+    rows = [(i, f"http://box.org/{i}", f"<article><h1>Title {i}</h1><p>{f'Words about {i}. ' * 9}</p>{box * (i < 3)}<p>End {i}</p></article>") for i in range(4)]
+    rows += [(10 + i, f"http://copies.org/{i}", f"<article><h1>Copied</h1><p>{'The same words. ' * 9}</p><p>Edit {i}</p></article>") for i in range(4)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract(pages).collect()}
+    assert all(got[i] == f"Title {i}\n{f'Words about {i}. ' * 9}".strip() + f"\nEnd {i}" for i in range(4))
+    assert all(got[10 + i] == f"Copied\n{'The same words. ' * 9}".strip() + f"\nEdit {i}" for i in range(4))
+
+
 def test_shapes_fold_repeats_and_wrappers_hold_options():
     a = html_extract.shape("<article><h1>t</h1><p>1</p><p>2</p></article><dl><dt>a<dd>b<dt>c<dd>d</dl>")
     assert a == [["1", "article", [["1", "h1", [["1", "#", []]]], ["+", "p", [["1", "#", []]]]]], ["1", "dl", [["+", "", [["1", "dt", [["1", "#", []]]], ["1", "dd", [["1", "#", []]]]]]]]]

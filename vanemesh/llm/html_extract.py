@@ -9,9 +9,9 @@ The slots of the wrapper are judged by where they stand: never inside boilerplat
 adverts, forms, reader comments: by element, role, class or id; a word among others that may be a subject counts if most pages of the
 host, and two at least, have that name), and inside the best region that the host's wrapper has: article, main, an element
 named like content, or else the body. Forms and words that stand around a region do not count if the page
-has no other region and more text in this one than outside. Inside a header only headings count, and only within the article. For hosts without a region,
-texts that stand at the same place on most pages (three at least) and blocks that are mostly links are template and go, unless
-nothing else is left on the page.
+has no other region and more text in this one than outside. Inside a header only headings count, and only within the article. Texts
+that stand at the same place on most pages of the host (three at least) are template and go; for hosts without a region, so do
+blocks that are mostly links. All stay if nothing else would be left, or less than half of a region's text.
 
 A page's text: its main slots, in page order, a block per line; character references are decoded, white space inside a block is
 one space. Null html is empty, and so is the text of a page without any. A null or odd url belongs to the host "". Pages that repeat are
@@ -424,7 +424,9 @@ def main_text(html: str, wrapper: str, template: str | None) -> str:
         if here and not around:
             break
     gone, odd = _template(template), regionless(wrapper, template)
-    kept = [text for place, text, links in found if not (odd and (2 * links > len(text) or _text_digest(place, text) in gone))]
+    kept = [text for place, text, links in found if _text_digest(place, text) not in gone and not (odd and 2 * links > len(text))]
+    if not odd and 2 * sum(map(len, kept)) < sum(len(text) for _, text, _ in found):
+        kept = []  # pages that are copies of one another have most of their text in common
     return "\n".join(kept or [text for _, text, _ in found])
 
 
