@@ -139,6 +139,27 @@ def test_fingerprints_of_parts_merge(spark):
     assert r.m == r.both and r.inside == 1.0
 
 
+def test_fingerprints_of_short_texts(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(720):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(5 + i % 36)]
+        changed = words[:len(words) // 2] + [f"v{rng.randrange(10**6)}" for _ in range(len(words) - len(words) // 2)]
+        around = [f"x{rng.randrange(10**6)}" for _ in range(100)]
+        rows.append((i, " ".join(words), " ".join(around + words), " ".join(changed)))
+    found = spark.createDataFrame(rows, "i int, short string, long string, changed string").select(
+        "i", *(fingerprints.sketch(F.col(c)).alias(c) for c in ("short", "long", "changed"))).select(
+        "i", fingerprints.containment(F.col("short"), F.col("long")).alias("inside"), fingerprints.jaccard(F.col("short"), F.col("changed")).alias("near")).collect()
+    wrong = [0.0] * 720
+    for r in found:
+        _, a, _, b = (word_shingles(t) if isinstance(t, str) else t for t in rows[r.i])
+        wrong[r.i] = abs(r.near - len(a & b) / len(a | b))
+    blind = [r.i for r in found if r.inside < 1]
+    assert len(blind) < 0.05 * 720 and all(r.inside == 0 for r in found if r.i in blind)
+    assert not [i for i in blind if i % 36 >= 15]
+    assert sum(wrong) / 720 < 0.12
+
+
 def test_next_document_crosses_ranges_and_ties(spark):
     rows = [(5, "b"), (5, "a"), (9, "x"), (None, "n"), (1, "q")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
