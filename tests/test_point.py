@@ -139,3 +139,12 @@ def test_first_records_and_registry(make_long):
         assert point.detect(long, "none").count() == 0
     finally:
         point.METHODS.pop("none")
+
+
+def test_sweep_keeps_stations_apart(make_long):
+    from vanemesh.plans.queries_detect import swept
+
+    quiet, wild = [10.0 + i % 2 for i in range(36)], [1000.0 * (-1) ** i for i in range(72)]
+    long = make_long({("1", "x"): quiet + [*quiet[:-1], 30.0], ("3", "x"): wild})
+    got = [(r.station_id, r.window_start.hour, r.flag_count, r.high_count, r.low_count) for r in swept(long).collect()]
+    assert got == [("1", 6, 1, 1, 0)]

@@ -263,6 +263,24 @@ def sweep_6h(spark, sf):
         F.count_if(F.col("value") < F.col("expected")).alias("low_count"))
 
 
+@query(a.with_sql(a.EVENTS_LONG, """w AS (
+    SELECT time_bucket(INTERVAL 6 HOURS, time, TIMESTAMP '1970-01-01') AS window_start, CAST(CAST(station_id AS BIGINT) % 14 AS VARCHAR) AS station_id,
+    variable, time, value FROM events_long)""", """st AS (SELECT window_start, station_id, variable, count(value) AS n, avg(value) AS mean,
+    stddev_pop(value) AS sd FROM w GROUP BY ALL)""") + """SELECT window_start, station_id, variable, count(*) AS flag_count,
+    count(CASE WHEN value > mean THEN 1 END) AS high_count, count(CASE WHEN value < mean THEN 1 END) AS low_count
+  FROM w JOIN st USING (window_start, station_id, variable) WHERE n >= 3 AND sd > 1e-12 AND abs(value - mean) > 3 * sd GROUP BY 1, 2, 3""")
+def sweep_6h_station(spark, sf):
+    """The sweep for each station, with the detector's own limit; ``sweep_6h`` folds the users into two stations."""
+    return swept(event_series(spark, sf))
+
+
+def swept(long):
+    found = point.three_sigma(report.sweep(long).withColumn("variable", F.struct("window_start", "variable")))
+    return found.groupBy(F.col("variable.window_start").alias("window_start"), "station_id", F.col("variable.variable").alias("variable")).agg(
+        F.count(F.lit(1)).alias("flag_count"), F.count_if(F.col("value") > F.col("expected")).alias("high_count"),
+        F.count_if(F.col("value") < F.col("expected")).alias("low_count"))
+
+
 @query()
 def arma_residuals(spark, sf):
     return shown(model.arma_flags(long(spark, sf)))
