@@ -154,3 +154,17 @@ def test_streamed_windows_equal_batch(spark, tmp_path):
         tidy = lambda df: sorted(
             tuple(round(x, 9) if isinstance(x, float) else x for x in (r[c] for c in sorted(df.columns))) for r in df.collect())
         assert tidy(got) == tidy(want) and got.count() >= 10
+
+
+def test_ingested_events_land_in_many_files_and_three_batches(spark, tmp_path, monkeypatch):
+    from vanemesh.plans import queries_ingest
+
+    monkeypatch.setattr(queries_ingest, "run_folder", lambda spark, name: f"{tmp_path}/{name}")
+    at = datetime(2025, 1, 1)
+    rows = [(i, i % 5, at, "click", float(i), "{}") for i in range(90)]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz, event_type string, value double, props string").repartition(
+        6).write.parquet(f"{tmp_path}/events.parquet")
+    log = queries_ingest.ingested(spark, str(tmp_path)).log(spark)
+    assert len(list((tmp_path / "landed").glob("*.parquet"))) > 3
+    got = log.groupBy("batch_id").count().collect()
+    assert sorted((r.batch_id, r["count"]) for r in got) == [(0, 30), (1, 30), (2, 30)]

@@ -117,19 +117,19 @@ def run_to_end(stream):
     stream.awaitTermination()
 
 
-def ingested(spark, sf, files: int = 3):
-    """Events as snapshots, each sent twice, through the ingest in a micro-batch for each of a few files."""
+def ingested(spark, sf, batches: int = 3):
+    """Events as snapshots, each sent twice, through the ingest in a few micro-batches of any number of files."""
     events, folder = a.table(spark, sf, "events"), run_folder(spark, "landed")
     low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
-    place = F.floor((F.col("event_id") - low) * files / F.lit(high - low + 1))
-    for k in range(files):  # one after the other, as snapshots land
-        events.where(place == k).coalesce(1).write.mode("append").parquet(folder)
-    events = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    snapshots = events.withColumn("value", a.snapshot_text()).select(
-        "value", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("event_id")).alias("landed_at"),
-        F.lit("events").alias("source"))
-    store = stream_store.Store(run_folder(spark, "store"))
-    run_to_end(stream_store.start_ingest(snapshots.union(snapshots), store, run_folder(spark, "checkpoint")))
+    place = F.floor((F.col("event_id") - low) * batches / F.lit(high - low + 1))
+    store, checkpoint = stream_store.Store(run_folder(spark, "store")), run_folder(spark, "checkpoint")
+    for k in range(batches):  # one after the other, as snapshots land; each run takes what is new as one micro-batch
+        events.where(place == k).write.mode("append").parquet(folder)
+        landed = spark.readStream.schema(events.schema).parquet(folder)
+        snapshots = landed.withColumn("value", a.snapshot_text()).select(
+            "value", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("event_id")).alias("landed_at"),
+            F.lit("events").alias("source"))
+        run_to_end(stream_store.start_ingest(snapshots.union(snapshots), store, checkpoint))
     return store
 
 
