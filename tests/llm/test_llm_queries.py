@@ -35,7 +35,7 @@ def test_query_against_sql(spark, con, name):
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
 
 
 def test_pipeline_stage_by_stage(spark, con, tmp_path):
@@ -94,3 +94,27 @@ def test_join_query(spark, con):
 def test_one_row_for_each_document(spark, name):
     rows = QUERIES[name](spark, SF).collect()
     assert len(rows) == len({r.doc_id for r in rows}) == 200
+
+
+def test_alignment_query(spark, con):
+    from test_llm_align_search import expected_alignment
+
+    texts = con.execute("SELECT doc_id, text FROM documents").fetchall()
+    got = [tuple(r) for r in QUERIES["op11_token_alignment"](spark, SF).collect()]
+    assert sorted(got) == sorted(expected_alignment(texts))
+
+
+def test_url_query(spark, con):
+    from urllib.parse import urlsplit
+
+    urls = dict(con.execute("SELECT page_id, url FROM pages").fetchall())
+    rows = QUERIES["op13_url_filters"](spark, SF).collect()
+    assert sorted(r.page_id for r in rows) == sorted(urls)
+    for r in rows:
+        parts = urlsplit(urls[r.page_id])
+        assert (r.host, r.path) == (parts.netloc.lower(), parts.path)
+        fits = [(len(h + p), v, h + p) for v, h, p in (
+            ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
+            if ("." + r.host).endswith("." + h) and r.path.startswith(p)]
+        assert r.rule == (max(fits)[2] if fits else None)
+        assert r.verdict == (max(fits)[1] if fits else r.mined.split(" -> ")[1] if r.mined else "allow")

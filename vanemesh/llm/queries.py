@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, fingerprints, html_extract, langid, line_dedup, mixing, ngram_join, quality
+from . import (
+    bpe, chat, exact_dedup, fingerprints, html_extract, langid, lexical_search, line_dedup, mixing, ngram_join, quality, token_align, url_filter)
 from .registry import QUERIES, SQL, query, table  # noqa: F401
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -115,3 +116,59 @@ def op10_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def op3_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return ngram_join.resolve(table(spark, sf, "documents"))
+
+
+A_VOCABULARY, B_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query()
+def op11_token_alignment(spark: SparkSession, sf: str, a_path: str = A_VOCABULARY, b_path: str = B_VOCABULARY) -> DataFrame:
+    models = token_align.Tokenizers.load(a_path, b_path)
+    return token_align.score(token_align.align(table(spark, sf, "documents"), models), token_align.Sizes.of(models))
+
+
+RUNS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def run_terms(text: str) -> str:
+    return f"regexp_extract_all(translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{RUNS}')"
+
+
+@query(f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {run_terms('text')} AS terms FROM documents),
+s AS (SELECT count(*) AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM d WHERE len(terms) > 0),
+i AS (SELECT k, item_id, unnest(list_distinct({run_terms('text')})) AS term FROM (SELECT row_number() OVER () AS k, * FROM benchmark)),
+t AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(terms) AS n, unnest(terms) AS term FROM d)
+      WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+      FROM t, s GROUP BY term, n_docs),
+p AS (SELECT r, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms))) AS points
+      FROM t JOIN w USING (term), s),
+f AS (SELECT k, item_id, doc_id, sum(points)::BIGINT AS score FROM i JOIN p USING (term) GROUP BY k, item_id, r, doc_id)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, doc_id) AS rank FROM f WHERE score > 0) WHERE rank <= 10
+""")
+def op12_lexical_search(spark: SparkSession, sf: str) -> DataFrame:
+    return lexical_search.rank(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+# The rules that the query is given.
+URL_RULES = [
+    url_filter.Rule("allow", "com"),
+    url_filter.Rule("block", "example.com", "/en/"),
+    url_filter.Rule("allow", "www.example.com", "/en/"),
+    url_filter.Rule("block", "net", "/es/"),
+    url_filter.Rule("block", "net", "/fr/"),
+]
+
+
+@query()
+def op13_url_filters(spark: SparkSession, sf: str) -> DataFrame:
+    """The last number in a page's path is the doc_id of its article, by which ``labels`` tells what is known of a URL: block if its
+    quality is 0 or it is toxic, else allow."""
+    pages = table(spark, sf, "pages").select("page_id", "url")
+    number = F.regexp_extract(url_filter.path_of(F.col("url")), r"([0-9]{1,18})[^0-9/]*/?$", 1).try_cast("long")
+    bad = (F.col("quality") == 0) | (F.coalesce("toxic", F.lit(0)) == 1)
+    labels = table(spark, sf, "labels").select("doc_id", F.when(bad, url_filter.BLOCK).when(F.col("quality") == 1, url_filter.ALLOW).alias("label"))
+    labelled = pages.select("url", number.alias("doc_id")).where(F.col("doc_id").isNotNull()).join(labels, "doc_id")
+    return url_filter.judge(pages, URL_RULES, url_filter.mine(labelled)).select("page_id", "host", "path", "rule", "verdict", "mined")
