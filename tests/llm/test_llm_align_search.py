@@ -8,6 +8,7 @@ from collections import Counter
 from functools import cache
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 from vanemesh.llm import lexical_search, token_align, url_filter
@@ -29,7 +30,7 @@ def expected_alignment(texts):
     """Positions byte by byte, without any of the operator's parts but the encoders."""
     m, found, counts = models(), [], Counter()
     for doc_id, text in texts:
-        [(a, b)] = m.encode([text or ""])
+        [(a, b)] = [[x.tolist() for x in ids] for ids in m.encode([text or ""])]
         ends = []
         for ids, pieces in ((a, m.bytes_a), (b, m.bytes_b)):
             at, own = 0, []
@@ -63,7 +64,7 @@ def expected_alignment(texts):
         best[x] = max(best.get(x, 0), n)
     for doc_id, a, b, cuts, groups, links in found:
         yield (doc_id, len(a), len(b), len(cuts), len(links), sum(counts[p] == best[p[0]] for p in links), sum(counts[p] for p in links),
-               hashlib.sha256(";".join(groups).encode()).hexdigest() if a else "")
+               hashlib.sha256(";".join(groups).encode()).hexdigest() if len(a) else "")
 
 
 @pytest.mark.parametrize("head", [token_align.HEAD, 50, 1])
@@ -83,15 +84,31 @@ def test_encoders_give_the_bytes_back():
             assert b"".join(pieces[i] for i in ids) in (b"", b" " + (text or "").encode())
 
 
+def test_words_of_a_text_are_encoded_like_the_text(monkeypatch):
+    m = token_align.Tokenizers.load(A_VOCABULARY, B_VOCABULARY)
+    texts = [t for _, t in TEXTS if t] + ["It's  we'll 3²x\n\n y \t<|endoftext|>é÷×", "à1½ª º"]
+    want = [e.ids for e in m.a.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+    for kept in (token_align.KEPT, 3):
+        monkeypatch.setattr(token_align, "KEPT", kept)
+        for _ in range(2):
+            assert [a.tolist() for a in m.encode_a(texts)] == want
+
+
 def test_groups_of_random_ends():
     rng = random.Random(3)
-    for _ in range(500):
-        last = rng.randint(1, 60)
-        a, b = (sorted({*rng.sample(range(1, last + 1), rng.randint(0, last)), last}) for _ in range(2))
-        in_a, in_b = token_align.groups_of(a, b)
-        cuts = sorted(set(a) & set(b))
-        ends = lambda e, sizes: [e[sum(sizes[:i + 1]) - 1] for i in range(len(sizes))]
-        assert ends(a, in_a) == ends(b, in_b) == cuts
+    for _ in range(300):
+        at, all_a, all_b, n_a, n_b, cuts, n_groups = 0, [], [], [], [], [], []
+        for _ in range(rng.randint(0, 6)):
+            last = rng.randint(0, 60)
+            a, b = (sorted({*rng.sample(range(1, last + 1), rng.randint(0, last)), last}) if last else [] for _ in range(2))
+            shared = sorted(set(a) & set(b))
+            for whole, own in ((all_a, a), (all_b, b), (cuts, shared)):
+                whole += [at + x for x in own]
+            n_a.append(len(a)), n_b.append(len(b)), n_groups.append(len(shared))
+            at += last
+        a, b, n_a, n_b = (np.array(x, np.int64) for x in (all_a, all_b, n_a, n_b))
+        in_a, in_b, n = token_align.groups_of(a, b, n_a, n_b)
+        assert a[np.cumsum(in_a) - 1].tolist() == b[np.cumsum(in_b) - 1].tolist() == cuts and n.tolist() == n_groups
 
 
 def test_alignment_of_an_empty_table(spark):
@@ -140,8 +157,6 @@ def test_ranking_of_empty_tables(spark):
 
 
 def test_overflow_is_left_to_whole_numbers():
-    import numpy as np
-
     stats = lexical_search.Statistics(10**12, 10**14, np.array([1]))
     tf, n = np.array([3, 10**10]), np.array([10**8, 10**8])
     assert list(lexical_search.impacts(tf, n, stats)) == [(10**9 * int(t)) // (1000 * int(t) + 8 * (10 + (90 * 10**8 * 10**12) // 10**14)) for t in tf]

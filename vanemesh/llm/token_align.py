@@ -1,8 +1,8 @@
 """Cross-tokenizer alignment: the tokens of a byte-level BPE (A) and of a piece model (B) over the same bytes.
 
 Both encode every text; the bytes of their tokens are compared with a space and the text. Divide and conquer at shared cuts gives
-the groups: an end that both have is located by bisection near the middle of an interval, both halves are treated the same way, and
-an interval without a shared end inside is a leaf group. A link is a pair of an A and a B token whose bytes overlap. The count of
+the groups: an end that both have is located by bisection near the middle of an interval, both halves are treated the same way (all
+intervals of a depth at once), and an interval without a shared end inside is a leaf group. A link is a pair of an A and a B token whose bytes overlap. The count of
 a pair of ids is the number of documents (rows) that hold it linked, over the whole corpus.
 
 1. ``align`` writes ids and groups of every text once.
@@ -20,22 +20,29 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-from bisect import bisect_left, bisect_right
+import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from public_tokenizers import PATTERN
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.scale import keep, settle
+from .bpe import splitter
 
 # Pairs that every task holds with their counts, 16 bytes each: at most 32 MB.
 HEAD = 2_000_000
 # Bytes of text that are encoded, and tokens that are linked, at once.
-TEXT_BYTES = 1 << 20
-TOKENS = 500_000
+TEXT_BYTES = 1 << 18
+TOKENS = 200_000
+# Words whose A ids a worker keeps, some 150 bytes each.
+KEPT = 200_000
+# Letters whose classes are the same in every edition of Unicode; texts of these alone are split into words here.
+PLAIN = re.compile(r"[\t\n\r\x20-\x7E\xA1-\xFF]*")
+SPLIT = splitter(PATTERN)
 
 
 def byte_letters() -> dict[str, int]:
@@ -73,21 +80,39 @@ class Tokenizers:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b_model)
         letters = byte_letters()
+        self.letters = {b: c for c, b in letters.items()}
         self.bytes_a = [b""] * self.a.get_vocab_size()
         special = {x["id"] for x in json.loads(a_json)["added_tokens"]}
         for entry, i in self.a.get_vocab().items():
             self.bytes_a[i] = entry.encode() if i in special else bytes(letters[c] for c in entry)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        self.words: dict[str, bytes] = {}
         self.bytes_b = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
 
-    def encode(self, texts: Sequence[str]) -> Iterator[tuple[list[int], list[int]]]:
+    def encode_a(self, texts: Sequence[str]) -> list[np.ndarray]:
+        """A's ids of a space and each text. Where all letters are PLAIN, the words are split here and each distinct one is encoded
+        once; they are kept for the next texts, up to KEPT words."""
+        plain = [bool(PLAIN.fullmatch(t)) for t in texts]
+        split = [SPLIT(" " + t) for t, p in zip(texts, plain, strict=True) if p]
+        new = list({w for words in split for w in words if w not in self.words})
+        if len(self.words) + len(new) > KEPT:
+            self.words.clear()
+            new = list({w for words in split for w in words})
+        for word in new:
+            letters = word.encode().decode("latin-1").translate(self.letters)
+            self.words[word] = np.array([t.id for t in self.a.model.tokenize(letters)], np.int32).tobytes()
+        rest = iter(self.a.encode_batch_fast([" " + t for t, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False))
+        ready = iter(split)
+        get = self.words.__getitem__
+        return [np.frombuffer(b"".join(map(get, next(ready))), np.int32) if p else np.array(next(rest).ids, np.int32) for p in plain]
+
+    def encode(self, texts: Sequence[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """The ids of each text by both models; none where the tokens' bytes are not a space and the text."""
-        encodings = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
-        get_a, get_b = self.bytes_a.__getitem__, self.bytes_b.__getitem__
-        for text, encoding, b in zip(texts, encodings, self.b.encode(list(texts), num_threads=1), strict=True):
-            a, want = encoding.ids, b" " + text.encode()
-            same = text and b"".join(map(get_a, a)) == want and b"".join(map(get_b, b)) == want
-            yield (a, b) if same else ([], [])
+        get_a, get_b, none = self.bytes_a.__getitem__, self.bytes_b.__getitem__, np.empty(0, np.int32)
+        for text, a, b in zip(texts, self.encode_a(texts), self.b.encode(list(texts), num_threads=1), strict=True):
+            want = b" " + text.encode()
+            same = text and b"".join(map(get_a, a.tolist())) == want and b"".join(map(get_b, b)) == want
+            yield (a, np.array(b, np.int32)) if same else (none, none)
 
 
 @dataclass
@@ -102,53 +127,58 @@ class Sizes:
         return cls(*(np.array([len(x) for x in v], np.int64) for v in (models.bytes_a, models.bytes_b)))
 
 
-def shared_end(a: Sequence[int], b: Sequence[int], a0: int, a1: int, b0: int, b1: int) -> tuple[int, int] | None:
-    """Where the tokens [a0, a1) and [b0, b1), which end together, have another end in common: the first from the middle on, else the
-    last before it. Each step goes by bisection to where the other side may have the end."""
-    a1, b1 = a1 - 1, b1 - 1
-    if a1 == a0 or b1 == b0:
-        return None
-    middle = (a0 + a1) // 2
-    i, j = middle, bisect_left(b, a[middle], b0, b1)
-    while i < a1 and j < b1:
-        if a[i] == b[j]:
-            return i + 1, j + 1
-        if a[i] < b[j]:
-            i = bisect_left(a, b[j], i + 1, a1)
-        else:
-            j = bisect_left(b, a[i], j + 1, b1)
-    i = middle - 1
-    j = bisect_right(b, a[i], b0, b1) - 1 if i >= a0 else -1
-    while i >= a0 and j >= b0:
-        if a[i] == b[j]:
-            return i + 1, j + 1
-        if a[i] > b[j]:
-            i = bisect_right(a, b[j], a0, i) - 1
-        else:
-            j = bisect_right(b, a[i], b0, j) - 1
-    return None
-
-
-def groups_of(a: Sequence[int], b: Sequence[int]) -> tuple[list[int], list[int]]:
-    """The tokens of A and of B in each group, from the ends of all tokens (ascending, the last in common)."""
-    in_a, in_b = [], []
-    open_ = [(0, len(a), 0, len(b))] if len(a) else []
-    while open_:
-        a0, a1, b0, b1 = open_.pop()
-        cut = shared_end(a, b, a0, a1, b0, b1)
-        if cut is None:
-            in_a.append(a1 - a0)
-            in_b.append(b1 - b0)
-        else:
-            i, j = cut
-            open_.append((i, a1, j, b1))
-            open_.append((a0, i, b0, j))
-    return in_a, in_b
-
-
-def lists(arrays: Sequence) -> pa.ListArray:
-    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *arrays]).astype(np.int32)))
+def shared_ends(a: np.ndarray, b: np.ndarray, a0: np.ndarray, a1: np.ndarray, b0: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each interval of tokens [a0, a1) and [b0, ..), which end together, an end inside that both have: the first from the middle
+    on, else the last before it, else -1. Each step goes by bisection to where the other side may have the end."""
+    i_of, j_of = np.full(len(a0), -1), np.full(len(a0), -1)
+
+    def walk(live: np.ndarray, i: np.ndarray, right: bool) -> None:
+        while len(live):
+            j = np.searchsorted(b, a[i]) if right else np.searchsorted(b, a[i], "right") - 1
+            if not right:
+                inside = j >= b0[live]
+                live, i, j = live[inside], i[inside], j[inside]
+            same = b[j] == a[i]
+            i_of[live[same]], j_of[live[same]] = i[same], j[same]
+            live, j = live[~same], j[~same]
+            i = np.searchsorted(a, b[j]) if right else np.searchsorted(a, b[j], "right") - 1
+            inside = i < a1[live] - 1 if right else i >= a0[live]
+            live, i = live[inside], i[inside]
+
+    middle = (a0 + a1 - 1) // 2
+    walk(np.arange(len(a0)), middle, True)
+    left = np.flatnonzero((i_of < 0) & (middle > a0))
+    walk(left, middle[left] - 1, False)
+    return i_of, j_of
+
+
+def groups_of(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The tokens of A and of B in each group, and the groups of each document.
+
+    ``a`` and ``b`` are the ends of all tokens of documents one after the other (``n_a``, ``n_b`` each, which end together). All
+    intervals of one depth are halved at once.
+    """
+    last_a, last_b = np.cumsum(n_a), np.cumsum(n_b)
+    cut = np.full(len(a), -1)  # where b has the end of a's token
+    cut[last_a[n_a > 0] - 1] = last_b[n_a > 0] - 1
+    a0, a1, b0, b1 = (x[n_a > 0] for x in (last_a - n_a, last_a, last_b - n_b, last_b))
+    while True:
+        large = (a1 - a0 > 1) & (b1 - b0 > 1)
+        a0, a1, b0, b1 = a0[large], a1[large], b0[large], b1[large]
+        if not len(a0):
+            break
+        i, j = shared_ends(a, b, a0, a1, b0)
+        found = i >= 0  # the others are leaves
+        i, j = i[found], j[found]
+        cut[i] = j
+        a0, a1 = np.concatenate([a0[found], i + 1]), np.concatenate([i + 1, a1[found]])
+        b0, b1 = np.concatenate([b0[found], j + 1]), np.concatenate([j + 1, b1[found]])
+    ends = np.flatnonzero(cut >= 0)
+    return np.diff(ends, prepend=-1), np.diff(cut[ends], prepend=-1), np.diff(np.searchsorted(ends, last_a), prepend=0)
+
+
+def lists(flat: np.ndarray, n: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(flat.astype(np.int32)))
 
 
 def align(docs: DataFrame, models: Tokenizers) -> DataFrame:
@@ -163,9 +193,11 @@ def align(docs: DataFrame, models: Tokenizers) -> DataFrame:
             while at < len(batch):
                 end = max(at + 1, int(np.searchsorted(bytes_, bytes_[at] + TEXT_BYTES, "right")) - 1)
                 part = batch.slice(at, end - at)
-                found = [(a, b, *groups_of(np.cumsum(sizes.a[np.array(a, np.int64)]).tolist(), np.cumsum(sizes.b[np.array(b, np.int64)]).tolist()))
-                         for a, b in shared.value.encode([t or "" for t in part.column(2).to_pylist()])]
-                yield pa.record_batch([part.column(0), part.column(1), *map(lists, zip(*found, strict=True))], names)
+                ids = list(zip(*shared.value.encode([t or "" for t in part.column(2).to_pylist()]), strict=True))
+                n_a, n_b = (np.array(list(map(len, x))) for x in ids)
+                a, b = map(np.concatenate, ids)
+                in_a, in_b, n_groups = groups_of(np.cumsum(sizes.a[a]), np.cumsum(sizes.b[b]), n_a, n_b)
+                yield pa.record_batch([part.column(0), part.column(1), lists(a, n_a), lists(b, n_b), lists(in_a, n_groups), lists(in_b, n_groups)], names)
                 at = end
 
     names = ["doc_id", "row", "a", "b", "in_a", "in_b"]
