@@ -73,6 +73,12 @@ def test_alignment_against_byte_positions(spark, head):
     got = token_align.score(token_align.align(docs, models()), token_align.Sizes.of(models()), head).collect()
     want = list(expected_alignment(TEXTS))
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    if head == 50:
+        read = {r.doc_id: r for r in token_align.tokens(token_align.align(docs.where("doc_id > 2"), models()), token_align.Sizes.of(models())).collect()}
+        for doc_id, text in TEXTS[3:7]:
+            [(a, b)] = models().encode([text])
+            assert (read[doc_id].a, read[doc_id].b) == (a.tolist(), b.tolist())
+            assert (sum(read[doc_id].in_a), sum(read[doc_id].in_b)) == (len(a), len(b))
     assert {tuple(r)[1:] for r in got if r.doc_id in (2, 3, 7)} == {(0, 0, 0, 0, 0, 0, "")}
 
 
@@ -97,18 +103,18 @@ def test_words_of_a_text_are_encoded_like_the_text(monkeypatch):
 def test_groups_of_random_ends():
     rng = random.Random(3)
     for _ in range(300):
-        at, all_a, all_b, n_a, n_b, cuts, n_groups = 0, [], [], [], [], [], []
+        at, all_a, all_b, n_a, n_b, cuts = 0, [], [], [], [], []
         for _ in range(rng.randint(0, 6)):
             last = rng.randint(0, 60)
             a, b = (sorted({*rng.sample(range(1, last + 1), rng.randint(0, last)), last}) if last else [] for _ in range(2))
             shared = sorted(set(a) & set(b))
             for whole, own in ((all_a, a), (all_b, b), (cuts, shared)):
                 whole += [at + x for x in own]
-            n_a.append(len(a)), n_b.append(len(b)), n_groups.append(len(shared))
+            n_a.append(len(a)), n_b.append(len(b))
             at += last
         a, b, n_a, n_b = (np.array(x, np.int64) for x in (all_a, all_b, n_a, n_b))
-        in_a, in_b, n = token_align.groups_of(a, b, n_a, n_b)
-        assert a[np.cumsum(in_a) - 1].tolist() == b[np.cumsum(in_b) - 1].tolist() == cuts and n.tolist() == n_groups
+        in_a, in_b = token_align.shared_cuts(a, b, n_a, n_b)
+        assert a[in_a].tolist() == b[in_b].tolist() == cuts
 
 
 def test_alignment_of_an_empty_table(spark):

@@ -22,12 +22,13 @@ import json
 import os
 import re
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from public_tokenizers import PATTERN
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.scale import keep, settle
@@ -37,7 +38,10 @@ from .bpe import splitter
 HEAD = 2_000_000
 # Bytes of text that are encoded, and tokens that are linked, at once.
 TEXT_BYTES = 1 << 18
-TOKENS = 200_000
+TOKENS = 300_000
+# Bytes of a batch of rows for Python.
+BATCH_BYTES = 4 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 # Words whose A ids a worker keeps, some 150 bytes each.
 KEPT = 200_000
 # Letters whose classes are the same in every edition of Unicode; texts of these alone are split into words here.
@@ -152,8 +156,8 @@ def shared_ends(a: np.ndarray, b: np.ndarray, a0: np.ndarray, a1: np.ndarray, b0
     return i_of, j_of
 
 
-def groups_of(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The tokens of A and of B in each group, and the groups of each document.
+def shared_cuts(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each token of A, and of B, ends where one of the other does.
 
     ``a`` and ``b`` are the ends of all tokens of documents one after the other (``n_a``, ``n_b`` each, which end together). All
     intervals of one depth are halved at once.
@@ -173,41 +177,86 @@ def groups_of(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
         cut[i] = j
         a0, a1 = np.concatenate([a0[found], i + 1]), np.concatenate([i + 1, a1[found]])
         b0, b1 = np.concatenate([b0[found], j + 1]), np.concatenate([j + 1, b1[found]])
-    ends = np.flatnonzero(cut >= 0)
-    return np.diff(ends, prepend=-1), np.diff(cut[ends], prepend=-1), np.diff(np.searchsorted(ends, last_a), prepend=0)
+    in_b = np.zeros(len(b), bool)
+    in_b[cut[cut >= 0]] = True
+    return cut >= 0, in_b
+
+
+@contextmanager
+def small_batches(spark: SparkSession, size: int = BATCH_BYTES) -> Iterator[None]:
+    """While a table is written, Python gets its rows in batches of ``size`` bytes (or one row); then the setting is as before."""
+    before = spark.conf.get(BATCH_SETTING)
+    spark.conf.set(BATCH_SETTING, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
+
+
+def slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Stretches of rows with ``most`` in all at most, or one row."""
+    ends, at = np.cumsum(np.concatenate([[0], sizes])), 0
+    while at < len(sizes):
+        end = max(at + 1, int(np.searchsorted(ends, ends[at] + most, "right")) - 1)
+        yield at, end
+        at = end
 
 
-def lists(flat: np.ndarray, n: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(flat.astype(np.int32)))
+def narrow(sizes: np.ndarray) -> np.dtype:
+    """The least whole number that holds every id."""
+    return np.min_scalar_type(max(len(sizes) - 1, 0))
 
 
 def align(docs: DataFrame, models: Tokenizers) -> DataFrame:
-    """A written table: doc_id, row (a number of its own for each row), ids a and b, and the tokens of each group, in_a and in_b."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+    """A written table: doc_id, row (a number of its own for each row), ids a and b (packed numbers), and cut_a and cut_b (bitmaps:
+    whether a token ends a group). ``tokens`` unpacks it."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = Sizes.of(shared.value)
         for batch in batches:
-            bytes_ = np.cumsum([0, *(x or 0 for x in pa.compute.binary_length(batch.column(2)).to_pylist())])
-            at = 0
-            while at < len(batch):
-                end = max(at + 1, int(np.searchsorted(bytes_, bytes_[at] + TEXT_BYTES, "right")) - 1)
+            for at, end in slices(np.array(pa.compute.binary_length(batch.column(2)).fill_null(0)), TEXT_BYTES):
                 part = batch.slice(at, end - at)
-                ids = list(zip(*shared.value.encode([t or "" for t in part.column(2).to_pylist()]), strict=True))
-                n_a, n_b = (np.array(list(map(len, x))) for x in ids)
-                a, b = map(np.concatenate, ids)
-                in_a, in_b, n_groups = groups_of(np.cumsum(sizes.a[a]), np.cumsum(sizes.b[b]), n_a, n_b)
-                yield pa.record_batch([part.column(0), part.column(1), lists(a, n_a), lists(b, n_b), lists(in_a, n_groups), lists(in_b, n_groups)], names)
-                at = end
-
-    names = ["doc_id", "row", "a", "b", "in_a", "in_b"]
+                ids = list(shared.value.encode([t or "" for t in part.column(2).to_pylist()]))
+                n_a, n_b = (np.array([len(x[i]) for x in ids]) for i in (0, 1))
+                a, b = (np.concatenate([x[i] for x in ids]) for i in (0, 1))
+                cuts = shared_cuts(np.cumsum(sizes.a[a]), np.cumsum(sizes.b[b]), n_a, n_b)
+                packed = [[x.astype(k).tobytes() for x in _by(v, n)] for v, n, k in ((a, n_a, narrow(sizes.a)), (b, n_b, narrow(sizes.b)))]
+                bitmaps = [[np.packbits(x).tobytes() for x in _by(v, n)] for v, n in zip(cuts, (n_a, n_b), strict=True)]
+                yield pa.record_batch([part.column(0), part.column(1), *(pa.array(x, pa.binary()) for x in (*packed, *bitmaps))], names)
+
+    names = ["doc_id", "row", "a", "b", "cut_a", "cut_b"]
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
-    aligned = settle(rows.mapInArrow(run, f"doc_id {kind}, row long, a array<int>, b array<int>, in_a array<int>, in_b array<int>"), "aligned")
+    with small_batches(spark):
+        aligned = settle(rows.mapInArrow(run, f"doc_id {kind}, row long, a binary, b binary, cut_a binary, cut_b binary"), "aligned")
     shared.destroy()
     return aligned
 
 
+def _by(flat: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    return np.split(flat, np.cumsum(n)[:-1]) if len(n) else []
+
+
+def tokens(aligned: DataFrame, sizes: Sizes) -> DataFrame:
+    """The alignment to read: doc_id, ids a and b, and the tokens of each group, in_a and in_b, all array<int>."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, part in parts(batch, sizes):
+                n = part.n_groups
+                yield pa.record_batch([rows.column(0), lists(part.a, part.n_a), lists(part.b, part.n_b), lists(part.in_a, n), lists(part.in_b, n)],
+                                      ["doc_id", "a", "b", "in_a", "in_b"])
+
+    kind = aligned.schema["doc_id"].dataType.simpleString()
+    return aligned.mapInArrow(run, f"doc_id {kind}, a array<int>, b array<int>, in_a array<int>, in_b array<int>")
+
+
+def lists(flat: np.ndarray, n: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(flat.astype(np.int32)))
+
+
 @dataclass
 class Part:
     """Aligned documents next to each other, as flat arrays; ``n_*``: of each document."""
@@ -232,7 +281,7 @@ class Part:
         """Document, pair and number of links of each pair in each document."""
         doc, a, b = self.links(sizes)
         width = len(sizes.a) * len(sizes.b)
-        code, n = np.unique(doc * width + a.astype(np.int64) * len(sizes.b) + b, return_counts=True)
+        code, n = np.unique(doc * width + a * len(sizes.b) + b, return_counts=True)
         return code // width, code % width, n
 
     def written(self, sizes: Sizes) -> Iterator[str]:
@@ -240,7 +289,7 @@ class Part:
         ends_a, ends_b = np.cumsum(self.in_a), np.cumsum(self.in_b)
         groups = np.arange(len(self.in_a))
         of_a, of_b = np.repeat(groups, self.in_a), np.repeat(groups, self.in_b)
-        code_a, code_b = self.a.astype(np.int64) * 2, (self.b.astype(np.int64) + len(sizes.a)) * 2
+        code_a, code_b = self.a * 2, (self.b + len(sizes.a)) * 2
         code_a[ends_a - 1] += 1
         code_b[ends_b - 1] += 1
         out = np.empty(len(self.a) + len(self.b), np.int64)
@@ -262,18 +311,18 @@ def _names(n_a: int, n_b: int) -> list[str]:
     return _NAMES[n_a, n_b]
 
 
-def parts(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, Part]]:
+def parts(batch: pa.RecordBatch, sizes: Sizes) -> Iterator[tuple[pa.RecordBatch, Part]]:
     """Rows of ``align`` with TOKENS tokens of A at most, or one document."""
-    columns = [batch.column(i) for i in range(2, 6)]
-    ends = [c.offsets.to_numpy().astype(np.int64) - c.offsets[0].as_py() for c in columns]
-    flat = [c.flatten().to_numpy(zero_copy_only=False) for c in columns]
-    at = 0
-    while at < len(batch):
-        end = max(at + 1, int(np.searchsorted(ends[0], ends[0][at] + TOKENS, "right")) - 1)
-        values = [v[e[at]:e[end]] for v, e in zip(flat, ends, strict=True)]
-        n = [np.diff(e[at:end + 1]) for e in ends]
-        yield batch.slice(at, end - at), Part(*values, n[0], n[1], n[2])
-        at = end
+    kinds = narrow(sizes.a), narrow(sizes.b)
+    n = [np.array(pa.compute.binary_length(batch.column(i + 2))).astype(np.int64) // k.itemsize for i, k in enumerate(kinds)]
+    for at, end in slices(n[0], TOKENS):
+        part = batch.slice(at, end - at)
+        ids = [np.frombuffer(b"".join(part.column(i + 2).to_pylist()), k).astype(np.int64) for i, k in enumerate(kinds)]
+        cuts = [np.concatenate([np.empty(0, np.uint8), *(
+            np.unpackbits(np.frombuffer(x, np.uint8), count=m) for x, m in zip(part.column(i + 4).to_pylist(), n[i][at:end], strict=True))]) for i in (0, 1)]
+        ends = [np.flatnonzero(c) for c in cuts]
+        n_groups = np.diff(np.searchsorted(ends[0], np.cumsum(n[0][at:end])), prepend=0)
+        yield part, Part(*ids, *(np.diff(e, prepend=-1) for e in ends), n[0][at:end], n[1][at:end], n_groups)
 
 
 def link_counts(aligned: DataFrame, sizes: Sizes) -> tuple[DataFrame, int]:
@@ -282,12 +331,13 @@ def link_counts(aligned: DataFrame, sizes: Sizes) -> tuple[DataFrame, int]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, part in parts(batch):
+            for _, part in parts(batch, sizes):
                 pair, docs = np.unique(part.pairs(sizes)[1], return_counts=True)
                 yield pa.record_batch([pa.array(pair), pa.array(docs.astype(np.int64))], ["pair", "docs"])
 
     found = aligned.mapInArrow(run, "pair long, docs long").groupBy("pair").agg(F.sum("docs").alias("docs"))
-    counts = settle(found.withColumn("a", F.expr(f"int(pair div {len(sizes.b)})")), "pairs")
+    with small_batches(aligned.sparkSession):
+        counts = settle(found.withColumn("a", F.expr(f"int(pair div {len(sizes.b)})")), "pairs")
     most = counts.groupBy("a").agg(F.max("docs").alias("most"))  # as many rows as A has ids at most
     return keep(counts.join(F.broadcast(most), "a").select("pair", "docs", (F.col("docs") == F.col("most")).alias("best")))
 
@@ -318,7 +368,7 @@ def score(aligned: DataFrame, sizes: Sizes, head: int = HEAD) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, packed = known.value
         for batch in batches:
-            for rows, part in parts(batch):
+            for rows, part in parts(batch, sizes):
                 doc, pair, n = part.pairs(sizes)
                 place = np.searchsorted(pairs, pair)
                 place[place == len(pairs)] = 0
@@ -341,8 +391,11 @@ def score(aligned: DataFrame, sizes: Sizes, head: int = HEAD) -> DataFrame:
     names = ["doc_id", "row", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "pairs", "links"]
     found = aligned.mapInArrow(run, f"doc_id {kind}, row long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, "
                                     "groups_sha256 string, pairs array<long>, links array<long>")
+    with small_batches(spark):
+        found = settle(found, "scored")
+    known.destroy()
     if least > 0:
-        found = with_rare(settle(found, "scored"), counts.where(level < least))
+        found = with_rare(found, counts.where(level < least))
     return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
