@@ -39,9 +39,9 @@ from .text import whole
 HEAD = 800_000
 LONGEST = 32
 # Bytes of a batch of rows for Python: texts, their words and ids stand next to the dictionary in a worker's memory.
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 4 << 20
 # Distinct words that a task gathers before it passes on their counts.
-GATHER = 200_000
+GATHER = 500_000
 BUCKETS = 1 << 16
 NONE = 2**31 - 1
 PLACES = 2**31
