@@ -8,7 +8,7 @@ from ..operators import ingest
 from ..session import run_folder
 from ..sources import adapters as a
 from ..sources import geojson
-from ..streaming import aggregates
+from ..streaming import aggregates, late, sensors
 from ..streaming import ingest as stream_store
 from .registry import query, rounded
 
@@ -117,19 +117,26 @@ def run_to_end(stream):
     stream.awaitTermination()
 
 
-def ingested(spark, sf, batches: int = 3):
-    """Events as snapshots, each sent twice, through the ingest in a few micro-batches of any number of files."""
-    events, folder = a.table(spark, sf, "events"), run_folder(spark, "landed")
-    low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
+def landed(spark, rows, batches: int = 3):
+    """A stream of ``rows`` (event_id and more) as they land, once for each of ``batches`` shares of them in the order of event_id."""
+    folder = run_folder(spark, "landed")
+    low, high = rows.agg(F.min("event_id"), F.max("event_id")).first()
     place = F.floor((F.col("event_id") - low) * batches / F.lit(high - low + 1))
+    for k in range(batches):
+        rows.where(place == k).write.mode("append").parquet(folder)
+        yield spark.readStream.schema(rows.schema).parquet(folder)
+
+
+def ingested(spark, sf, batches: int = 3, compacted: bool = False):
+    """Events as snapshots, each sent twice, through the ingest in a few micro-batches of any number of files."""
     store, checkpoint = stream_store.Store(run_folder(spark, "store")), run_folder(spark, "checkpoint")
-    for k in range(batches):  # one after the other, as snapshots land; each run takes what is new as one micro-batch
-        events.where(place == k).write.mode("append").parquet(folder)
-        landed = spark.readStream.schema(events.schema).parquet(folder)
-        snapshots = landed.withColumn("value", a.snapshot_text()).select(
+    for k, stream in enumerate(landed(spark, a.table(spark, sf, "events"), batches)):  # each run takes what is new as one micro-batch
+        snapshots = stream.withColumn("value", a.snapshot_text()).select(
             "value", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("event_id")).alias("landed_at"),
             F.lit("events").alias("source"))
         run_to_end(stream_store.start_ingest(snapshots.union(snapshots), store, checkpoint))
+        if compacted and k % 2:
+            store.compact(spark)
     return store
 
 
@@ -138,6 +145,12 @@ def stream_ingest(spark, sf):
     return ingested(spark, sf).observations(spark).select("station_id", "time", "temp_out", "rain")
 
 
+@query(BASE.rstrip() + f", {_FIRST} SELECT station_id, time, temp_out, rain FROM firsts")
+def stream_compacted(spark, sf):
+    """The same in five micro-batches, with the store compacted after the second and the fourth."""
+    return ingested(spark, sf, 5, compacted=True).observations(spark).select("station_id", "time", "temp_out", "rain")
+
+
 @query(BASE.rstrip() + f""", {_FIRST}, o AS (SELECT event_id, count(*) AS n FROM firsts GROUP BY 1)
   SELECT make_timestamp((1700000000 + event_id) * 1000000) AS timestamp, 'SUCCESS' AS status, 2 AS stations_count,
     CAST(coalesce(n, 0) AS INTEGER) AS observations_count, 'Stored ' || coalesce(n, 0) || ' obs from 2 stations' AS message
@@ -177,6 +190,28 @@ def stream_profile(spark, sf):
     return rounded(out.select("bucket", "station_id", "variable", "row_count", "missing_count", "mean", "std", "min", "max"))
 
 
+# Readings of the stream that are made late: every 13th event comes five hours, every 29th two days after its time.
+_ARRIVED = """arrived AS (SELECT event_id, CAST(user_id % 14 AS VARCHAR) AS station_id, value,
+    ts - to_hours(CASE WHEN event_id % 29 = 0 THEN 48 WHEN event_id % 13 = 0 THEN 5 ELSE 0 END) AS time FROM events),
+  marked AS (SELECT *, max(time) OVER (PARTITION BY station_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+    - INTERVAL 2 HOUR AS watermark FROM arrived),
+  told AS (SELECT *, coalesce(time < watermark, false) AS late FROM marked)"""
+
+
+@query(f"""WITH {_ARRIVED} SELECT time_bucket(INTERVAL 1 HOUR, time, TIMESTAMP '1970-01-01') AS bucket, station_id, count(*) FILTER (NOT late) AS in_time,
+  count(*) FILTER (late) AS late, round(max(epoch_us(watermark) - epoch_us(time)) FILTER (late) / 1000000, 6) AS most_behind FROM told GROUP BY 1, 2""")
+def stream_late(spark, sf):
+    """Readings in time and late, per station and hour, in three micro-batches."""
+    behind = F.when(F.col("event_id") % 29 == 0, 48).when(F.col("event_id") % 13 == 0, 5).otherwise(0)
+    arrived = a.table(spark, sf, "events").select(
+        "event_id", (F.col("user_id") % 14).cast("string").alias("station_id"), "value",
+        a.ntz(F.col("ts") - F.make_dt_interval(hours=behind)).alias("time"))
+    split, checkpoint = late.Split(run_folder(spark, "split")), run_folder(spark, "checkpoint")
+    for stream in landed(spark, arrived):
+        run_to_end(late.start_split(stream, split, checkpoint, 7200, "event_id"))
+    return rounded(late.late_counts(split.in_time(spark), split.late(spark)))
+
+
 @query("""SELECT DISTINCT date_trunc('minute', ts) AS time, CAST(user_id % 14 AS VARCHAR) AS station_id FROM events""")
 def stream_dedupe(spark, sf):
     rows = reading_stream(spark, sf).select(F.date_trunc("minute", "time").alias("time"), "station_id")
@@ -194,3 +229,26 @@ def tumbling_stats(spark, sf):
     return rounded(e.groupBy(F.window("time", "6 hours").alias("w"), "variable").agg(
         F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std")).select(
         F.col("w.start").alias("bucket"), "variable", "n", "mean", "std"))
+
+
+_SENSOR = """src AS (SELECT event_id, CAST(user_id % 14 AS VARCHAR) AS station_id, event_type AS variable, ts AS time,
+    CASE WHEN event_id % 5 < 3 THEN 0.0 ELSE value END AS value FROM events),
+  runs AS (SELECT *, sum(CASE WHEN value = 0 THEN 0 ELSE 1 END) OVER (PARTITION BY station_id, variable ORDER BY time, event_id) AS g,
+    lead(time) OVER (PARTITION BY station_id, variable ORDER BY time, event_id) AS following FROM src),
+  zeros AS (SELECT station_id, variable, g, count(*) FILTER (value = 0) AS n FROM runs GROUP BY 1, 2, 3),
+  longest AS (SELECT station_id, variable, max(n) AS longest_zero_run, arg_max(n, g) AS zero_run FROM zeros GROUP BY 1, 2),
+  final AS (SELECT max(time) - INTERVAL 1 HOUR AS watermark FROM src)"""
+
+
+@query(f"""WITH {_SENSOR} SELECT station_id, variable, count(*) AS readings, max(time) AS last_time, arg_max(value, (time, event_id)) AS last_value,
+    any_value(zero_run) AS zero_run, any_value(longest_zero_run) AS longest_zero_run, max(time) + INTERVAL 3 HOUR <= any_value(watermark) AS stale
+  FROM runs JOIN longest USING (station_id, variable), final GROUP BY 1, 2""")
+def stream_sensor_state(spark, sf):
+    """The state of every sensor at the end of a stream in three micro-batches; three readings of five are made 0."""
+    readings = a.table(spark, sf, "events").select(
+        "event_id", (F.col("user_id") % 14).cast("string").alias("station_id"), F.col("event_type").alias("variable"),
+        F.col("ts").cast("timestamp_ntz").alias("time"), F.when(F.col("event_id") % 5 < 3, 0.0).otherwise(F.col("value")).alias("value"))
+    folder, checkpoint = run_folder(spark, "states"), run_folder(spark, "checkpoint")
+    for stream in landed(spark, readings):
+        run_to_end(sensors.start(stream, folder, checkpoint, stale_seconds=3 * 3600, delay="1 hour", order="event_id"))
+    return sensors.current(spark, folder)

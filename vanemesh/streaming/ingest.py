@@ -2,7 +2,8 @@
 
 Observations are stored by day, and in a day by run (the id that Spark keeps in the checkpoint) and batch. A batch
 replaces its own folders only, so it can be run again, and an ingest with a new checkpoint adds to what is stored.
-Exactness does not depend on a horizon: a batch drops what all other batches hold of its days.
+Exactness does not depend on a horizon: a batch drops what all other batches hold of its days. ``Store.compact`` merges the folders of
+many batches; all readers follow its manifest.
 """
 
 from __future__ import annotations
@@ -17,6 +18,11 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators import ingest
 from ..operators.scale import settle
 from ..sources import geojson
+from . import compaction
+
+# The tables of a store, and whether they have a folder for each day. The log is the last that a batch writes.
+TABLES = {"observations": True, "stations": False, "log": False}
+SNAPSHOT = "value string, landed_at timestamp, source string"
 
 
 @dataclass(frozen=True)
@@ -28,18 +34,46 @@ class Store:
     def table(self, name: str) -> str:
         return f"{self.folder}/{name}"
 
+    def schemas(self, spark: SparkSession) -> dict[str, T.StructType]:
+        """The tables' columns, with the run and batch of each row."""
+        batch = spark.createDataFrame([], SNAPSHOT)
+        rows = geojson.features(batch)
+        fresh = geojson.observations(rows).drop("feature_no").withColumn("obs_date", F.to_date("time"))
+        tables = {
+            "observations": fresh.drop("source"), "log": snapshot_log(batch, rows, fresh),
+            "stations": ingest.station_updates(geojson.stations(rows), "landed_at", ["landed_at"])}
+        own = [T.StructField("run", T.StringType()), T.StructField("batch_id", T.IntegerType())]
+        return {name: T.StructType([*df.schema.fields, *own]) for name, df in tables.items()}
+
+    def rows(self, spark: SparkSession, name: str) -> DataFrame:
+        return compaction.rows(spark, self.folder, name, self.schemas(spark)[name], TABLES[name])
+
+    def compact(self, spark: SparkSession, least: int = 2) -> compaction.Manifest:
+        """Merge what ``least`` or more batches have stored of a day, and all batches' updates of the stations."""
+        done = compaction.finished(compaction.Files(spark, self.folder), self.folder, "log")
+        return compaction.compact(spark, self.folder, TABLES, done, self.schemas(spark), {"stations": merged_stations}, least)
+
     def observations(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(self.table("observations")).drop("run", "batch_id")
+        return self.rows(spark, "observations").drop("run", "batch_id")
 
     def stations(self, spark: SparkSession) -> DataFrame:
         """The current station table, merged from the batches' updates."""
-        rows = spark.read.parquet(self.table("stations"))
+        rows = self.rows(spark, "stations")
         return rows.groupBy("station_id").agg(
             F.max_by("newest", F.struct("last_seen", "batch_id")).alias("v"), F.min("first_seen").alias("first_seen"),
             F.max("last_seen").alias("last_seen")).select("station_id", "v.*", "first_seen", "last_seen")
 
     def log(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(self.table("log"))
+        return self.rows(spark, "log")
+
+
+def merged_stations(rows: DataFrame) -> DataFrame:
+    """One row per station that says the same as its updates."""
+    order = F.struct("last_seen", "batch_id")
+    return rows.groupBy("station_id").agg(
+        F.max_by("newest", order).alias("newest"), F.min_by("oldest", F.struct("first_seen", "batch_id")).alias("oldest"),
+        F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.max_by("run", order).alias("run"),
+        F.max_by("batch_id", order).alias("batch_id"))
 
 
 def snapshot_stream(spark: SparkSession, folder: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -83,7 +117,7 @@ def _save_batch(spark: SparkSession, batch: DataFrame, run: str, batch_id: int,
     by_day = {"partitionBy": ["obs_date", "run", "batch_id"]}
     kept.select("*", *here).limit(0).write.mode("append").parquet(target, **by_day)
     days = F.broadcast(fresh.select("obs_date").distinct())  # one row a day; it prunes the folders that are read
-    others = stored_rows(spark, kept, target).where((F.col("run") != run) | (F.col("batch_id") != batch_id))
+    others = store.rows(spark, "observations").where((F.col("run") != run) | (F.col("batch_id") != batch_id))
     held = others.join(days, "obs_date", "left_semi").select("time", "station_id", "obs_date")
     fresh = settle(fresh.join(held, ["time", "station_id", "obs_date"], "left_anti"), "fresh")
     fresh.drop("source").select("*", *here).write.mode("overwrite").option(
@@ -108,11 +142,5 @@ def snapshot_log(batch: DataFrame, rows: DataFrame, fresh: DataFrame) -> DataFra
     return good.unionByName(bad)
 
 
-def stored_rows(spark: SparkSession, like: DataFrame, target: str) -> DataFrame:
-    """The table with its schema given, so that batches without rows are no problem."""
-    schema = T.StructType([*like.schema.fields, T.StructField("run", T.StringType()), T.StructField("batch_id", T.IntegerType())])
-    return spark.read.schema(schema).parquet(target)
-
-
 # Fixed value: the message of the collection log.
 STORED = "Stored %d obs from %d stations"
