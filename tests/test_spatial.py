@@ -56,6 +56,17 @@ def test_neighbors_anywhere_on_the_globe(spark, radius, monkeypatch):
     assert pairs(spatial.neighbors(spark.createDataFrame(places, GEO), radius)) == brute(places, radius)
 
 
+def test_a_station_near_a_pole_keeps_the_cells_of_the_others(spark):
+    rng = np.random.default_rng(9)
+    places = [(f"s{i}", float(a), float(b), 0.0) for i, (a, b) in enumerate(zip(rng.uniform(-60, 60, 150), rng.uniform(-180, 180, 150)))]
+    polar = [("pole", 89.9, 10.0, 0.0), ("across", 89.7, -170.0, 0.0), ("exact", 90.0, 0.0, 0.0), ("south", -89.95, 99.0, 0.0)]
+    cells = lambda rows: {r.station_id: r["count"] for r in spatial.cells_around(
+        spark.createDataFrame(rows, GEO), 100).groupBy("station_id").count().collect()}
+    alone, together = cells(places), cells(places + polar)
+    assert {k: together[k] for k in alone} == alone and max(alone.values()) <= 12
+    assert pairs(spatial.neighbors(spark.createDataFrame(places + polar, GEO), 100)) == brute(places + polar)
+
+
 def test_limits_of_distance_and_elevation(spark):
     per_km = 1 / (math.pi * 6371 / 180)
     places = [("o", 0.0, 0.0, 0.0), ("near", 99.999 * per_km, 0.0, 500.0), ("far", -100.001 * per_km, 0.0, 0.0),

@@ -18,37 +18,23 @@ def neighbors(stations: DataFrame, max_km: float = 100.0, max_elev: float | None
               null_elev: str = "pass") -> DataFrame:
     """Directed edges ``src, dst, dist_km, elev_diff`` between stations near each other.
 
-    Stations meet by grid cell: a cell is at least as wide as the radius in both directions, so a
-    neighbour lies in one of the nine cells around. Cells are no smaller than one degree; there are at most
-    180 x 360 of them, which bounds the broadcast table of their sizes. Crowded cells are split.
+    Stations meet by grid cell. Rows of cells are as high as the radius; the cells of a row are as wide as the radius is at the row's
+    most polar latitude, so a station near a pole widens the cells of its own row only. Cells are no smaller than one degree; there
+    are at most 180 x 360 of them, which bounds the broadcast table of their sizes. Crowded cells are split.
     ``null_elev`` says whether an unknown elevation passes the elevation test.
     """
-    reach = math.degrees(max_km / EARTH_RADIUS_KM)
-    top_lat = stations.agg(F.max(F.abs("latitude"))).first()[0] or 0.0
-    span = math.sin(max_km / EARTH_RADIUS_KM) / max(math.cos(math.radians(top_lat)), 1e-9)
-    lon_reach = math.degrees(math.asin(span)) if span < 1 else 360.0
-    lat_size = max(reach * 1.0001, 1.0)
-    columns = max(1, int(360.0 / max(lon_reach * 1.0001, 1.0)))
-    width = 360.0 / columns
-
     s = stations.select("station_id", "latitude", "longitude", "elevation").where(
-        F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
-    ).withColumn("row", F.floor(F.col("latitude") / lat_size).cast("int")).withColumn(
-        "col", F.pmod(F.floor((F.col("longitude") + 180.0) / width).cast("int"), F.lit(columns))
-    )
-    cells = s.groupBy("row", "col").agg(
+        F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
+    grid = _Grid(max_km)
+    here = s.withColumn("row", grid.row("latitude")).withColumn("col", grid.column("longitude", F.col("row")))
+    cells = here.groupBy("row", "col").agg(
         F.ceil(F.count(F.lit(1)) / F.lit(CELL_SHARE)).cast("int").alias("splits")
     )
-    dst = s.join(F.broadcast(cells), ["row", "col"]).withColumn(
+    dst = here.join(F.broadcast(cells), ["row", "col"]).withColumn(
         "split", F.pmod(F.xxhash64("station_id"), F.col("splits")).cast("int")
     ).select("row", "col", "split", *[F.col(c).alias(f"d_{c}") for c in _GEO])
-    sides = sorted({d % columns for d in (-1, 0, 1)})
-    around = (
-        s.withColumn("row", F.explode(F.array(*[F.col("row") + d for d in (-1, 0, 1)])))
-        .withColumn("col", F.explode(F.array(*[F.pmod(F.col("col") + d, F.lit(columns)) for d in sides])))
-        .join(F.broadcast(cells), ["row", "col"])
-        .withColumn("split", F.explode(F.sequence(F.lit(0), F.col("splits") - 1))).drop("splits")
-    )
+    around = cells_around(s, max_km).join(F.broadcast(cells), ["row", "col"]).withColumn(
+        "split", F.explode(F.sequence(F.lit(0), F.col("splits") - 1))).drop("splits")
     gap = F.abs(F.col("elevation") - F.col("d_elevation"))
     pairs = around.join(dst, ["row", "col", "split"]).where(F.col("station_id") != F.col("d_station_id"))
     if max_elev is not None:
@@ -63,6 +49,45 @@ def neighbors(stations: DataFrame, max_km: float = 100.0, max_elev: float | None
 _GEO = ("station_id", "latitude", "longitude", "elevation")
 
 
+class _Grid:
+    """Cells for a radius: rows of equal height, and in each row columns of a width of its own."""
+
+    def __init__(self, max_km: float):
+        reach = max_km / EARTH_RADIUS_KM
+        self.sine = math.sin(min(reach, math.pi / 2))
+        self.height = max(math.degrees(reach) * 1.0001, 1.0)
+
+    def row(self, latitude: str) -> Column:
+        return F.floor(F.col(latitude) / self.height).cast("int")
+
+    def reach(self, latitude: Column) -> Column:
+        """The degrees of longitude that two places within the radius can lie apart, one of them at ``latitude``."""
+        share = F.lit(self.sine) / F.greatest(F.cos(F.radians(latitude)), F.lit(1e-9))
+        return F.when(share < 1, F.degrees(F.asin(F.least(share, F.lit(1.0)))) * 1.0001).otherwise(360.0)
+
+    def columns(self, row: Column) -> Column:
+        polar = F.least(F.greatest(F.abs(row * self.height), F.abs((row + 1) * self.height)), F.lit(90.0))
+        return F.greatest(F.floor(F.lit(360.0) / F.greatest(self.reach(polar), F.lit(1.0))), F.lit(1)).cast("int")
+
+    def place(self, degrees: Column, row: Column) -> Column:
+        """The column, not yet taken round the globe."""
+        return F.floor((degrees + 180.0) * self.columns(row) / 360.0).cast("int")
+
+    def column(self, longitude: str, row: Column) -> Column:
+        return F.pmod(self.place(F.col(longitude), row), self.columns(row))
+
+
+def cells_around(stations: DataFrame, max_km: float) -> DataFrame:
+    """``stations`` once for each cell, ``row`` and ``col``, in which a neighbour can lie: in the rows above and below too, the columns
+    that the station's own reach in longitude touches."""
+    grid = _Grid(max_km)
+    rows = stations.withColumn("row", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: grid.row("latitude") + d)))
+    n, row, at, reach = grid.columns(F.col("row")), F.col("row"), F.col("longitude"), grid.reach(F.col("latitude"))
+    first, last = grid.place(at - reach, row), grid.place(at + reach, row)
+    return rows.withColumn("col", F.explode(F.array_distinct(F.transform(
+        F.sequence(first, F.least(last, first + n - 1)), lambda c: F.pmod(c, n)))))
+
+
 def links(edges: DataFrame) -> DataFrame:
     """Each unordered pair once."""
     return edges.where(F.col("src") < F.col("dst"))
