@@ -193,3 +193,17 @@ def test_quality_counts(spark):
     found = spark.createDataFrame([("a", "v", t, "weather_event"), ("b", "v", t, "warning")], keys + ", type string")
     got = report.detection_quality(labels, found).first()
     assert (got.tp, got.fp, got.fn, got.precision, got.recall, got.f1) == (1, 1, 1, 0.5, 0.5, 0.5)
+
+
+def test_distance_evidence_takes_the_last_reading_before(spark):
+    at = datetime(2025, 1, 1)
+    hours = lambda h: at + timedelta(hours=h)
+    rows = [("t", 0, 50.0), ("a", -3, 1.0), ("a", -1, 10.0), ("a", 1, 99.0), ("b", -2, 12.0), ("b", -1, None), ("c", 0, 11.0), ("far", -50, 7.0), ("lone", 0, 5.0)]
+    long = spark.createDataFrame([(s, "v", hours(h), v) for s, h, v in rows], "station_id string, variable string, time timestamp_ntz, value double")
+    edges = spark.createDataFrame([("t", x) for x in ("a", "b", "c", "far")] + [("lone", "far")], "src string, dst string")
+    verdicts = spark.createDataFrame(
+        [("t", "v", at, 50.0, "insufficient_points"), ("lone", "v", at, 5.0, "no_valid_correlations"), ("a", "v", hours(-1), 10.0, "success")],
+        "station_id string, variable string, time timestamp_ntz, value double, status string")
+    got = {r.station_id: r for r in trend.distance_evidence(verdicts, long, edges, timedelta(hours=6)).collect()}
+    assert (got["t"].distance_neighbors, got["t"].neighbor_median, got["t"].distance, got["t"].distance_type) == (3, 11.0, 39.0, "critical_failure")
+    assert got["lone"].distance_type is None and got["a"].distance is None and len(got) == 3

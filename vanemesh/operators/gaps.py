@@ -59,6 +59,23 @@ def fill_gaps(grid: DataFrame, keys: Sequence[str], limit: int = 2, part_seconds
     return rows.withColumn("filled", filled).drop("_part", "_i", "_point", "_prev_part", "_next_part", "_p", "_q")
 
 
+def neighborhood_grid(long: DataFrame, edges: DataFrame, width: str = "7 days") -> DataFrame:
+    """``center, variable, bucket, member, time, value``: the members of every neighbourhood (a station and those its ``edges`` lead to)
+    on the times at which any of them has a row in the window.
+
+    Window and neighbourhood are part of every key, so a row is copied once for each neighbour and meets only the times of its own
+    neighbourhood and window. A station without edges is a neighbourhood of one.
+    """
+    placed = long.select("station_id", "variable", "time", "value", F.window("time", width)["start"].alias("bucket"))
+    own = long.select(F.col("station_id").alias("center")).distinct().withColumn("member", F.col("center"))
+    members = own.unionByName(edges.select(F.col("src").alias("center"), F.col("dst").alias("member"))).distinct()
+    rows = placed.withColumnRenamed("station_id", "member").join(members, "member")
+    key = ["center", "variable", "bucket"]
+    times = rows.select(*key, "time").distinct()
+    present = rows.select(*key, "member").distinct()
+    return times.join(present, key).join(rows, [*key, "member", "time"], "left").select(*key, "member", "time", "value")
+
+
 def union_grid(long: DataFrame, by: Sequence[str] = ("variable",)) -> DataFrame:
     """Every series on the union of the times at which any series of its group has a row."""
     by = list(by)

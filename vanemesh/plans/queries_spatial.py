@@ -6,7 +6,7 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
-from ..operators import point, report, spatial, trend, views
+from ..operators import gaps, point, report, spatial, trend, views
 from ..sources import adapters as a
 from .queries_detect import _mad, _three_sigma, event_series, long
 from .queries_sequence import fill_sql
@@ -156,7 +156,6 @@ def _aligned_sql(min_points: int = 5, pairwise: bool = False) -> str:
     WHEN median_corr < 0.3 THEN 'critical_failure' ELSE 'warning' END AS type FROM st)"""
 
 
-# A third of the stations has no neighbours: their edges are taken away.
 VERDICTS = FULL.rstrip() + f", {_FLAGGED}, " + _aligned_sql()
 
 
@@ -181,6 +180,48 @@ def trend_verify_pairwise(spark, sf):
     return rounded(verdicts(spark, sf, alignment="pairwise", min_points=8).select(*_SHOWN))
 
 
+@query(VERDICTS + """, ids AS (SELECT a_station, variable, a_time, string_agg(member, ',' ORDER BY member) AS neighbor_ids FROM pc
+    WHERE points >= 5 AND corr IS NOT NULL GROUP BY ALL)
+  SELECT v.station_id, v.variable, v.time, v.n_neighbors, coalesce(i.neighbor_ids, '') AS neighbor_ids FROM verdicts v
+  LEFT JOIN ids i ON i.a_station = v.station_id AND i.variable = v.variable AND i.a_time = v.time WHERE v.type IN ('critical_failure', 'warning')""")
+def failure_neighbors(spark, sf):
+    """Device failures and suspects with the neighbours that the verdict rests on."""
+    found = verdicts(spark, sf).where(F.col("type").isin("critical_failure", "warning"))
+    return found.select("station_id", "variable", "time", "n_neighbors", F.array_join("neighbor_ids", ",").alias("neighbor_ids"))
+
+
+@query(FULL.rstrip() + f", {_FLAGGED}, " + _aligned_sql(19) + """,
+  last AS (SELECT w.a_station, w.variable, w.a_time, w.member, arg_max(w.value, w.time) AS nb FROM win w JOIN verdicts v ON v.station_id = w.a_station
+      AND v.variable = w.variable AND v.time = w.a_time AND v.status IN ('insufficient_points', 'no_valid_correlations')
+    WHERE w.member <> w.a_station AND w.time <= w.a_time AND w.value IS NOT NULL GROUP BY ALL),
+  centre AS (SELECT a_station, variable, a_time, median(nb) AS m, stddev_pop(nb) AS sd, count(*) AS n FROM last GROUP BY ALL),
+  spread AS (SELECT a_station, variable, a_time, median(abs(nb - m)) AS mad FROM last JOIN centre USING (a_station, variable, a_time) GROUP BY ALL),
+  far AS (SELECT c.*, CASE WHEN mad > 0 THEN mad WHEN sd > 0 THEN sd ELSE 1e-6 END AS unit FROM centre c JOIN spread USING (a_station, variable, a_time))
+  SELECT v.station_id, v.variable, v.time, v.status, f.n AS distance_neighbors, round(f.m, 6) AS neighbor_median, round(abs(v.value - f.m) / f.unit, 6) AS distance,
+    CASE WHEN abs(v.value - f.m) / f.unit > 3 THEN 'critical_failure' WHEN f.m IS NOT NULL THEN 'weather_event' END AS distance_type
+  FROM verdicts v LEFT JOIN far f ON f.a_station = v.station_id AND f.variable = v.variable AND f.a_time = v.time
+  WHERE v.status IN ('insufficient_points', 'no_valid_correlations')""")
+def trend_distance_evidence(spark, sf):
+    """Anomalies without a correlation (19 points or more are asked for), judged by their neighbours' last readings."""
+    rows = long(spark, sf)
+    found = trend.distance_evidence(verdicts(spark, sf, min_points=19), rows, edges(spark, sf), RADIUS)
+    return rounded(found.where(F.col("status").isin(*trend.WITHOUT_CORRELATION)).select(
+        "station_id", "variable", "time", "status", "distance_neighbors", "neighbor_median", "distance", "distance_type"))
+
+
+@query(FULL.rstrip() + """, placed AS (SELECT *, time_bucket(INTERVAL 28 DAY, time, TIMESTAMP '1970-01-01') AS bucket FROM long),
+  members AS (SELECT DISTINCT station_id AS center, station_id AS member FROM long UNION SELECT src, dst FROM edges),
+  r AS (SELECT m.center, p.variable, p.bucket, m.member, p.time, p.value FROM placed p JOIN members m ON m.member = p.station_id),
+  grid AS (SELECT t.*, q.member, r.value FROM (SELECT DISTINCT center, variable, bucket, time FROM r) t
+    JOIN (SELECT DISTINCT center, variable, bucket, member FROM r) q USING (center, variable, bucket) LEFT JOIN r USING (center, variable, bucket, member, time))
+  SELECT center, variable, bucket, member, count(*) AS times, count(value) AS readings, count(*) - count(value) AS gaps FROM grid GROUP BY ALL""")
+def neighborhood_grid(spark, sf):
+    """Members of every neighbourhood on the times of their 28-day windows: how many times, readings and gaps each has."""
+    grid = gaps.neighborhood_grid(long(spark, sf), edges(spark, sf), "28 days")
+    return grid.groupBy("center", "variable", "bucket", "member").agg(
+        F.count(F.lit(1)).alias("times"), F.count("value").alias("readings"), (F.count(F.lit(1)) - F.count("value")).alias("gaps"))
+
+
 @query(VERDICTS + """ SELECT p.a_station, p.variable, p.a_time, p.member, p.points, round(p.corr, 6) AS corr FROM pc p WHERE p.member <> p.a_station""")
 def trend_pairs(spark, sf):
     rows = long(spark, sf)
