@@ -108,3 +108,13 @@ def test_repeated_labels_and_rows_teach_within_the_bound(spark):
     docs = spark.createDataFrame([(i % 5, f"text {i}") for i in range(20)] + [(None, "x"), (9, None)], "doc_id long, text string")
     labels = spark.createDataFrame([(i % 5, i % 2) for i in range(10)] + [(None, 1), (3, None)], "doc_id long, label int")
     assert 0 < quality.score(docs, quality.teach(docs, labels, sample=4)).first().score < 1
+
+
+def test_trees_are_taught_next_to_columns_of_any_name(spark):
+    from vanemesh.llm import quality
+
+    docs = spark.createDataFrame([(i, "Good words stand here. " * 9 if i % 2 else "!! $$ " * 30) for i in range(40)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "doc_id % 2 AS label")
+    plain = quality.teach(docs, labels)
+    clashing = quality.teach(docs.selectExpr("*", "7 AS label", "8 AS _hash", "9 AS _id"), labels.selectExpr("*", "1 AS text"))
+    assert (plain.threshold == clashing.threshold).all() and (plain.value == clashing.value).all() and len(plain.roots)

@@ -174,7 +174,8 @@ def teach(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
     known = labels.where(F.col("label").isNotNull() & F.col("doc_id").isNotNull())
     chosen = known.select(F.col("doc_id").alias("_id"), "label", F.xxhash64("doc_id").alias("_hash")).orderBy(
         "_hash", "_id", "label").limit(sample)
-    rows = docs.where(F.col("text").isNotNull()).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select(
+    texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text")  # other columns may have any name
+    rows = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select(
         "doc_id", "text", F.col("label").cast("double").alias("label"), "_hash")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
