@@ -2,10 +2,13 @@
 
 import hashlib
 import json
+import pickle
 import random
 import re
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -111,6 +114,25 @@ def test_bpe_as_the_tokenizer_library(spark, ranks, tokenizer, head):
         assert (r.word, r.n) == ("x", 1)
 
 
+def test_dictionary_finds_words_and_numbers_the_rare_ones_inside_their_text():
+    known = {f"w{i}": list(range(i, 2 * i)) for i in range(1, 300)}
+    packed = [np.array(x, np.int32).tobytes() for x in known.values()]
+    table = pa.table([pa.array(list(known)), pa.array(packed, pa.binary())], names=["word", "ids"])
+    for entries in (table, table.slice(0, 0)):
+        dictionary = pickle.loads(pickle.dumps(bpe.Dictionary(entries)))
+        held = dict(list(known.items())[:len(entries)])
+        asked = ["w7", "", "é", "w299", "w300", "w1"]
+        assert [int(x) for x in dictionary.find(asked)] == [list(held).index(w) if w in held else -1 for w in asked]
+        texts = ["w3 x w299 y x", None, "", "y w2 w2 z y", "w5"]
+        ids, rare = bpe.looked_up(texts, str.split, dictionary)
+        for text, got, names in zip(texts, ids.to_pylist(), rare.to_pylist(), strict=True):
+            missing = iter([x for x in got if x < 0])
+            words = (text or "").split()
+            assert sorted(names) == sorted({w for w in words if w not in held})
+            assert got == [x for w in words for x in (held[w] if w in held else [next(missing)])]
+            assert [names[-1 - x] for x in got if x < 0] == [w for w in words if w not in held]
+
+
 def test_splitting_spelled_out_is_the_pattern():
     import regex
 

@@ -27,6 +27,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -188,20 +189,17 @@ def dictionary(docs: DataFrame, ranks: dict[bytes, int], pattern: str, head: int
     return settle(encoded.mapInArrow(pack, "word string, ids binary"), "dictionary").toArrow()
 
 
-class Words(dict):
-    """Word to packed ids. Words that are missing are numbered from -1 down in ``rare``, which belongs to the text at hand."""
-
-    rare: dict[str, bytes]
+class Numbers(dict):
+    """Word to its number (four packed bytes), in the order in which words come."""
 
     def __missing__(self, word: str) -> bytes:
-        place = self.rare.get(word)
-        if place is None:
-            place = self.rare[word] = (-1 - len(self.rare)).to_bytes(4, sys.byteorder, signed=True)
-        return place
+        number = self[word] = len(self).to_bytes(4, sys.byteorder)
+        return number
 
 
 class Dictionary:
-    """The frequent words: they travel as two Arrow columns and become a dict in the worker that uses them."""
+    """The frequent words and their ids. They travel and stay as two Arrow columns; a worker finds a word in a sorted array of hashes
+    and compares it, so an entry takes some 40 bytes there. Of two words with one hash the second counts as rare."""
 
     def __init__(self, table: pa.Table):
         self.table = table.combine_chunks()
@@ -213,9 +211,56 @@ class Dictionary:
         return sink.getvalue().to_pybytes()
 
     def __setstate__(self, state: bytes) -> None:
-        self.words = Words()
-        for batch in pa.ipc.open_stream(state):
-            self.words.update(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        batches = list(pa.ipc.open_stream(state))
+        none = np.empty(0, np.int64)
+        hashes = np.concatenate([none, *(hashes_of(b.column(0).to_pylist()) for b in batches)])
+        self.places = np.argsort(hashes, kind="stable").astype(np.int32)
+        self.hashes = hashes[self.places]
+        self.words = pa.concat_arrays([pa.array([], pa.string()), *(b.column(0) for b in batches)])
+        packed = [b.column(1) for b in batches]
+        self.ids = np.frombuffer(b"".join(x for column in packed for x in column.to_pylist()), np.int32)
+        sizes = [pc.binary_length(column).to_numpy() // 4 for column in packed]
+        self.ends = np.concatenate([[0], np.cumsum(np.concatenate([none, *sizes]))])
+
+    def find(self, words: list[str]) -> np.ndarray:
+        """Place of every word in the dictionary, -1 where it is not in there."""
+        if not words or not len(self.hashes):
+            return np.full(len(words), -1)
+        at = np.searchsorted(self.hashes, hashes_of(words))
+        places = self.places[np.minimum(at, len(self.places) - 1)]
+        same = pc.equal(self.words.take(pa.array(places)), pa.array(words, pa.string()))
+        return np.where(same.to_numpy(zero_copy_only=False), places, -1)
+
+
+def hashes_of(words: list[str]) -> np.ndarray:
+    return np.fromiter(map(hash, words), np.int64, len(words))
+
+
+def looked_up(texts: list[str | None], split: Callable[[str], list[str]], known: Dictionary) -> tuple[pa.ListArray, pa.ListArray]:
+    """Ids of the known words of every text, with -1, -2 ... for its first, second ... rare word, and its rare words."""
+    numbers = Numbers()
+    get = numbers.__getitem__
+    rows = [np.frombuffer(b"".join(map(get, split(text or ""))), np.int32) for text in texts]
+    words = list(numbers)
+    word = np.concatenate([np.empty(0, np.int32), *rows])
+    ends = np.cumsum([0, *map(len, rows)])
+    place = known.find(words)[word] if words else word
+    gaps = np.flatnonzero(place < 0)
+    # Rare words are numbered inside their text: the number counts from the text's first pair of text and word.
+    row = np.searchsorted(ends, gaps, "right") - 1
+    pairs, pair = np.unique(row * max(len(words), 1) + word[gaps], return_inverse=True)
+    first = np.searchsorted(pairs, np.arange(len(texts) + 1) * max(len(words), 1))
+    rare = pa.ListArray.from_arrays(
+        pa.array(first.astype(np.int32)), pa.array(words, pa.string()).take(pa.array(pairs % max(len(words), 1))))
+    place[gaps] = 0
+    size = known.ends[place + 1] - known.ends[place] if len(known.ids) else np.ones(len(place), np.int64)
+    size[gaps] = 1
+    to = np.concatenate([[0], np.cumsum(size)])
+    inside = np.arange(to[-1]) - np.repeat(to[:-1], size)
+    # A gap reads the first entry here, which is then written over.
+    ids = known.ids[np.repeat(known.ends[place], size) + inside] if len(known.ids) else np.empty(to[-1], np.int32)
+    ids[to[gaps]] = first[row] - pair - 1
+    return pa.ListArray.from_arrays(pa.array(to[ends].astype(np.int32)), pa.array(ids)), rare
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, head: int = HEAD, longest: int = LONGEST) -> DataFrame:
@@ -225,19 +270,10 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, head: int = H
     at = docs.columns.index("text")
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Ids of known words; -1, -2 ... stand for the first, second ... of the text's rare words."""
-        split, known_words = splitter(pattern), known.value.words
-        own: dict[str, bytes] = {}
-        known_words.rare = own
-        get = known_words.__getitem__
+        split, words = splitter(pattern), known.value
         for batch in batches:
-            found, rare = [], []
-            for text in batch.column(at).to_pylist():
-                found.append(np.frombuffer(b"".join(map(get, split(text or ""))), np.int32))
-                rare.append(list(own))
-                own.clear()
             yield pa.record_batch(
-                [*(c for i, c in enumerate(batch.columns) if i != at), _lists(found), pa.array(rare, pa.list_(pa.string()))],
+                [*(c for i, c in enumerate(batch.columns) if i != at), *looked_up(batch.column(at).to_pylist(), split, words)],
                 [*(n for i, n in enumerate(batch.schema.names) if i != at), "ids", "rare"])
 
     def put_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,16 +282,11 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, head: int = H
 
     none = F.array().cast("array<int>")
     with_rare = docs.drop("text").withColumns({"ids": none, "rare": F.array().cast("array<string>")})
-    looked_up = docs.mapInArrow(look_up, with_rare.schema)
-    folded = looked_up.withColumn("rare", F.transform("rare", lambda w: encode_word(w, ranks)))
+    found = docs.mapInArrow(look_up, with_rare.schema)
+    folded = found.withColumn("rare", F.transform("rare", lambda w: encode_word(w, ranks)))
     return folded.mapInArrow(put_in, with_rare.drop("rare").schema)
 
 
-def _lists(arrays: list[np.ndarray]) -> pa.Array:
-    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *arrays])))
-
-
 def spliced(ids: pa.ListArray, rare: pa.ListArray) -> pa.ListArray:
     """``ids`` with -1, -2 ... replaced by the ids of the first, second ... of the row's ``rare`` words, all rows at once."""
     flat, ends = ids.flatten().to_numpy(), ids.offsets.to_numpy() - ids.offsets[0].as_py()
