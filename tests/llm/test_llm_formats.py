@@ -112,6 +112,10 @@ def test_bpe_as_the_tokenizer_library(spark, ranks, tokenizer, head):
         assert (told.n_tokens, told.ids_sha256) == (len(want), hashlib.sha256(",".join(map(str, want)).encode()).hexdigest())
         assert told.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
         assert (r.word, r.n) == ("x", 1)
+    at_once = bpe.encode(docs, ranks, public_tokenizers.PATTERN, head, reader=bpe.decoder(spark, ranks))
+    assert at_once.columns == encoded.columns and sorted(at_once.collect()) == sorted(rows)
+    told = bpe.encode(docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN, head, reader=bpe.digester(spark, ranks))
+    assert {r.doc_id: r for r in told.collect()} == shas
 
 
 def test_dictionary_finds_words_and_numbers_the_rare_ones_inside_their_text():

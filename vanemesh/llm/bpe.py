@@ -24,13 +24,15 @@ import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators.scale import settle
 from .text import whole
@@ -263,8 +265,12 @@ def looked_up(texts: list[str | None], split: Callable[[str], list[str]], known:
     return pa.ListArray.from_arrays(pa.array(to[ends].astype(np.int32)), pa.array(ids)), rare
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, head: int = HEAD, longest: int = LONGEST) -> DataFrame:
-    """``docs`` (text and more; none named ids or rare) with ``ids``, array<int>, in the place of the text."""
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, head: int = HEAD, longest: int = LONGEST,
+           reader: Reader | None = None) -> DataFrame:
+    """``docs`` (text and more; none named ids or rare) with ``ids``, array<int>, in the place of the text.
+
+    A ``reader`` works on the ids in the worker that puts them together, which saves a worker and the way of the ids to it.
+    """
     known = docs.sparkSession.sparkContext.broadcast(Dictionary(dictionary(docs, ranks, pattern, head, longest)))
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     at = docs.columns.index("text")
@@ -284,7 +290,10 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, head: int = H
     with_rare = docs.drop("text").withColumns({"ids": none, "rare": F.array().cast("array<string>")})
     found = docs.mapInArrow(look_up, with_rare.schema)
     folded = found.withColumn("rare", F.transform("rare", lambda w: encode_word(w, ranks)))
-    return folded.mapInArrow(put_in, with_rare.drop("rare").schema)
+    with_ids = with_rare.drop("rare")
+    if reader is None:
+        return folded.mapInArrow(put_in, with_ids.schema)
+    return folded.mapInArrow(lambda batches: reader.run(put_in(batches)), reader.schema(with_ids))
 
 
 def spliced(ids: pa.ListArray, rare: pa.ListArray) -> pa.ListArray:
@@ -317,38 +326,61 @@ def pieces_of(ranks: dict[bytes, int]) -> list[bytes]:
     return pieces
 
 
-def decode(rows: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """``rows`` (ids and more; none named bytes) with ``bytes``: the pieces of the ids, concatenated."""
-    pieces = rows.sparkSession.sparkContext.broadcast(pieces_of(ranks))
-    at = rows.columns.index("ids")
+class Reader(NamedTuple):
+    """Columns that follow from ids: their types, a function of a batch's ids, and whether the ids stay beside them."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = pieces.value.__getitem__
+    columns: dict[str, str]
+    read: Callable[[pa.ListArray], list[pa.Array]]
+    keep_ids: bool
+
+    def schema(self, rows: DataFrame) -> StructType:
+        kept = rows if self.keep_ids else rows.drop("ids")
+        return kept.withColumns({name: F.lit(None).cast(kind) for name, kind in self.columns.items()}).schema
+
+    def run(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            decoded = [b"".join(map(get, ids.tolist())) for ids in _arrays(batch.column(at))]
-            yield pa.record_batch([*batch.columns, pa.array(decoded, pa.binary())], [*batch.schema.names, "bytes"])
+            kept = [(n, c) for n, c in zip(batch.schema.names, batch.columns, strict=True) if self.keep_ids or n != "ids"]
+            told = self.read(batch.column(batch.schema.names.index("ids")))
+            yield pa.record_batch([*(c for _, c in kept), *told], [*(n for n, _ in kept), *self.columns])
+
+    def apply(self, rows: DataFrame) -> DataFrame:
+        return rows.mapInArrow(self.run, self.schema(rows))
+
+
+def decoder(spark: SparkSession, ranks: dict[bytes, int]) -> Reader:
+    pieces = spark.sparkContext.broadcast(pieces_of(ranks))
+
+    def read(ids: pa.ListArray) -> list[pa.Array]:
+        get = pieces.value.__getitem__
+        return [pa.array([b"".join(map(get, x.tolist())) for x in _arrays(ids)], pa.binary())]
 
-    return rows.mapInArrow(run, rows.withColumn("bytes", F.lit(b"")).schema)
+    return Reader({"bytes": "binary"}, read, True)
+
+
+def digester(spark: SparkSession, ranks: dict[bytes, int]) -> Reader:
+    pieces = spark.sparkContext.broadcast(pieces_of(ranks))
+
+    def read(ids: pa.ListArray) -> list[pa.Array]:
+        get = pieces.value.__getitem__
+        name = list(map(str, range(len(pieces.value)))).__getitem__
+        lists = [x.tolist() for x in _arrays(ids)]
+        return [
+            pa.array(map(len, lists), pa.int64()),
+            pa.array([hashlib.sha256(",".join(map(name, x)).encode()).hexdigest() for x in lists], pa.string()),
+            pa.array([hashlib.sha256(b"".join(map(get, x))).hexdigest() for x in lists], pa.string())]
+
+    return Reader({"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}, read, False)
+
+
+def decode(rows: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """``rows`` (ids and more; none named bytes) with ``bytes``: the pieces of the ids, concatenated."""
+    return decoder(rows.sparkSession, ranks).apply(rows)
 
 
 def digests(rows: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """doc_id, n_tokens, and SHA-256 of the ids (in decimal, joined by commas) and of the bytes that they decode to, for ``rows``
     (doc_id, ids)."""
-    pieces = rows.sparkSession.sparkContext.broadcast(pieces_of(ranks))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = pieces.value.__getitem__
-        name = [str(i) for i in range(len(pieces.value))].__getitem__
-        for batch in batches:
-            lists = [ids.tolist() for ids in _arrays(batch.column(1))]
-            yield pa.record_batch([
-                batch.column(0), pa.array(map(len, lists), pa.int64()),
-                pa.array([hashlib.sha256(",".join(map(name, ids)).encode()).hexdigest() for ids in lists], pa.string()),
-                pa.array([hashlib.sha256(b"".join(map(get, ids))).hexdigest() for ids in lists], pa.string())], names)
-
-    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return digester(rows.sparkSession, ranks).apply(rows.select("doc_id", "ids"))
 
 
 def _arrays(lists: pa.ListArray) -> list[np.ndarray]:

@@ -104,8 +104,8 @@ VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 @query()
 def op9_byte_bpe(spark: SparkSession, sf: str, vocabulary: str = VOCABULARY) -> DataFrame:
     ranks = bpe.load_ranks(vocabulary)
-    encoded = bpe.encode(table(spark, sf, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
-    return bpe.digests(encoded, ranks)
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return bpe.encode(docs, ranks, public_tokenizers.PATTERN, reader=bpe.digester(spark, ranks))
 
 
 @query()
