@@ -155,3 +155,13 @@ def test_overrides_and_retention(spark):
     assert [tuple(r) for r in tables.station_overrides(stations, extra).collect()] == [("a", "New", 1.0)]
     obs = spark.createDataFrame([(datetime(2023, 12, 31),), (datetime(2024, 1, 1),)], "time timestamp_ntz")
     assert tables.retained(obs, ntz(START)).count() == 1
+
+
+def test_newest_first_numbers_rows_over_parts(spark):
+    start = datetime(2025, 1, 1)
+    rows = [(f"s{i % 3}", start + timedelta(hours=7 * (i // 3))) for i in range(60)] + [("s9", None)]
+    got = views.newest_first(spark.createDataFrame(rows, "station_id string, time timestamp_ntz")).collect()
+    want = sorted(rows[:-1], key=lambda r: (-(r[1] - start).total_seconds(), r[0])) + rows[-1:]
+    assert [(r.station_id, r.time) for r in got] == want
+    assert [r.position for r in got] == list(range(1, 62))
+    assert views.newest_first(spark.createDataFrame([], "station_id string, time timestamp_ntz")).count() == 0

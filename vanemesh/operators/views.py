@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import seconds
+from .scale import time_parts, with_index
 
 
 def latest(obs: DataFrame, n: int = 20) -> DataFrame:
@@ -57,6 +58,16 @@ def with_station(obs: DataFrame, stations: DataFrame) -> DataFrame:
     return obs.join(stations, "station_id", "left")
 
 
+def newest_first(rows: DataFrame) -> DataFrame:
+    """``rows`` in order, the latest time first, then by station, rows without a time last; adds ``position``, from 1.
+
+    Positions are counted inside parts of time and offset by the parts before, so no task sees all rows.
+    """
+    part = F.coalesce(-time_parts(rows, []), F.lit(2**62))
+    order = [F.desc_nulls_last("time"), F.asc("station_id")]
+    return with_index(rows, [], order, part, "position").withColumn("position", F.col("position") + 1).orderBy("position")
+
+
 def network_centre(stations: DataFrame) -> DataFrame:
     return stations.agg(F.avg("latitude").alias("centre_lat"), F.avg("longitude").alias("centre_lon"),
                         F.count(F.lit(1)).alias("station_count"))

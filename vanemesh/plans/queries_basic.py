@@ -162,6 +162,17 @@ def csv_round_trip(spark, sf):
         spark, folder, "time timestamp_ntz, station_id string, station_name_en string, temp_out double, rain double")
 
 
+@query(a.with_sql(a.STATIONS, a.SUPPLIER_OBS) + """SELECT row_number() OVER (ORDER BY o.time DESC, o.station_id) AS position, o.time, o.station_id,
+  s.station_name_en, s.elevation FROM supplier_obs o LEFT JOIN stations s USING (station_id)""")
+def ordered_export(spark, sf):
+    """The joined export, newest first: its files follow each other in that order."""
+    joined = views.with_station(a.supplier_obs(spark, sf), a.stations(spark, sf))
+    folder = run_folder(spark, "export")
+    tables.export_csv(views.newest_first(joined).select("position", "time", "station_id", "station_name_en", "elevation"), folder)
+    return tables.read_csv(
+        spark, folder, "position long, time timestamp_ntz, station_id string, station_name_en string, elevation double")
+
+
 @query(a.with_sql(a.HOURLY, HOURLY_LONG) + """SELECT station_id, variable, count(*) AS data_points,
   round(count(CASE WHEN value = 0 THEN 1 END) / count(*), 6) AS zero_ratio FROM long GROUP BY 1, 2""")
 def json_round_trip(spark, sf):
