@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators.scale import settle
-from .text import whole
+from .text import thrifty, whole
 
 # Words that every task holds, and their bytes at most: with four bytes an id, less than 160 bytes each even if no two bytes
 # merge, some 30 as a rule.
@@ -158,7 +158,7 @@ def count_words(docs: DataFrame, pattern: str) -> DataFrame:
         counts.clear()
         return batch
 
-    return docs.select(whole("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(whole("text")).mapInArrow(thrifty(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def frequent_words(words: DataFrame, head: int = HEAD, longest: int = LONGEST) -> DataFrame:
@@ -288,12 +288,12 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, head: int = H
 
     none = F.array().cast("array<int>")
     with_rare = docs.drop("text").withColumns({"ids": none, "rare": F.array().cast("array<string>")})
-    found = docs.mapInArrow(look_up, with_rare.schema)
+    found = docs.mapInArrow(thrifty(look_up), with_rare.schema)
     folded = found.withColumn("rare", F.transform("rare", lambda w: encode_word(w, ranks)))
     with_ids = with_rare.drop("rare")
     if reader is None:
-        return folded.mapInArrow(put_in, with_ids.schema)
-    return folded.mapInArrow(lambda batches: reader.run(put_in(batches)), reader.schema(with_ids))
+        return folded.mapInArrow(thrifty(put_in), with_ids.schema)
+    return folded.mapInArrow(thrifty(lambda batches: reader.run(put_in(batches))), reader.schema(with_ids))
 
 
 def spliced(ids: pa.ListArray, rare: pa.ListArray) -> pa.ListArray:

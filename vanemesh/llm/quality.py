@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import whole
+from .text import thrifty, whole
 
 SAMPLE = 20_000
 TREES, DEPTH, RATE, BINS = 120, 5, 0.1, 64
@@ -186,7 +186,7 @@ def teach(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     # A doc_id may hold several rows: the bound holds for what comes to the driver too.
-    found = rows.mapInArrow(run, f"id {kind}, label double, _hash long, x array<double>").orderBy("_hash", "id", "label", "x").limit(sample).toArrow()
+    found = rows.mapInArrow(thrifty(run), f"id {kind}, label double, _hash long, x array<double>").orderBy("_hash", "id", "label", "x").limit(sample).toArrow()
     x = np.array(found.column("x").to_pylist(), float).reshape(-1, len(STATISTICS))
     return fit(x, found.column("label").to_numpy())
 
@@ -203,7 +203,7 @@ def score(docs: DataFrame, trees: Trees) -> DataFrame:
             names = [n for i, n in enumerate(batch.schema.names) if i != at]
             yield pa.record_batch([*columns, pa.array(model.value.score(x), pa.float64())], [*names, "score"])
 
-    return docs.mapInArrow(run, docs.drop("text").withColumn("score", F.lit(0.0)).schema)
+    return docs.mapInArrow(thrifty(run), docs.drop("text").withColumn("score", F.lit(0.0)).schema)
 
 
 def select_good(docs: DataFrame, trees: Trees, threshold: float = THRESHOLD) -> DataFrame:
@@ -216,4 +216,4 @@ def select_good(docs: DataFrame, trees: Trees, threshold: float = THRESHOLD) ->
             x = np.array([statistics(t) for t in batch.column(at).to_pylist()], float).reshape(-1, len(STATISTICS))
             yield batch.filter(pa.array(model.value.score(x) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(thrifty(run), docs.schema)

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
@@ -58,3 +64,19 @@ def numbered(df: DataFrame) -> tuple[DataFrame, str]:
     """``df`` as a written table with a number for each row, so that repeated rows can be told apart; the column's name."""
     row = fresh(df, "_row")
     return settle(df.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
+
+
+Worker = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def thrifty(run: Worker) -> Worker:
+    """``run``, giving free memory back to the machine when a task's rows end: the worker stays for tasks of other stages, beside theirs."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only some C libraries have it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return rows
