@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import ingest
+from ..operators import ingest, runs
 from ..session import run_folder
 from ..sources import adapters as a
 from ..sources import geojson
@@ -231,6 +231,25 @@ def tumbling_stats(spark, sf):
         F.col("w.start").alias("bucket"), "variable", "n", "mean", "std"))
 
 
+_STUCK = """src AS (SELECT event_id, CAST(user_id % 14 AS VARCHAR) AS station_id, event_type AS variable, ts AS time,
+    CASE WHEN event_id % 5 < 3 THEN 0.0 WHEN event_id % 5 = 3 THEN 7.0 ELSE value END AS value FROM events),
+  told AS (SELECT *, CASE WHEN value = lag(value) OVER w THEN 0 ELSE 1 END AS starts FROM src WHERE value IS NOT NULL
+    WINDOW w AS (PARTITION BY station_id, variable ORDER BY time, event_id)),
+  isl AS (SELECT *, sum(starts) OVER (PARTITION BY station_id, variable ORDER BY time, event_id) AS island FROM told)"""
+
+
+@query(f"""WITH {_STUCK} SELECT station_id, variable, CASE WHEN any_value(value) = 0 THEN 'zero' ELSE 'constant' END AS kind, any_value(value) AS value,
+    min(time) AS start_time, max(time) AS end_time, count(*) AS run_rows
+  FROM isl GROUP BY station_id, variable, island HAVING count(*) >= CASE WHEN any_value(value) = 0 THEN 3 ELSE 2 END""")
+def constant_runs(spark, sf):
+    """Runs of equal readings over parts of six hours; three readings of five are made 0, one is made 7."""
+    turn = F.col("event_id") % 5
+    readings = a.table(spark, sf, "events").select(
+        "event_id", (F.col("user_id") % 14).cast("string").alias("station_id"), F.col("event_type").alias("variable"),
+        F.col("ts").cast("timestamp_ntz").alias("time"), F.when(turn < 3, 0.0).when(turn == 3, 7.0).otherwise(F.col("value")).alias("value"))
+    return runs.constant_runs(readings, min_rows=2, min_zeros=3, order=["time", "event_id"], part_seconds=6 * 3600)
+
+
 _SENSOR = """src AS (SELECT event_id, CAST(user_id % 14 AS VARCHAR) AS station_id, event_type AS variable, ts AS time,
     CASE WHEN event_id % 5 < 3 THEN 0.0 ELSE value END AS value FROM events),
   runs AS (SELECT *, sum(CASE WHEN value = 0 THEN 0 ELSE 1 END) OVER (PARTITION BY station_id, variable ORDER BY time, event_id) AS g,
