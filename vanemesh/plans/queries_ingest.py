@@ -8,7 +8,7 @@ from ..operators import ingest, runs
 from ..session import run_folder
 from ..sources import adapters as a
 from ..sources import geojson
-from ..streaming import aggregates, late, sensors
+from ..streaming import aggregates, late, panes, sensors
 from ..streaming import ingest as stream_store
 from .registry import query, rounded
 
@@ -190,6 +190,14 @@ def stream_profile(spark, sf):
     return rounded(out.select("bucket", "station_id", "variable", "row_count", "missing_count", "mean", "std", "min", "max"))
 
 
+@query()
+def stream_profile_panes(spark, sf):
+    """The profile of the last 24 hours, each hour, with approximate median and unique count, merged from panes of an hour."""
+    folder = run_folder(spark, "panes")
+    run_to_end(aggregates.save_updates(panes.panes(reading_stream(spark, sf)), folder, run_folder(spark, "checkpoint")))
+    return rounded(panes.windows(aggregates.newest(spark.read.parquet(folder), ["w", *panes.SENSOR])))
+
+
 # Readings of the stream that are made late: every 13th event comes five hours, every 29th two days after its time.
 _ARRIVED = """arrived AS (SELECT event_id, CAST(user_id % 14 AS VARCHAR) AS station_id, value,
     ts - to_hours(CASE WHEN event_id % 29 = 0 THEN 48 WHEN event_id % 13 = 0 THEN 5 ELSE 0 END) AS time FROM events),
