@@ -10,7 +10,7 @@ from ..sources import adapters as a
 from ..sources import geojson
 from ..streaming import aggregates, late, panes, sensors
 from ..streaming import ingest as stream_store
-from .registry import query, rounded
+from .registry import SQL, query, rounded
 
 BASE = a.with_sql(a.FEATURES)
 _FIRST = """rowsx AS (SELECT *, make_timestamp(ts * 1000000) AS time FROM features WHERE ts > 0),
@@ -198,6 +198,12 @@ def stream_profile_panes(spark, sf):
     return rounded(panes.windows(aggregates.newest(spark.read.parquet(folder), ["w", *panes.SENSOR])))
 
 
+@query(SQL["stream_profile"])
+def stream_pane_moments(spark, sf):
+    """What merges exactly of the panes' profile."""
+    return stream_profile_panes(spark, sf).drop("median", "unique_count")
+
+
 # Readings of the stream that are made late: every 13th event comes five hours, every 29th two days after its time.
 _ARRIVED = """arrived AS (SELECT event_id, CAST(user_id % 14 AS VARCHAR) AS station_id, value,
     ts - to_hours(CASE WHEN event_id % 29 = 0 THEN 48 WHEN event_id % 13 = 0 THEN 5 ELSE 0 END) AS time FROM events),
