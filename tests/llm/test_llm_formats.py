@@ -147,6 +147,14 @@ def test_splitting_spelled_out_is_the_pattern():
         assert fast(text) == split(text), hex(cp)
 
 
+def test_words_of_equal_pairs_and_a_small_plan(spark, ranks, tokenizer):
+    words = ["a", "aa", "aaaaaaa", "abababab", " the", "Ā", "é" * 9, "\x00\xff", "🙂🙂🙂", "zqxjzqxj" * 6]
+    encoded = spark.createDataFrame([(w,) for w in words], "word string").select("word", bpe.encode_word(F.col("word"), ranks).alias("ids"))
+    assert all(r.ids == tokenizer._encode_single_piece(r.word) for r in encoded.collect())
+    literal = spark.range(1).select(bpe.rank_literal(ranks).alias("maps"))
+    assert len(literal._jdf.queryExecution().optimizedPlan().toString()) < 1_500_000
+
+
 def test_bpe_of_an_empty_table(spark, ranks):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.encode(docs, ranks, public_tokenizers.PATTERN).count() == 0

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators.scale import settle
-from .text import thrifty, whole
+from .text import give_back, thrifty, whole
 
 # Words that every task holds, and their bytes at most: with four bytes an id, less than 160 bytes each even if no two bytes
 # merge, some 30 as a rule.
@@ -45,9 +45,13 @@ LONGEST = 32
 BATCH_BYTES = 4 << 20
 # Distinct words that a task gathers before it passes on their counts.
 GATHER = 500_000
-BUCKETS = 1 << 16
+# Maps of the ranks, a power of two: each is some objects in every plan and task that holds them.
+BUCKETS = 1 << 12
 NONE = 2**31 - 1
-PLACES = 2**31
+PLACE_BITS = 31
+PLACES = 1 << PLACE_BITS
+# A letter that stands for no byte.
+EDGE = "\u0100"
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -72,51 +76,53 @@ def let(value: Column, body) -> Column:
 def encode_word(word: Column, ranks: dict[bytes, int], buckets: int = BUCKETS) -> Column:
     """Token ids of one word, array<int>.
 
-    The state of the fold is where the parts start (and the word's end), and the ranks of the pairs of neighbours.
+    The state of the fold has one number for each part: the rank of the pair that the part makes with the next one, and where the part
+    starts. So the least number is the leftmost of the lowest pairs. A letter that is no byte stands before and behind the word; no pair
+    with it has a rank.
     """
     none = F.array().cast("array<int>")
 
     def encoded(letters: Column, maps: Column) -> Column:
         def rank(piece: Column) -> Column:
-            place = F.pmod(F.crc32(piece.cast("binary")), F.lit(buckets)).cast("int")
+            place = F.crc32(piece.cast("binary")).bitwiseAND(F.lit(buckets - 1)).cast("int")
             return F.coalesce(F.element_at(F.get(maps, place), piece), F.lit(NONE))
 
+        def starts(part: Column) -> Column:
+            return part.bitwiseAND(F.lit(PLACES - 1)).cast("int")
+
+        def pair(start: Column, end: Column) -> Column:
+            return number(rank(F.substring(letters, start, end - start)), start)
+
+        def number(rank: Column, start: Column) -> Column:
+            return F.shiftleft(rank.cast("long"), PLACE_BITS).bitwiseOR(start.cast("long"))
+
         n = F.length(letters)
-        places = F.sequence(F.lit(1), n + 1)
-        two = F.transform(F.slice(places, F.lit(1), n - 1), lambda i: F.substring(letters, i, F.lit(2)))
-        start = F.struct(places.alias("starts"), F.transform(two, rank).alias("pairs"))
-
-        def merge(state: Column, at: Column) -> Column:
-            """Join the parts ``at`` and ``at`` + 1 (0-based); only the pairs beside them change."""
-            starts, pairs = state["starts"], state["pairs"]
-
-            def between(i: Column, j: Column) -> Column:
-                return F.substring(letters, F.get(starts, i), F.get(starts, j) - F.get(starts, i))
-
-            beside = F.array_compact(F.array(F.when(at > 0, between(at - 1, at + 2)), between(at, at + 3)))
-            return F.struct(
-                F.flatten(F.array(F.slice(starts, F.lit(1), at + 1), F.slice(starts, at + 3, n))).alias("starts"),
-                F.flatten(F.array(F.slice(pairs, F.lit(1), F.greatest(at - 1, F.lit(0))), F.transform(beside, rank),
-                                  F.slice(pairs, at + 3, n))).alias("pairs"))
-
-        def step(state: Column, _: Column) -> Column:
-            # Rank and place in one number, so that the least tells the leftmost of the lowest pairs.
-            found = F.array_min(F.transform(state["pairs"], lambda r, i: r.cast("long") * F.lit(PLACES) + i))
-            return let(F.coalesce(found, F.lit(NONE * PLACES)), lambda best: F.when(best >= NONE * PLACES, state).otherwise(
-                let(best.bitwiseAND(F.lit(PLACES - 1)).cast("int"), lambda at: merge(state, at))))
-
-        def finish(state: Column) -> Column:
-            starts = state["starts"]
-            parts = F.transform(F.slice(starts, F.lit(1), F.size(starts) - 1),
-                                lambda s, i: F.substring(letters, s, F.get(starts, i + 1) - s))
-            return F.transform(parts, rank)
-
-        folded = F.aggregate(F.slice(places, F.lit(1), n - 1), start, step, finish)
+        first = F.concat(F.transform(F.sequence(F.lit(1), n - 1), lambda i: number(rank(F.substring(letters, i, F.lit(2))), i)),
+                         F.transform(F.array(n, n + 1), lambda i: number(F.lit(NONE), i)))
+
+        def merge(parts: Column, best: Column, at: Column) -> Column:
+            """Join the parts ``at`` and ``at`` + 1 (1-based); only the pairs beside them change."""
+            before, behind, next_end = (starts(F.get(parts, at + i)) for i in (-2, 1, 2))
+            return F.concat(F.slice(parts, F.lit(1), at - 2), F.array(pair(before, behind), pair(starts(best), next_end)), F.slice(parts, at + 2, n))
+
+        def step(parts: Column, _: Column) -> Column:
+            return let(F.array_min(parts), lambda best: F.when(best >= NONE * PLACES, parts).otherwise(
+                let(F.array_position(parts, best).cast("int"), lambda at: merge(parts, best, at))))
+
+        def finish(parts: Column) -> Column:
+            return F.transform(F.slice(parts, F.lit(2), F.size(parts) - 3),
+                               lambda part, i: let(starts(part), lambda s: rank(F.substring(letters, s, starts(F.get(parts, i + 2)) - s))))
+
+        return F.aggregate(F.sequence(F.lit(1), F.greatest(n - 3, F.lit(1))), first, step, finish)
+
+    def looked_up(letters: Column, maps: Column) -> Column:
         # A word that is a token as a whole needs no merges.
-        return let(rank(letters), lambda whole_word: F.when(whole_word != NONE, F.array(whole_word)).otherwise(folded))
+        whole_word = F.element_at(F.get(maps, F.crc32(letters.cast("binary")).bitwiseAND(F.lit(buckets - 1)).cast("int")), letters)
+        return let(whole_word, lambda known: F.when(known.isNotNull(), F.array(known)).otherwise(
+            let(F.concat(F.lit(EDGE), letters, F.lit(EDGE)), lambda w: encoded(w, maps))))
 
     letters = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
-    return F.when(F.length(word) > 0, let(rank_literal(ranks, buckets), lambda m: let(letters, lambda w: encoded(w, m)))).otherwise(none)
+    return F.when(F.length(word) > 0, let(rank_literal(ranks, buckets), lambda m: let(letters, lambda w: looked_up(w, m)))).otherwise(none)
 
 
 def members(kind: str) -> str:
@@ -188,7 +194,9 @@ def dictionary(docs: DataFrame, ranks: dict[bytes, int], pattern: str, head: int
     words = frequent_words(settle(count_words(docs, pattern), "words"), head, longest).select("word")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     encoded = words.repartition(n, "word").select("word", encode_word(F.col("word"), ranks).alias("ids"))
-    return settle(encoded.mapInArrow(pack, "word string, ids binary"), "dictionary").toArrow()
+    entries = settle(encoded.mapInArrow(pack, "word string, ids binary"), "dictionary").toArrow()
+    give_back()
+    return entries
 
 
 class Numbers(dict):

@@ -69,14 +69,19 @@ def numbered(df: DataFrame) -> tuple[DataFrame, str]:
 Worker = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
+def give_back() -> None:
+    """Give this process's free memory back to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only some C libraries have it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def thrifty(run: Worker) -> Worker:
     """``run``, giving free memory back to the machine when a task's rows end: the worker stays for tasks of other stages, beside theirs."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # only some C libraries have it
-            ctypes.CDLL(None).malloc_trim(0)
+        give_back()
 
     return rows
