@@ -155,6 +155,18 @@ def test_words_of_equal_pairs_and_a_small_plan(spark, ranks, tokenizer):
     assert len(literal._jdf.queryExecution().optimizedPlan().toString()) < 1_500_000
 
 
+def test_pieces_of_rows_stand_behind_each_other():
+    pieces = [b"", b"a", "\u00e9".encode(), b"\xff\x00"]
+    rows = [[], [1, 2, 3, 3], [], [0], [2, 1]]
+    some = pa.array([[3, 3], *rows, [1]], pa.list_(pa.int32())).slice(1, len(rows))
+    for ids in (some, some.slice(0, 0), some.slice(0, 1)):
+        joined = bpe.Pieces(pieces).joined(ids)
+        want = [b"".join(pieces[i] for i in row) for row in ids.to_pylist()]
+        assert joined.to_pylist() == want
+        assert bpe.sha256s(joined).to_pylist() == [hashlib.sha256(x).hexdigest() for x in want]
+        assert bpe.sha256s(joined, 1).to_pylist() == [hashlib.sha256(x[:-1]).hexdigest() for x in want]
+
+
 def test_bpe_of_an_empty_table(spark, ranks):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.encode(docs, ranks, public_tokenizers.PATTERN).count() == 0

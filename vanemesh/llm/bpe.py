@@ -46,7 +46,7 @@ BATCH_BYTES = 4 << 20
 # Distinct words that a task gathers before it passes on their counts.
 GATHER = 500_000
 # Maps of the ranks, a power of two: each is some objects in every plan and task that holds them.
-BUCKETS = 1 << 12
+BUCKETS = 1 << 14
 NONE = 2**31 - 1
 PLACE_BITS = 31
 PLACES = 1 << PLACE_BITS
@@ -138,7 +138,9 @@ def splitter(pattern: str) -> Callable[[str], list[str]]:
     spelled out, which is faster."""
     split = regex.compile(pattern).findall
     letters, numbers, blanks = (members(kind) for kind in (r"\p{L}", r"\p{N}", r"\s"))
-    plain = pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{blanks}{letters}{numbers}]")
+    # No match ends inside a run of one class, so the runs are never tried again with fewer characters.
+    plain = pattern.replace(r" ?\p{L}+|", r" \p{L}++|\p{L}++|").replace(r"\p{N}+|", r"\p{N}++|").replace(r"[^\s\p{L}\p{N}]+|", r"[^\s\p{L}\p{N}]++|")
+    plain = plain.replace(r"[^\s\p{L}\p{N}]", f"[^{blanks}{letters}{numbers}]")
     for kind, inside in ((r"\p{L}", f"[{letters}]"), (r"\p{N}", f"[{numbers}]"), (r"\S", f"[^{blanks}]"), (r"\s", f"[{blanks}]")):
         plain = plain.replace(kind, inside)
     if r"\p" in plain:
@@ -355,27 +357,45 @@ class Reader(NamedTuple):
         return rows.mapInArrow(self.run, self.schema(rows))
 
 
+class Pieces:
+    """What the ids stand for, as one Arrow column: the pieces of many ids are taken at once and stand behind each other."""
+
+    def __init__(self, pieces: list[bytes]):
+        self.column = pa.array(pieces, pa.large_binary())
+
+    def joined(self, ids: pa.ListArray) -> pa.LargeBinaryArray:
+        """The pieces of each row's ids, concatenated."""
+        taken = self.column.take(ids.flatten())
+        ends = ids.offsets.to_numpy().astype(np.int64) - ids.offsets[0].as_py()
+        _, offsets, data = taken.buffers()
+        at = np.frombuffer(offsets, np.int64, len(taken) + 1, taken.offset * 8)[ends] if len(taken) else np.zeros_like(ends)
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(at), data])
+
+
+def sha256s(column: pa.LargeBinaryArray, cut: int = 0) -> pa.Array:
+    """SHA-256 of each value, in hex, without its last ``cut`` bytes."""
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int64, len(column) + 1).tolist()
+    view = memoryview(data if data is not None else b"")
+    return pa.array([hashlib.sha256(view[a:max(a, b - cut)]).hexdigest() for a, b in zip(ends, ends[1:])], pa.string())
+
+
 def decoder(spark: SparkSession, ranks: dict[bytes, int]) -> Reader:
-    pieces = spark.sparkContext.broadcast(pieces_of(ranks))
+    pieces = spark.sparkContext.broadcast(Pieces(pieces_of(ranks)))
 
     def read(ids: pa.ListArray) -> list[pa.Array]:
-        get = pieces.value.__getitem__
-        return [pa.array([b"".join(map(get, x.tolist())) for x in _arrays(ids)], pa.binary())]
+        return [pieces.value.joined(ids).cast(pa.binary())]
 
     return Reader({"bytes": "binary"}, read, True)
 
 
 def digester(spark: SparkSession, ranks: dict[bytes, int]) -> Reader:
-    pieces = spark.sparkContext.broadcast(pieces_of(ranks))
+    pieces = pieces_of(ranks)
+    both = spark.sparkContext.broadcast((Pieces([b"%d," % i for i in range(len(pieces))]), Pieces(pieces)))
 
     def read(ids: pa.ListArray) -> list[pa.Array]:
-        get = pieces.value.__getitem__
-        name = list(map(str, range(len(pieces.value)))).__getitem__
-        lists = [x.tolist() for x in _arrays(ids)]
-        return [
-            pa.array(map(len, lists), pa.int64()),
-            pa.array([hashlib.sha256(",".join(map(name, x)).encode()).hexdigest() for x in lists], pa.string()),
-            pa.array([hashlib.sha256(b"".join(map(get, x))).hexdigest() for x in lists], pa.string())]
+        names, texts = both.value
+        return [pc.list_value_length(ids).cast(pa.int64()), sha256s(names.joined(ids), 1), sha256s(texts.joined(ids))]
 
     return Reader({"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}, read, False)
 
@@ -389,8 +409,3 @@ def digests(rows: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """doc_id, n_tokens, and SHA-256 of the ids (in decimal, joined by commas) and of the bytes that they decode to, for ``rows``
     (doc_id, ids)."""
     return digester(rows.sparkSession, ranks).apply(rows.select("doc_id", "ids"))
-
-
-def _arrays(lists: pa.ListArray) -> list[np.ndarray]:
-    flat, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-    return [flat[a:b] for a, b in zip(ends, ends[1:])]
