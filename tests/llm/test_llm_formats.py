@@ -167,6 +167,16 @@ def test_pieces_of_rows_stand_behind_each_other():
         assert bpe.sha256s(joined, 1).to_pylist() == [hashlib.sha256(x[:-1]).hexdigest() for x in want]
 
 
+def test_driver_gives_memory_back_once_the_dictionary_is_written(spark, ranks, monkeypatch):
+    calls = []
+    empty = pa.table({"word": pa.array([], pa.string()), "ids": pa.array([], pa.binary())})
+    monkeypatch.setattr(bpe, "dictionary", lambda *_: calls.append("dictionary") or empty)
+    monkeypatch.setattr(bpe, "give_back", lambda: calls.append("give back"))
+    monkeypatch.setattr(bpe.Dictionary, "__getstate__", lambda _: calls.append("written") or b"")
+    bpe.encode(spark.createDataFrame([(1, "a")], "doc_id long, text string"), ranks, public_tokenizers.PATTERN)
+    assert calls == ["dictionary", "written", "give back"]
+
+
 def test_bpe_of_an_empty_table(spark, ranks):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.encode(docs, ranks, public_tokenizers.PATTERN).count() == 0
