@@ -100,6 +100,36 @@ def test_words_of_a_text_are_encoded_like_the_text(monkeypatch):
             assert [a.tolist() for a in m.encode_a(texts)] == want
 
 
+def test_stretches_are_encoded_once_and_like_the_text(monkeypatch):
+    rng = random.Random(4)
+    letters = [*map(chr, range(0x21, 0x7F)), *map(chr, range(0xA1, 0x100)), *"etaoin" * 40, *"\n\t\r" * 4]
+    words = ["".join(rng.choices(letters, k=rng.randint(1, 9))) for _ in range(400)] + ["a\n", "\n", "", "b\n\n", "<s>", "<unk>", "<|endoftext|>", "'s"]
+    texts = [" ".join(rng.choices(words if i % 2 else [w for w in words if w[:1].strip()], k=rng.randint(1, 60))) for i in range(200)]
+    texts += [t for _, t in TEXTS if t]
+    want = list(token_align.Tokenizers(*models().files).encode_whole(texts))
+    m, whole = token_align.Tokenizers(*models().files), []
+    one_by_one = m.encode_whole
+    m.encode_whole = lambda x: whole.extend(x) or one_by_one(x)
+    for kept in (token_align.KEPT, 300):
+        monkeypatch.setattr(token_align, "KEPT", kept)
+        for at in range(0, len(texts), 20):
+            for own, other in zip(m.encode(texts[at:at + 20]), want[at:at + 20], strict=True):
+                assert [x.tolist() for x in own] == [x.tolist() for x in other]
+    assert m.apart and not m.strange and not {t for t in texts[:200:2] if " " in t} & set(whole)
+    monkeypatch.undo()
+    whole.clear()
+    list(m.encode(["pear fig"] * 9 + ["fig pear apple"])), list(m.encode(["apple pear"]))
+    assert len(whole) == 1 and sorted(whole[0].split(" ")) == ["apple", "fig", "pear"]
+
+
+def test_a_stretch_whose_bytes_differ_leaves_only_its_texts_out():
+    spoilt = token_align.Tokenizers(*models().files)
+    spoilt.bytes_b[spoilt.b.piece_to_id("▁x")] = b"y"
+    spoilt.bytes_a[spoilt.a.token_to_id("Ġx")] = b"y"
+    assert [len(a) > 0 for a, _ in spoilt.encode(["x", "a plain text", "text x plain", "plain text"])] == [False, True, False, True]
+    assert spoilt.strange == {"x"}
+
+
 def test_groups_of_random_ends():
     rng = random.Random(3)
     for _ in range(300):

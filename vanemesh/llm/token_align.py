@@ -45,11 +45,14 @@ FEW = 64
 # Bytes of a batch of rows for Python.
 BATCH_BYTES = 4 << 20
 BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
-# Words whose A ids a worker keeps, some 150 bytes each.
-KEPT = 200_000
+# Words whose A ids, and stretches whose A and B ids, a worker keeps, some 150 and 350 bytes each.
+KEPT = 400_000
 # Letters whose classes are the same in every edition of Unicode; texts of these alone are split into words here.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7E\xA1-\xFF]*")
 SPLIT = splitter(PATTERN)
+# A blank with no letter behind it. Without one, PLAIN texts fall into stretches that each begin at a blank: no word of A and no piece
+# of B reaches over the blank.
+LOOSE = re.compile(r" (?![^ \t\n\r])")
 
 
 def byte_letters() -> dict[str, int]:
@@ -107,9 +110,14 @@ class Tokenizers:
         for entry, i in self.a.get_vocab().items():
             self.bytes_a[i] = entry.encode() if i in special else bytes(letters[c] for c in entry)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        # Pieces with a blank behind a letter would join stretches; those of blanks alone need two blanks in a row.
+        self.apart = self.faithful and all(set(p) == {"▁"} for p in pieces if "▁" in p[1:])
+        self.stretches: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
         self.words: dict[str, bytes] = {}
+        self.strange: set[str] = set()  # stretches whose tokens do not give their bytes back
         self.odd: set[str] = set()  # words whose tokens do not give their bytes back
         self.bytes_b = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.sizes = [np.array([len(x) for x in v], np.int64) for v in (self.bytes_a, self.bytes_b)]
 
     def encode_a(self, texts: Sequence[str]) -> list[np.ndarray]:
         """A's ids of a space and each text. Where all letters are PLAIN, the words are split here and each distinct one is encoded
@@ -133,8 +141,42 @@ class Tokenizers:
         return [np.frombuffer(b"".join(map(get, next(ready))), np.int32) if p else np.array(next(rest).ids, np.int32) for p in plain]
 
     def encode(self, texts: Sequence[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """The ids of each text by both models; none where the tokens' bytes are not a space and the text. PLAIN texts need no such
-        comparison if all their words passed it, and B is ``faithful`` and knows every piece."""
+        """The ids of each text by both models; none where the tokens' bytes are not a space and the text. Texts that fall into stretches
+        are put together from those, each distinct one encoded once; the others are encoded whole."""
+        cut = [t.split(" ") if self.apart and PLAIN.fullmatch(t) and not LOOSE.search(" " + t) else None for t in texts]
+        self.learn([c for c in cut if c])
+        known = [c and not (self.strange and not self.strange.isdisjoint(c)) for c in cut]
+        rest = self.encode_whole([t for t, k in zip(texts, known, strict=True) if not k])
+        get_a, get_b = (x.__getitem__ for x in self.stretches)
+        for c, k in zip(cut, known, strict=True):
+            yield (np.frombuffer(b"".join(map(get_a, c)), np.int32), np.frombuffer(b"".join(map(get_b, c)), np.int32)) if k else next(rest)
+
+    def learn(self, cut: Sequence[list[str]]) -> None:
+        """Keep the ids of the stretches of texts. New ones make up a text of their own; if its tokens do not give its bytes back, each
+        is tried alone."""
+        new = set().union(*cut).difference(self.stretches[0])
+        if len(self.stretches[0]) + len(new) > KEPT:
+            for x in (*self.stretches, self.strange):
+                x.clear()
+            new = set().union(*cut)
+        together = list(new - self.strange)
+        for parts in ([together], [[x] for x in together]) if together else ():
+            found = list(self.encode_whole([" ".join(part) for part in parts]))
+            for part, ids in zip(parts, found, strict=True):
+                at = np.cumsum([len(x.encode()) + 1 for x in part])
+                for kept, own, sizes in zip(self.stretches, ids, self.sizes, strict=True):
+                    ends = (np.searchsorted(np.cumsum(sizes[own]), at) + 1) * own.itemsize if len(own) else []
+                    packed, start = own.tobytes(), 0
+                    for x, end in zip(part, ends, strict=False):
+                        kept[x] = packed[start:end]
+                        start = end
+            if len(found[0][0]) and len(parts) == 1:
+                return
+        self.strange.update(x for x in together if x not in self.stretches[0])
+
+    def encode_whole(self, texts: Sequence[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """``encode`` for any text. PLAIN texts need no comparison of bytes if all their words passed it, and B is ``faithful`` and knows
+        every piece."""
         get_a, get_b, none = self.bytes_a.__getitem__, self.bytes_b.__getitem__, np.empty(0, np.int32)
         ids_a, unknown = self.encode_a(texts), self.b.unk_id()
         sure = self.faithful and not self.odd
