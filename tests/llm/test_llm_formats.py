@@ -182,6 +182,21 @@ def test_bpe_of_an_empty_table(spark, ranks):
     assert bpe.encode(docs, ranks, public_tokenizers.PATTERN).count() == 0
 
 
+def test_the_dictionary_is_written_by_a_plan_that_is_told_once(spark, monkeypatch):
+    ranks, seen, write, size = {bytes([i]): i for i in range(256)}, {}, bpe.settle, "spark.sql.execution.arrow.maxBytesPerBatch"
+    monkeypatch.setattr(bpe, "settle", lambda df, name: seen.update({name: spark.conf.get(bpe.ADAPTIVE)}) or write(df, name))
+    docs = spark.createDataFrame([(1, "a b a b"), (2, None), (3, "\u00e9 a")], "doc_id long, text string")
+    before, adaptive = spark.conf.get(size), spark.conf.get(bpe.ADAPTIVE)
+    try:
+        spark.conf.set(bpe.ADAPTIVE, "true")
+        got = {r.doc_id: r.ids for r in bpe.encode(docs, ranks, public_tokenizers.PATTERN, batch_bytes=1 << 16).collect()}
+        assert got == {1: list(b"a b a b"), 2: [], 3: list("\u00e9 a".encode())}
+        assert seen == {"words": "true", "dictionary": "false"}
+        assert (spark.conf.get(bpe.ADAPTIVE), spark.conf.get(size)) == ("true", str(1 << 16))
+    finally:
+        spark.conf.set(size, before), spark.conf.set(bpe.ADAPTIVE, adaptive)
+
+
 def test_frequent_words_stay_within_the_head(spark):
     words = spark.createDataFrame([(f"w{i}", i) for i in range(1, 200)] + [("long" * 20, 999)], "word string, n long")
     for head in (1, 10, 50, 500):
