@@ -78,8 +78,9 @@ def spread(x: np.ndarray) -> float:
 
 def centre(x: np.ndarray) -> tuple[float, float, float]:
     """Median, population standard deviation, and median distance from the median."""
-    middle = median(np.sort(x))
-    return middle, spread(x), median(np.sort(np.abs(x - middle)))
+    half = [(len(x) - 1) // 2, len(x) // 2]
+    middle = median(np.partition(x, half))
+    return middle, spread(x), median(np.partition(np.abs(x - middle), half))
 
 
 class Readings:
@@ -317,6 +318,35 @@ class Around:
         return value[np.arange(len(value)), at]
 
 
+class Snapshot:
+    """One variable's values by station, each as often as it is given."""
+
+    def __init__(self, n: int, at: np.ndarray, value: np.ndarray):
+        order = np.argsort(at, kind="stable")
+        self.value, self.count = value[order], np.bincount(at, minlength=n)
+        self.start = np.cumsum(self.count) - self.count
+
+    def of(self, stations: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values of ``stations``, and the place in ``stations`` of each."""
+        count = self.count[stations]
+        place = np.repeat(np.arange(len(stations)), count)
+        return self.value[self.start[stations][place] + np.arange(len(place)) - (np.cumsum(count) - count)[place]], place
+
+
+def grid_rows(readings: Readings, stations: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which of ``stations`` have rows, their rows on the times of any of them, and their values."""
+    rows = readings.start[stations + 1] - readings.start[stations]
+    stations, rows = stations[rows > 0], rows[rows > 0]
+    if readings.table is not None:
+        times = np.full(len(stations), readings.table[1][stations].any(axis=0).sum())
+    else:
+        codes = [readings.code[readings.start[s]:readings.start[s + 1]] for s in stations]
+        distinct = [np.unique(c) for c in codes]
+        times = len(np.unique(np.concatenate([*distinct, np.empty(0, np.int64)]))) + rows - np.array([len(d) for d in distinct], np.int64)
+    values = np.concatenate([[0], np.cumsum(readings.there)])
+    return stations, times, values[readings.start[stations + 1]] - values[readings.start[stations]]
+
+
 def pair_moments(readings: Readings, i: int, others: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Common readings of station ``i`` with each of ``others``, their correlation, and whether there is one."""
     if readings.table is not None:

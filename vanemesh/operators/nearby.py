@@ -296,14 +296,23 @@ def linked_stations(near: Near) -> DataFrame:
         some = [int(i) for i in stations if any(len(places.around(r)) for r in places.rows[i])]
         yield {"station_id": names.take(pa.array(some, pa.int64()))}
 
-    spread = Spread(near, 1.0)
-    asked = parted(spread)
-    return spread.rows(asked, None, ["part"], ["variable"], run, f"station_id {near.stations.schema['station_id'].dataType.simpleString()}")
+    spread = by_parts(near)
+    return spread.rows(parted(spread, parts_of(spread)), None, ["part"], ["variable"], run, f"station_id {near.stations.schema['station_id'].dataType.simpleString()}")
 
 
-def parted(spread: Spread, per_part: int = 2_000) -> DataFrame:
+# Stations of a block that are looked at without their series.
+BLOCK_STATIONS = 200_000
+
+
+def by_parts(near: Near) -> Spread:
+    return Spread(near, BLOCK_STATIONS / max(near.stations.count(), 1))
+
+
+def parts_of(spread: Spread) -> int:
+    return max(1, min(spread.homes.count() // 500, 32))
+
+
+def parted(spread: Spread, parts: int) -> DataFrame:
     """Every station once, in parts that share their band's stations."""
-    n = spread.homes.count()
-    parts = max(1, min(-(-n // per_part), 64))
     return spread.homes.select("sid", "station_id", "band", F.lit(0).alias("t"), F.lit(1).alias("copies"), F.lit(None).cast("string").alias("variable"),
                                F.pmod(F.xxhash64("sid"), F.lit(parts)).alias("part"))

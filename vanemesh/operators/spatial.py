@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import EARTH_RADIUS_KM
+from ..functions import nearby as kernel
 from ..functions.columns import elevation_adjusted, haversine_km
-from .nearby import Near, noted
+from .nearby import Block, Near, by_parts, note, noted, parted, parts_of
 
 # Stations of one cell that one task compares with a station of the nine cells around it.
 CELL_SHARE = 2_000
@@ -125,6 +129,45 @@ def _around(snapshot: DataFrame, edges: DataFrame, temperature_names) -> DataFra
         elevation_adjusted("_theirs", "elev_diff", F.col("variable"), temperature_names).alias("nb"))
 
 
+def _centres_around(snapshot: DataFrame, near: Near, min_neighbors: int, temperature_names) -> DataFrame:
+    """Median, standard deviation and MAD of the neighbours' values of each station and variable, without a row for each neighbour."""
+    theirs = snapshot.where(F.col("value").isNotNull() & F.col("variable").isNotNull())
+    variables = sorted(r.variable for r in theirs.select("variable").distinct().collect())
+    per_metre = {v: (100, 0.65) if v in temperature_names else (10, 1.2) if v == "bar" else None for v in variables}
+    spread = by_parts(near)
+    parts = parts_of(spread)
+    place = F.array_position(F.array(*map(F.lit, variables)), F.col("variable")) - 1 if variables else F.lit(0)
+    readings = theirs.select("station_id", place.alias("t"), F.col("value").cast("double").alias("value"),
+                             F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"))
+
+    def centres(block: Block) -> Iterator[dict]:
+        places, series, names, stations = block.opened()
+        number = series.times[series.code]
+        values = {v: kernel.Snapshot(len(names), series.at[number == k], series.value[number == k]) for k, v in enumerate(variables)}
+        found = []
+        for i in stations.tolist():
+            rows = [(r, places.around(r)) for r in places.rows[i]]
+            theirs = np.concatenate([r for _, r in rows])
+            if not len(theirs):
+                continue
+            mine = np.repeat([r for r, _ in rows], [len(r) for _, r in rows])
+            higher, known = places.elev[theirs] - places.elev[mine], places.known[theirs] & places.known[mine]
+            for v, held in values.items():
+                nb, at = held.of(places.of[theirs])
+                n = len(nb)
+                if n < max(min_neighbors, 1):
+                    continue
+                if per_metre[v]:
+                    nb = (nb + higher[at] / per_metre[v][0] * per_metre[v][1])[known[at]]
+                found.append((i, v, n, *(kernel.centre(nb) if len(nb) else (None, None, None))))
+        i, v, n, middle, sd, mad = zip(*found, strict=True) if found else ((),) * 6
+        yield {"station_id": names.take(pa.array(i, pa.int64())), "variable": v, "neighbor_median": middle, "_sd": sd, "n_neighbors": n, "_mad": mad}
+
+    kinds = near.stations.schema["station_id"].dataType.simpleString(), snapshot.schema["variable"].dataType.simpleString()
+    return spread.rows(parted(spread, parts), readings, ["part"], ["variable"], centres,
+                       f"station_id {kinds[0]}, variable {kinds[1]}, neighbor_median double, _sd double, n_neighbors long, _mad double")
+
+
 def snapshot_outliers(snapshot: DataFrame, edges: DataFrame, threshold: float = 3.0, min_neighbors: int = 2,
                       temperature_names=("temp",), scale: float = 1.4826) -> DataFrame:
     """Each station's value against the median and MAD of its neighbours at one time.
@@ -133,17 +176,21 @@ def snapshot_outliers(snapshot: DataFrame, edges: DataFrame, threshold: float =
     ``temperature_names`` a column called ``temp_out`` is not adjusted for elevation, ``bar`` is.
     """
     keys = ["station_id", "variable"]
-    around = _around(snapshot, edges, temperature_names)
-    # A group is one station's neighbourhood; equal values merge before the shuffle.
-    centre = around.groupBy(*keys).agg(
-        F.median("nb").alias("neighbor_median"), F.stddev_pop("nb").alias("_sd"), F.count(F.lit(1)).alias("n_neighbors"))
-    centre = centre.where(F.col("n_neighbors") >= min_neighbors)
-    spread = around.join(centre.select(*keys, "neighbor_median"), keys).groupBy(*keys).agg(
-        F.median(F.abs(F.col("nb") - F.col("neighbor_median"))).alias("_mad"))
+    if (near := note(edges, "near")) is not None:
+        centre = _centres_around(snapshot, near, min_neighbors, temperature_names)
+    else:
+        around = _around(snapshot, edges, temperature_names)
+        # A group is one station's neighbourhood; equal values merge before the shuffle.
+        centre = around.groupBy(*keys).agg(
+            F.median("nb").alias("neighbor_median"), F.stddev_pop("nb").alias("_sd"), F.count(F.lit(1)).alias("n_neighbors"))
+        centre = centre.where(F.col("n_neighbors") >= min_neighbors)
+        spread = around.join(centre.select(*keys, "neighbor_median"), keys).groupBy(*keys).agg(
+            F.median(F.abs(F.col("nb") - F.col("neighbor_median"))).alias("_mad"))
+        centre = centre.join(spread, keys)
     sd = F.when(F.col("_sd") > 0, F.col("_sd")).otherwise(1e-6)
     mad = F.when(F.col("_mad") > 0, F.col("_mad")).otherwise(sd)
     return (
-        snapshot.where(F.col("value").isNotNull()).join(centre, keys).join(spread, keys)
+        snapshot.where(F.col("value").isNotNull()).join(centre, keys)
         .withColumn("deviation", F.abs(F.col("value") - F.col("neighbor_median")) / (F.lit(scale) * mad))
         .withColumn("is_outlier", F.col("deviation") > threshold).drop("_sd", "_mad")
     )
