@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vanemesh.functions import nearby as kernel
-from vanemesh.operators import nearby, spatial, trend
+from vanemesh.operators import gaps, nearby, spatial, trend
 
 START = datetime(2025, 1, 1)
 GEO = "station_id string, latitude double, longitude double, elevation double"
@@ -113,3 +113,24 @@ def test_neighbours_of_a_block_are_the_edges(spark):
         places = kernel.Places(names, lat, lon, elev, known, km, high, passes)
         got = {(i, int(j)) for i in range(n) for j in places.edges(i)}
         assert got == {(int(r.src), int(r.dst)) for r in spatial.neighbors(s, km, high, "pass" if passes else "fail").collect()}
+
+
+def test_snapshots_and_grids_as_with_a_table_of_edges(spark, monkeypatch):
+    _, long, asked, noted, plain = network(spark, twice=(0, 3, 3), repeated=True)
+    snapshot = asked.unionByName(long.where("station_id = 's4'").limit(3)).drop("time")
+    dealt = []
+
+    def watched(rows, *args, run=nearby.run_blocks):
+        dealt.append(rows.count())
+        return run(rows, *args)
+
+    monkeypatch.setattr(nearby, "run_blocks", watched)
+    for make in (
+        lambda e: spatial.snapshot_outliers(snapshot, e, 2.0, 3, ("temp_out",)),
+        lambda e: spatial.distance_class(snapshot.where("variable = 'bar'"), e),
+        lambda e: gaps.grid_counts(gaps.neighborhood_grid(long, e, "10 hours")),
+    ):
+        got, want = make(noted), make(plain)
+        assert got.dtypes == want.dtypes and rows(got) == rows(want) and not want.isEmpty()
+    # Before, each of these steps shuffled a row for every edge and value.
+    assert len(dealt) == 3 and max(dealt[:2]) < plain.count()
